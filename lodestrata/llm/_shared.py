@@ -52,3 +52,13 @@ def clear_scratch(spark: SparkSession) -> None:
     """Delete this application's scratch tables; results that still read them become unreadable."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Bound the rows, and so with long texts the memory, of what one Arrow batch brings to Python.
+
+    Only ever lowers the session's setting, which Spark reads when it plans a query.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.llm.exact_dedup import mark_copies
+from lodestrata.llm.packing import pack
 from lodestrata.llm.secrets import find_secrets, span_report
 from lodestrata.llm.sharding import kd_shards
 
@@ -14,6 +15,22 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def word_bpe_path() -> str:
+    """The vocabulary file of the packing contract, where the public tokenizers are installed."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def packed_pieces(docs: DataFrame) -> DataFrame:
+    """The packing digest: each piece with a checksum of its ids in place of them."""
+    return pack(docs, word_bpe_path()).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_pieces(_table(spark, sf_dir, "documents"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mark_copies(_table(spark, sf_dir, "documents"))
 
@@ -36,6 +53,7 @@ FROM n WINDOW g AS (PARTITION BY text_sha256)
 """
 
 QUERIES = {
+    "op1_packing": op1_packing,
     "op5_exact_dedup": op5_exact_dedup,
     "op8_sharding": op8_sharding,
     "op10_secrets": op10_secrets,
