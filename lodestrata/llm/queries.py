@@ -9,6 +9,7 @@ from lodestrata.llm.exact_dedup import mark_copies
 from lodestrata.llm.packing import pack
 from lodestrata.llm.secrets import find_secrets, span_report
 from lodestrata.llm.sharding import kd_shards
+from lodestrata.llm.simhash import near_duplicates
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +32,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_pieces(_table(spark, sf_dir, "documents"))
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mark_copies(_table(spark, sf_dir, "documents"))
 
@@ -54,6 +59,7 @@ FROM n WINDOW g AS (PARTITION BY text_sha256)
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op2_simhash": op2_simhash,
     "op5_exact_dedup": op5_exact_dedup,
     "op8_sharding": op8_sharding,
     "op10_secrets": op10_secrets,
