@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestrata.llm.decontaminate import find_overlap, overlap_report
 from lodestrata.llm.exact_dedup import mark_copies
 from lodestrata.llm.packing import pack
 from lodestrata.llm.secrets import find_secrets, span_report
@@ -40,6 +41,10 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mark_copies(_table(spark, sf_dir, "documents"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlap_report(find_overlap(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_shards(_table(spark, sf_dir, "documents"), 40).withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
 
@@ -61,6 +66,7 @@ QUERIES = {
     "op1_packing": op1_packing,
     "op2_simhash": op2_simhash,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_decontamination": op6_decontamination,
     "op8_sharding": op8_sharding,
     "op10_secrets": op10_secrets,
 }
