@@ -9,6 +9,8 @@ its own. Every sequence but the last is full, so padding is less than one sequen
 
 from __future__ import annotations
 
+import functools
+import os
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -100,6 +102,13 @@ class WordEncoder:
         return b"".join([cache[w] for w in words])
 
 
+@functools.lru_cache(maxsize=2)
+def _encoder(path: str, special_as_text: bool) -> WordEncoder:
+    """One for each Python worker: its caches stay warm from task to task."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    return WordEncoder(path, special_as_text)
+
+
 def tokenise(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str, end_id: int | None, special_as_text: bool = False) -> DataFrame:
     """One row for each document: id, part, start (within the part), n, ids (bytes), wide."""
     small_batches(docs.sparkSession)
@@ -107,10 +116,7 @@ def tokenise(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str, e
     id_type = source.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder = WordEncoder(tokenizer_path, special_as_text)
+        encoder = _encoder(tokenizer_path, special_as_text)
         end = b"" if end_id is None else np.asarray([end_id], encoder.dtype).tobytes()
         width = encoder.dtype.itemsize
         part, start = TaskContext.get().partitionId(), 0
