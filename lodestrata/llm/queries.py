@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.llm.decontaminate import find_overlap, overlap_report
 from lodestrata.llm.exact_dedup import mark_copies
+from lodestrata.llm.lm import score_texts
 from lodestrata.llm.packing import pack
 from lodestrata.llm.secrets import find_secrets, span_report
 from lodestrata.llm.sharding import kd_shards
@@ -37,6 +38,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(_table(spark, sf_dir, "documents"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mark_copies(_table(spark, sf_dir, "documents"))
 
@@ -65,6 +70,7 @@ FROM n WINDOW g AS (PARTITION BY text_sha256)
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_simhash": op2_simhash,
+    "op4_lm_scoring": op4_lm_scoring,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_decontamination": op6_decontamination,
     "op8_sharding": op8_sharding,
