@@ -12,6 +12,7 @@ from lodestrata.llm.packing import pack
 from lodestrata.llm.secrets import find_secrets, span_report
 from lodestrata.llm.sharding import kd_shards
 from lodestrata.llm.simhash import near_duplicates
+from lodestrata.llm.urls import Rule, filter_urls, url_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +51,26 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap_report(find_overlap(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
 
 
+# The rules of the URL contract.
+URL_RULES = [
+    Rule("block", "com", "/en/"),
+    Rule("allow", "example.com", "/en/7"),
+    Rule("allow", "net", "/de/"),
+    Rule("block", "example.net", "/de/8"),
+    Rule("block", "org", "/es/"),
+]
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page is labelled through the document that the last number of its path names."""
+    pages = _table(spark, sf_dir, "pages")
+    labels = _table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max((F.col("quality") == 0).cast("int")).alias("bad"))
+    number = F.regexp_extract(url_path(F.col("url")), r"([0-9]{1,18})[^0-9]*$", 1)
+    numbered = pages.select("page_id", "url", number.alias("number"))
+    numbered = numbered.select("page_id", "url", F.when(F.col("number") != "", F.col("number").cast("long")).alias("doc_id"))
+    return filter_urls(numbered.join(labels, "doc_id", "left"), URL_RULES)
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_shards(_table(spark, sf_dir, "documents"), 40).withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
 
@@ -73,6 +94,7 @@ QUERIES = {
     "op4_lm_scoring": op4_lm_scoring,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_decontamination": op6_decontamination,
+    "op7_url_filter": op7_url_filter,
     "op8_sharding": op8_sharding,
     "op10_secrets": op10_secrets,
 }
