@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.llm.decontaminate import find_overlap, overlap_report
 from lodestrata.llm.exact_dedup import mark_copies
+from lodestrata.llm.html import extract_text
 from lodestrata.llm.lm import score_texts
 from lodestrata.llm.packing import pack
 from lodestrata.llm.secrets import find_secrets, span_report
@@ -75,6 +76,10 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_shards(_table(spark, sf_dir, "documents"), 40).withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(_table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_report(find_secrets(_table(spark, sf_dir, "documents")))
 
@@ -96,6 +101,7 @@ QUERIES = {
     "op6_decontamination": op6_decontamination,
     "op7_url_filter": op7_url_filter,
     "op8_sharding": op8_sharding,
+    "op9_html_extraction": op9_html_extraction,
     "op10_secrets": op10_secrets,
 }
 
