@@ -10,6 +10,7 @@ from lodestrata.llm.exact_dedup import mark_copies
 from lodestrata.llm.html import extract_text
 from lodestrata.llm.lm import score_texts
 from lodestrata.llm.packing import pack
+from lodestrata.llm.quality import classify
 from lodestrata.llm.secrets import find_secrets, span_report
 from lodestrata.llm.sharding import kd_shards
 from lodestrata.llm.simhash import near_duplicates
@@ -40,6 +41,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(_table(spark, sf_dir, "documents"))
+
+
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(_table(spark, sf_dir, "documents"))
 
@@ -96,6 +101,7 @@ FROM n WINDOW g AS (PARTITION BY text_sha256)
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_simhash": op2_simhash,
+    "op3_quality": op3_quality,
     "op4_lm_scoring": op4_lm_scoring,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_decontamination": op6_decontamination,

@@ -220,6 +220,8 @@ def near_duplicates(
     smallest = joined.groupBy("root").agg(F.min("first").alias("component_id"))
     named = joined.join(smallest, "root").select("fp", "component_id")
     every = rooted.join(named, "fp", "left").select("fp", "root", F.coalesce("component_id", "first").alias("component_id"))
+    # A table of its own: both sides of the join are then plain exchanges, which Spark can split.
+    every = stored(every, "named-fingerprints")
     out = prints.join(every, "fp")
     if keep_rows:
         return out.select("row", "id", "root", "component_id")
