@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import functools
 import os
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -23,7 +24,20 @@ from lodestrata.llm._shared import col, small_batches, stored
 
 SEQUENCE, END_ID = 2048, 1
 CACHED_WORDS = 500_000
-PUNCTUATION = b".,;:!?|&%$*#"
+TAIL = re.compile(rb"(?<=[a-z])[.,;:!?|&%$*#]+(?=\s|\Z)")
+
+
+class _Cache(dict):
+    """Word to ids; remembers the words that it was asked for in vain."""
+
+    def __init__(self):
+        self.missing: dict[bytes, None] = {}
+        self.asked = 0
+
+    def __missing__(self, word: bytes) -> bytes:
+        self.missing[word] = None
+        self.asked += 1
+        return b""
 
 
 class WordEncoder:
@@ -41,8 +55,7 @@ class WordEncoder:
         self.tokenizer.encode_special_tokens = special_as_text
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.cached = cached
-        self.cache: dict[bytes, bytes] = {}
-        self.cores: dict[bytes, bytes] = {}
+        self.cache = _Cache()
         marks = [] if special_as_text else sorted((t.content, i) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special)
         self.mark, self.mark_id = (marks[0][0].encode(), marks[0][1]) if marks else (b"", -1)
         sample = [self.tokenizer.encode(x, add_special_tokens=False).ids for x in ("Abc", "abc", ".,", "abc.,")]
@@ -69,37 +82,31 @@ class WordEncoder:
         begins = [0, *[x + 1 for x in stops[:-1]]]
         return [ids[a:b] for a, b in zip(begins, stops)]
 
-    def _split(self, word: bytes) -> tuple[bytes, bytes]:
-        """A word's core in lower case and the ASCII punctuation after it, which is a token run of
-        its own if the core ends in an ASCII letter; other words stay whole."""
-        low = word.lower()
-        core = low.rstrip(PUNCTUATION)
-        if self.splits and core[-1:].isalpha() and not (self.mark and self.mark in word):
-            return core, low[len(core) :]
-        return word, b""
-
-    def encode(self, text: bytes) -> bytes:
-        words = text.split()
+    def _words(self, text: bytes) -> list[bytes]:
+        """Words in lower case, ASCII punctuation after an ASCII letter at a word's end apart from it:
+        the tokenizer makes the same cut."""
+        if not self.splits or (self.mark and self.mark in text):
+            return text.split()
+        return TAIL.sub(rb" \g<0>", text.lower()).split()
+
+    def encode_all(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each text as bytes of little-endian unsigned numbers."""
         cache = self.cache
-        try:
-            return b"".join([cache[w] for w in words])
-        except KeyError:
-            pass
-        fresh = {w: self._split(w) for w in set(words) if w not in cache}
-        cores = self.cores
-        parts = {p for pair in fresh.values() for p in pair if p and p not in cores}
-        new = self._new(list(parts))
-        if len(cores) + len(new) > self.cached:
-            cores = self.cores = dict(list(cores.items())[len(cores) // 2 :])
-        cores.update(new)
-        if len(cache) + len(fresh) > self.cached // 2:
-            cache = self.cache = {w: cache[w] for w in words if w in cache}
-        for w, (core, tail) in fresh.items():
-            ids = cores[core] if core in cores else self._new([core])[core]
-            if tail:
-                ids += cores[tail] if tail in cores else self._new([tail])[tail]
-            cache[w] = ids
-        return b"".join([cache[w] for w in words])
+        out, again = [], []
+        for i, text in enumerate(texts):
+            words, before = self._words(text), cache.asked
+            out.append(b"".join(map(cache.__getitem__, words)))
+            if cache.asked > before:
+                again.append((i, words))
+        if again:
+            cache.update(self._new(list(cache.missing)))
+            cache.missing.clear()
+            for i, words in again:
+                out[i] = b"".join(map(cache.__getitem__, words))
+            if len(cache) > self.cached:
+                for w in list(cache)[: len(cache) - self.cached // 2]:
+                    del cache[w]
+        return out
 
 
 @functools.lru_cache(maxsize=2)
@@ -121,7 +128,7 @@ def tokenise(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str, e
         width = encoder.dtype.itemsize
         part, start = TaskContext.get().partitionId(), 0
         for batch in batches:
-            ids = [encoder.encode(t) + end for t in batch.column("text").to_pylist()]
+            ids = [x + end for x in encoder.encode_all(batch.column("text").to_pylist())]
             n = np.fromiter((len(x) // width for x in ids), np.int64, len(ids))
             starts = start + np.cumsum(n) - n
             start += int(n.sum())
