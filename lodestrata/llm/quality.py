@@ -174,6 +174,7 @@ def fit_labels(votes: np.ndarray, times: np.ndarray, rounds: int = 100, prior: f
                 table[:, y, v + 1] = ((votes == v) * w[:, None]).sum(0) + prior
             table[:, y, 1] = 0
         table /= table.sum(2, keepdims=True)
+        table[:, :, 1] = 1
         good = float(np.clip(((times * q).sum() + prior) / (times.sum() + 2 * prior), 1e-6, 1 - 1e-6))
         model = LabelModel(good, table)
         new = model.posterior(votes)
@@ -184,18 +185,19 @@ def fit_labels(votes: np.ndarray, times: np.ndarray, rounds: int = 100, prior: f
     return model
 
 
-def fit_scorer(x: np.ndarray, q: np.ndarray, steps: int = 300, rate: float = 0.3, ridge: float = 1e-4) -> np.ndarray:
+def fit_scorer(x: np.ndarray, q: np.ndarray, steps: int = 200, rate: float = 0.3, ridge: float = 1e-4) -> np.ndarray:
     """Logistic regression on soft labels q (chance of good), by Adam on the whole sample; the
     two classes weigh the same."""
     mass = np.array([(1 - q).sum(), q.sum()])
     weigh = np.where(mass > 0, 0.5 / np.maximum(mass, 1e-9), 0)
-    up, down = weigh[1] * q, weigh[0] * (1 - q)
-    w, m, v = np.zeros(x.shape[1]), np.zeros(x.shape[1]), np.zeros(x.shape[1])
+    up, down = (weigh[1] * q).astype(np.float32), (weigh[0] * (1 - q)).astype(np.float32)
+    w, m, v = (np.zeros(x.shape[1], np.float32) for _ in range(3))
     for t in range(1, steps + 1):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         g = x.T @ ((up + down) * p - up) + ridge * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
+        w = w.astype(np.float32)
     return w
 
 
@@ -210,7 +212,7 @@ class Classifier:
             return np.zeros(0), np.zeros(0)
         each = [described(t) for t in texts]
         votes, x = np.array([a for a, _ in each], np.int64), np.stack([b for _, b in each])
-        p = 1 / (1 + np.exp(-np.clip(x @ self.weights, -30, 30)))
+        p = 1 / (1 + np.exp(-np.clip((x @ self.weights).astype(float), -30, 30)))
         worded = x[:, 1:].any(1)
         return np.where(worded, self.labels.posterior(votes), 0.0), np.where(worded, p, 0.0)
 
