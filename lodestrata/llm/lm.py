@@ -19,6 +19,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -29,15 +30,15 @@ from pyspark.sql import functions as F
 from lodestrata.llm._shared import col, small_batches, stored
 
 END = b""
-HELD = 100_000  # distinct words that a counting task holds before it passes them on
+HELD = 400_000  # distinct words that a counting task holds before it passes them on
 
 
 @dataclass(frozen=True)
 class Shape:
     """Sizes of the model. suffix: bytes of a word that decide its tail outcome."""
 
-    top: int = 256
-    tail: int = 128
+    top: int = 224
+    tail: int = 96
     dim: int = 16
     context: int = 4
     suffix: int = 2
@@ -87,15 +88,15 @@ class Model:
     def step(self, x: np.ndarray, y: np.ndarray, log_noise: np.ndarray, noise: np.ndarray) -> None:
         """One ascent step on the NCE objective; the noise words are shared by the batch."""
         inputs, outputs, places, bias = self.values
-        k = len(noise)
-        read = inputs[x]
+        read, of_true, of_noise = inputs[x], outputs[y], outputs[noise]
         predicted = np.einsum("bnd,nd->bd", read, places)
-        true = (predicted * outputs[y]).sum(1) + bias[y] - log_noise[y] - np.log(k)
-        false = predicted @ outputs[noise].T + bias[noise] - log_noise[noise] - np.log(k)
+        shift = bias - log_noise - np.float32(np.log(len(noise)))
+        true = np.einsum("bd,bd->b", predicted, of_true) + shift[y]
+        false = predicted @ of_noise.T + shift[noise]
         up = 1 / (1 + np.exp(np.clip(true, -30, 30)))
         down = -1 / (1 + np.exp(np.clip(-false, -30, 30)))
-        back = up[:, None] * outputs[y] + down @ outputs[noise]
-        scale = len(y) ** -0.5
+        back = up[:, None] * of_true + down @ of_noise
+        scale = np.float32(len(y) ** -0.5)
         rows, grad = _gathered(
             np.concatenate([y, noise]),
             np.concatenate([np.column_stack([up[:, None] * predicted, up]), np.column_stack([down.T @ predicted, down.sum(0)])]),
@@ -107,27 +108,37 @@ class Model:
         self._move(2, slice(None), np.einsum("bd,bnd->nd", back, read) / len(y), 0.1)
 
     def _move(self, i: int, rows, grad: np.ndarray, slower: float = 1.0) -> None:
-        self.squares[i][rows] += grad**2
-        self.values[i][rows] += self.shape.rate * slower * grad / np.sqrt(self.squares[i][rows])
+        self.squares[i][rows] += grad * grad
+        self.values[i][rows] += np.float32(self.shape.rate * slower) * grad / np.sqrt(self.squares[i][rows])
 
     def train(self, x: np.ndarray, y: np.ndarray, log_share: np.ndarray, rng: np.random.Generator) -> None:
         share = np.cumsum(np.exp(log_share))
+        log_share = log_share.astype(np.float32)
         order = rng.permutation(len(y))
         for at in range(0, len(y), self.shape.batch):
             rows = order[at : at + self.shape.batch]
             noise = np.minimum(np.searchsorted(share, rng.random(self.shape.noise) * share[-1]), len(share) - 1)
             self.step(x[rows], y[rows], log_share, noise)
 
-    def log_probabilities(self, x: np.ndarray, y: np.ndarray, batch: int = 8192) -> np.ndarray:
+    def log_probabilities(self, x: np.ndarray, y: np.ndarray, batch: int = 1024) -> np.ndarray:
         """Natural logarithms of the normalised probabilities of outcomes y after contexts x."""
         inputs, outputs, places, bias = self.values
+        by_place = [inputs * p for p in places]
+        turned, longest, most_bias = np.ascontiguousarray(outputs.T), float(np.sqrt((outputs**2).sum(1).max())), float(np.abs(bias).max())
         out = np.empty(len(y))
         for at in range(0, len(y), batch):
             xs, ys = x[at : at + batch], y[at : at + batch]
-            scores = np.einsum("bnd,nd->bd", inputs[xs], places) @ outputs.T + bias
+            predicted = by_place[0][xs[:, 0]]
+            for j in range(1, len(by_place)):
+                predicted += by_place[j][xs[:, j]]
+            scores = predicted @ turned
+            scores += bias
             true = scores[np.arange(len(ys)), ys]
-            most = scores.max(1)
-            scores -= most[:, None]
+            # No score can lie beyond this; the largest is taken off only where exp could overflow.
+            bound = longest * float(np.sqrt((predicted**2).sum(1).max())) + most_bias
+            most = scores.max(1) if bound > 60 else 0.0
+            if bound > 60:
+                scores -= most[:, None]
             np.exp(scores, out=scores)
             out[at : at + batch] = true - most - np.log(scores.sum(1))
         return out
@@ -141,40 +152,58 @@ def _gathered(index: np.ndarray, grad: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return index[first], np.add.reduceat(grad[order], first, axis=0)
 
 
+class _Tails(dict):
+    """Outcome of a word's last bytes."""
+
+    def __init__(self, shape: Shape):
+        self.shape = shape
+
+    def __missing__(self, suffix: bytes) -> int:
+        self[suffix] = out = self.shape.top + zlib.crc32(suffix) % self.shape.tail
+        return out
+
+
 class Lexicon:
     """Frequent words with their outcomes and counts; outcomes of all other words by hash."""
 
     def __init__(self, shape: Shape, words: list[bytes], counts: np.ndarray):
         self.shape = shape
+        self.tails = _Tails(shape)
         self.index = {w: i for i, w in enumerate(words)}
-        self.outcome = np.array([i if i < shape.top else self.tail(w) for i, w in enumerate(words)], np.int32)
+        self.outcome = np.array([i if i < shape.top else self.tails[w[-shape.suffix :]] for i, w in enumerate(words)], np.uint16)
         self.log_count = np.log10(counts + 1.0)
 
-    def tail(self, word: bytes) -> int:
-        return self.shape.top + zlib.crc32(word[-self.shape.suffix :]) % self.shape.tail
-
-    def read(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[list[bytes]], np.ndarray]:
-        """For all tokens of the texts: place in the frequent list or -1, and outcome; for each
-        text its tokens, and their numbers. An end follows each text's words."""
-        get = self.index.get
-        tokens = [[*t.lower().split(), END] for t in texts]
-        sizes = np.array([len(t) for t in tokens], np.int64)
-        place = np.fromiter((get(w, -1) for t in tokens for w in t), np.int32, int(sizes.sum()))
-        outcome = self.outcome[place] if len(self.outcome) else np.zeros(len(place), np.int32)
+    def read(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray]:
+        """For all tokens of the texts: place in the frequent list or -1, outcome, and the token;
+        and the number of tokens of each text. An end follows each text's words."""
+        tokens: list[bytes] = []
+        sizes = np.empty(len(texts), np.int64)
+        for i, t in enumerate(texts):
+            before = len(tokens)
+            tokens += t.lower().split()
+            tokens.append(END)
+            sizes[i] = len(tokens) - before
+        place = np.fromiter(map(self.index.get, tokens, repeat(-1)), np.int32, len(tokens))
+        outcome = self.outcome[place] if len(self.outcome) else np.zeros(len(place), np.uint16)
         rare = np.flatnonzero(place < 0)
-        if len(rare):
-            every = [w for t in tokens for w in t]
-            outcome[rare] = [self.tail(every[i]) for i in rare.tolist()]
+        tails, cut = self.tails, -self.shape.suffix
+        outcome[rare] = [tails[tokens[i][cut:]] for i in rare.tolist()]
         return place, outcome, tokens, sizes
 
-    def contexts(self, outcome: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """The outcomes before each token, nearest first, none from another text."""
-        n = self.shape.context
-        text = np.repeat(np.arange(len(sizes)), sizes)
-        at = np.arange(len(outcome)) + n * (text + 1)
-        padded = np.full(len(outcome) + n * len(sizes), self.shape.outcomes, np.int32)
-        padded[at] = outcome
-        return padded[at[:, None] - 1 - np.arange(n)]
+
+def contexts(outcome: np.ndarray, sizes: np.ndarray, shape: Shape) -> np.ndarray:
+    """The outcomes before each token, nearest first, none from another text."""
+    n = shape.context
+    at = np.arange(len(outcome)) + n * np.repeat(np.arange(1, len(sizes) + 1), sizes)
+    padded = np.full(len(outcome) + n * len(sizes), shape.outcomes, np.int32)
+    padded[at] = outcome
+    return padded[at[:, None] - 1 - np.arange(n)]
+
+
+def _outcomes(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Outcomes of all texts of a batch of encoded texts, and their numbers."""
+    every = [np.frombuffer(v.as_buffer(), "<u2") for v in batch.column("outcomes")]
+    return np.concatenate(every) if every else np.zeros(0, np.uint16), np.array([len(v) for v in every], np.int64)
 
 
 def held_out(id_column: Column, folds: int = 7, fold: int = 2) -> Column:
@@ -203,22 +232,21 @@ def count_words(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "word binary, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def _replicas(texts: DataFrame, lexicon, flat, shape: Shape, log_share: np.ndarray) -> DataFrame:
+def _replicas(encoded: DataFrame, flat: np.ndarray, shape: Shape, log_share: np.ndarray) -> DataFrame:
     """One row for each partition that has tokens: n, values (n times its trained parameters)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = lexicon.value
         model = Model.start(shape, log_share).unpack(flat)
         rng = np.random.default_rng([shape.seed, TaskContext.get().partitionId()])
         n = 0
         for batch in batches:
-            _, outcome, _, sizes = words.read(batch.column("text").to_pylist())
-            model.train(words.contexts(outcome, sizes), outcome, log_share, rng)
+            outcome, sizes = _outcomes(batch)
+            model.train(contexts(outcome, sizes, shape), outcome, log_share, rng)
             n += len(outcome)
         if n:
             yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([(model.pack().astype("f8") * n).tobytes()], pa.binary())], names=["n", "values"])
 
-    return texts.mapInArrow(run, "n bigint, values binary")
+    return encoded.select("outcomes").mapInArrow(run, "n bigint, values binary")
 
 
 def _averaged(replicas: DataFrame, model: Model, groups: int = 16) -> Model:
@@ -262,31 +290,50 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     counts = stored(count_words(training.select("text")), "lm-counts")
     n, v = counts.agg(F.sum("c"), F.count(F.lit(1))).first()
     n = n or 0
-    first = counts.orderBy(F.desc("c"), "word").limit(shape.frequent).collect()
-    lexicon = Lexicon(shape, [bytes(r["word"]) for r in first], np.array([r["c"] for r in first], np.int64))
-    top = [bytes(r["word"]) for r in first[: shape.top]]
+    first = _most_frequent(counts, shape.frequent)
+    lexicon = Lexicon(shape, [w for w, _ in first], np.array([c for _, c in first], np.int64))
+    top = [w for w, _ in first[: shape.top]]
     share, kinds = np.zeros(shape.outcomes), np.zeros(shape.outcomes)
-    for i, r in enumerate(first[: shape.top]):
-        share[i], kinds[i] = r["c"], 1
+    for i, (_, c) in enumerate(first[: shape.top]):
+        share[i], kinds[i] = c, 1
     suffix = F.substring("word", -shape.suffix, shape.suffix)
     tail = counts.filter(~F.col("word").isin(top)) if top else counts
     for r in tail.groupBy((F.crc32(suffix) % shape.tail).cast("int").alias("t")).agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("k")).collect():
         share[shape.top + r["t"]], kinds[shape.top + r["t"]] = r["c"], r["k"]
     del first
-    log_share = np.log((share + 1) / (share + 1).sum())
     words = spark.sparkContext.broadcast(lexicon)
+    encoded = stored(_encoded(source, words, share, kinds, n, v), "lm-encoded")
+    log_share = np.log((share + 1) / (share + 1).sum())
     model = Model.start(shape, log_share)
+    training = encoded.filter("NOT held_out")
     part = min(1.0, shape.warm_tokens / max(1, n))
-    warm = training.select("text") if part == 1 else training.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(part * 1_000_000)).select("text")
-    model = _averaged(_replicas(warm.repartition(1), words, model.pack(), shape, log_share), model, 1)
-    model = _averaged(_replicas(training.select("text"), words, model.pack(), shape, log_share), model)
-    out = _scored(source, words, model, share, kinds, n, v)
-    return _with_rare(stored(out, "lm-scores"), counts, n).withColumnRenamed("id", id_col)
-
-
-def _scored(source: DataFrame, lexicon, model: Model, share: np.ndarray, kinds: np.ndarray, n: int, v: int) -> DataFrame:
-    """Scores but for the counts of words outside the frequent list, which go along as rare."""
-    shape, flat = model.shape, model.pack()
+    warm = training if part == 1 else training.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(part * 1_000_000))
+    model = _averaged(_replicas(warm.select("outcomes").repartition(1), model.pack(), shape, log_share), model, 1)
+    model = _averaged(_replicas(training, model.pack(), shape, log_share), model)
+    return _with_rare(_scored(encoded, model), encoded, counts, n).withColumnRenamed("id", id_col)
+
+
+def _most_frequent(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
+    """At most `most` words with their counts, the most frequent first: all words from that
+    sixteenth of a power of two on from which they are so few. Nothing more reaches the driver."""
+    step = F.floor(16 * F.log2("c")).cast("int")
+    sizes = sorted(((r["s"], r["k"]) for r in counts.groupBy(step.alias("s")).agg(F.count(F.lit(1)).alias("k")).collect()), reverse=True)
+    total, least = 0, None
+    for s, k in sizes:
+        total += k
+        if total > most:
+            break
+        least = s
+    if least is None:
+        return []
+    rows = [(bytes(r["word"]), r["c"]) for r in counts.filter(step >= least).collect()]
+    return sorted(rows, key=lambda x: (-x[1], x[0]))
+
+
+def _encoded(source: DataFrame, lexicon, share: np.ndarray, kinds: np.ndarray, n: int, v: int) -> DataFrame:
+    """Each text's outcomes, and all of its scores but the neural part and the counts of words
+    outside the frequent list, which go along as rare."""
+    shape = lexicon.value.shape
     base_scale = np.log10(n + v + 1)
     # A top word is its outcome; a tail word has its share of its outcome.
     scale = np.where(np.arange(shape.outcomes) < shape.top, 0.0, np.log10(share + kinds + 1))
@@ -295,42 +342,64 @@ def _scored(source: DataFrame, lexicon, model: Model, share: np.ndarray, kinds:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = lexicon.value
-        net = Model.start(shape, np.zeros(shape.outcomes)).unpack(flat)
         for batch in batches:
             place, outcome, tokens, sizes = words.read(batch.column("text").to_pylist())
             begin = np.cumsum(sizes) - sizes
-            score = net.log_probabilities(words.contexts(outcome, sizes), outcome) / np.log(10)
             known = place >= 0
             log_count = np.where(known, words.log_count[place] if len(words.log_count) else 0.0, 0.0)
-            score += np.where(outcome < shape.top, 0.0, log_count) - scale[outcome]
+            inner = np.where(outcome < shape.top, 0.0, log_count) - scale[outcome]
             rare: list[bytes] = []
             times: list[int] = []
             ends = [0]
-            for t, a, z in zip(tokens, begin.tolist(), sizes.tolist()):
-                if not known[a : a + z].all():
-                    found = Counter([t[i] for i in np.flatnonzero(~known[a : a + z]).tolist()])
+            at = np.flatnonzero(~known)
+            bounds = np.searchsorted(at, np.append(begin, len(place))).tolist()
+            at = at.tolist()
+            for a, z in zip(bounds, bounds[1:]):
+                if z > a:
+                    found = Counter([tokens[i] for i in at[a:z]])
                     rare.extend(found)
                     times.extend(found.values())
                 ends.append(len(rare))
             pairs = pa.StructArray.from_arrays([pa.array(rare, pa.binary()), pa.array(times, pa.int64())], names=["word", "tf"])
             total = lambda x: np.add.reduceat(x, begin) if len(begin) else np.zeros(0)
+            ids = outcome.astype("<u2")
             yield pa.RecordBatch.from_arrays(
                 [
                     *[batch.column(c) for c in ("row", "id", "held_out")], pa.array(sizes), pa.array(total(known.astype(np.int64)).astype(np.int64)),
-                    pa.array(total(log_count) - sizes * base_scale), pa.array(total(score)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs),
+                    pa.array(total(log_count) - sizes * base_scale), pa.array(total(inner)),
+                    pa.array([ids[a : a + z].tobytes() for a, z in zip(begin.tolist(), sizes.tolist())], pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs),
                 ],
-                names=["row", "id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare"],
+                names=["row", "id", "held_out", "n_tokens", "n_known", "base_score", "inner", "outcomes", "rare"],
             )
 
-    schema = f"row bigint, id {id_type}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double, rare array<struct<word:binary,tf:bigint>>"
+    schema = f"row bigint, id {id_type}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, inner double, outcomes binary, rare array<struct<word:binary,tf:bigint>>"
     return rows.mapInArrow(run, schema)
 
 
-def _with_rare(scored: DataFrame, counts: DataFrame, n: int) -> DataFrame:
+def _scored(encoded: DataFrame, model: Model) -> DataFrame:
+    """The neural part added: row, id, held_out, n_tokens, n_known, base_score, score."""
+    shape, flat = model.shape, model.pack()
+    small_batches(encoded.sparkSession)
+    columns = ["row", "id", "held_out", "n_tokens", "n_known", "base_score"]
+    rows = encoded.select(*columns, "inner", "outcomes")
+    id_type = rows.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        net = Model.start(shape, np.zeros(shape.outcomes)).unpack(flat)
+        for batch in batches:
+            outcome, sizes = _outcomes(batch)
+            logs = net.log_probabilities(contexts(outcome, sizes, shape), outcome)
+            score = np.add.reduceat(logs, np.cumsum(sizes) - sizes) / np.log(10) if len(sizes) else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], pa.array(score + batch.column("inner").to_numpy())], names=[*columns, "score"])
+
+    return rows.mapInArrow(run, f"row bigint, id {id_type}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
+
+
+def _with_rare(scored: DataFrame, encoded: DataFrame, counts: DataFrame, n: int) -> DataFrame:
     """Add what the counts of rare words give; a word without a count adds nothing to either score."""
-    pairs = scored.select("row", F.explode("rare").alias("r")).select("row", F.col("r.word").alias("word"), F.col("r.tf").alias("tf"))
+    pairs = encoded.select("row", F.explode("rare").alias("r")).select("row", F.col("r.word").alias("word"), F.col("r.tf").alias("tf"))
     found = pairs.join(counts, "word").groupBy("row").agg(F.sum(F.col("tf") * F.log10(F.col("c") + 1.0)).alias("more"), F.sum("tf").alias("seen"))
-    out = scored.drop("rare").join(found, "row", "left")
+    out = scored.join(found, "row", "left")
     more = F.coalesce("more", F.lit(0.0))
     return out.select(
         "id",
