@@ -95,14 +95,20 @@ class WordEncoder:
         out, again = [], []
         for i, text in enumerate(texts):
             words, before = self._words(text), cache.asked
-            out.append(b"".join(map(cache.__getitem__, words)))
+            parts = list(map(cache.__getitem__, words))
             if cache.asked > before:
-                again.append((i, words))
+                holes = [k for k, p in enumerate(parts) if not p]
+                again.append((i, parts, holes, [words[k] for k in holes]))
+                out.append(b"")
+            else:
+                out.append(b"".join(parts))
         if again:
             cache.update(self._new(list(cache.missing)))
             cache.missing.clear()
-            for i, words in again:
-                out[i] = b"".join(map(cache.__getitem__, words))
+            for i, parts, holes, words in again:
+                for k, w in zip(holes, words):
+                    parts[k] = cache[w]
+                out[i] = b"".join(parts)
             if len(cache) > self.cached:
                 for w in list(cache)[: len(cache) - self.cached // 2]:
                     del cache[w]
