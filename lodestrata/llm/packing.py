@@ -23,23 +23,10 @@ from pyspark.sql import functions as F
 from lodestrata.llm._shared import col, small_batches, stored
 
 SEQUENCE, END_ID = 2048, 1
-CACHED_WORDS = 500_000
+CACHED_WORDS = 1_000_000
 TAIL = re.compile(rb"(?<=[a-z])[.,;:!?|&%$*#]+(?=\s|\Z)")
 
 
-class _Cache(dict):
-    """Word to ids; remembers the words that it was asked for in vain."""
-
-    def __init__(self):
-        self.missing: dict[bytes, None] = {}
-        self.asked = 0
-
-    def __missing__(self, word: bytes) -> bytes:
-        self.missing[word] = None
-        self.asked += 1
-        return b""
-
-
 class WordEncoder:
     """Ids of whole texts, put together from those of their words.
 
@@ -55,7 +42,7 @@ class WordEncoder:
         self.tokenizer.encode_special_tokens = special_as_text
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.cached = cached
-        self.cache = _Cache()
+        self.cache: dict[bytes, bytes] = {}
         marks = [] if special_as_text else sorted((t.content, i) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special)
         self.mark, self.mark_id = (marks[0][0].encode(), marks[0][1]) if marks else (b"", -1)
         sample = [self.tokenizer.encode(x, add_special_tokens=False).ids for x in ("Abc", "abc", ".,", "abc.,")]
@@ -92,23 +79,26 @@ class WordEncoder:
     def encode_all(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text as bytes of little-endian unsigned numbers."""
         cache = self.cache
-        out, again = [], []
+        known = cache.get
+        out, again, missing = [], [], {}
         for i, text in enumerate(texts):
-            words, before = self._words(text), cache.asked
-            parts = list(map(cache.__getitem__, words))
-            if cache.asked > before:
-                holes = [k for k, p in enumerate(parts) if not p]
-                again.append((i, parts, holes, [words[k] for k in holes]))
-                out.append(b"")
-            else:
+            words = self._words(text)
+            parts = list(map(known, words))
+            try:
                 out.append(b"".join(parts))
+            except TypeError:  # None where a word is new
+                holes = [k for k, p in enumerate(parts) if p is None]
+                new = [words[k] for k in holes]
+                missing.update(dict.fromkeys(new))
+                again.append((i, parts, holes, new))
+                out.append(b"")
         if again:
-            cache.update(self._new(list(cache.missing)))
-            cache.missing.clear()
-            for i, parts, holes, words in again:
-                for k, w in zip(holes, words):
-                    parts[k] = cache[w]
+            fresh = self._new(list(missing))
+            for i, parts, holes, new in again:
+                for k, w in zip(holes, new):
+                    parts[k] = fresh[w]
                 out[i] = b"".join(parts)
+            cache.update(fresh)
             if len(cache) > self.cached:
                 for w in list(cache)[: len(cache) - self.cached // 2]:
                     del cache[w]
