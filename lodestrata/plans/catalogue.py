@@ -6,6 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lodestrata.plans import retrieval_queries
+
+FAMILIES = [retrieval_queries]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+for _family in FAMILIES:
+    QUERIES |= _family.QUERIES
+    ORACLES |= _family.ORACLES
 FLAGSHIP = "r09_hybrid_two_arm"
