@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrata.plans import retrieval_queries
+from lodestrata.plans import graph_queries, relational_queries, retrieval_queries
 
-FAMILIES = [retrieval_queries]
+FAMILIES = [retrieval_queries, relational_queries, graph_queries]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 for _family in FAMILIES:

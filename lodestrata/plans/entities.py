@@ -33,7 +33,7 @@ ENTITIES: dict[str, str] = {
     # Parts on neighbouring lines of an order.
     "associations": """
         SELECT src, dst, type, strength, created FROM (
-          SELECT lag(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS src, l_partkey AS dst,
+          SELECT lag(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS src, l_partkey AS dst,
                  CASE l_returnflag WHEN 'A' THEN 'causes' WHEN 'N' THEN 'related' ELSE 'part_of' END AS type,
                  CAST(l_quantity / 50 AS DOUBLE) AS strength, CAST(l_shipdate AS DATE) AS created
           FROM {lineitem}) e
