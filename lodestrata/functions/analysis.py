@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -111,8 +112,6 @@ def stem_word(word: str) -> str:
 
 
 def stem_all(tokens: Column) -> Column:
-    import pandas as pd
-
     @F.pandas_udf("array<string>")
     def run(s: pd.Series) -> pd.Series:
         seen: dict[str, str] = {}

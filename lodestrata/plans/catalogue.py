@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrata.plans import graph_queries, relational_queries, retrieval_queries
+from lodestrata.plans import graph_queries, memory_queries, relational_queries, retrieval_queries
 
-FAMILIES = [retrieval_queries, relational_queries, graph_queries]
+FAMILIES = [retrieval_queries, relational_queries, graph_queries, memory_queries]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 for _family in FAMILIES:
     QUERIES |= _family.QUERIES
     ORACLES |= _family.ORACLES
+for _name, (_same,) in memory_queries.ALIASES.items():
+    QUERIES[_name], ORACLES[_name] = QUERIES[_same], ORACLES[_same]
 FLAGSHIP = "r09_hybrid_two_arm"
