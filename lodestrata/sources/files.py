@@ -15,7 +15,7 @@ def rules(spark: SparkSession, path: str, pattern: str = "*.mdc") -> DataFrame:
     """rule_number, title, description, content of markdown rule files: the number is the file's stem
     up to the first hyphen, front matter between --- lines is dropped, the title is the first line
     without "# ", the description what follows up to the next "## "."""
-    raw = spark.read.option("wholetext", True).option("pathGlobFilter", pattern).option("recursiveFileLookup", True).text(path)
+    raw = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", True).text(path, wholetext=True)
     body = F.regexp_replace("value", r"(?s)\A---\n.*?\n---\n", "")
     rows = raw.select(F.split(_stem(), "-")[0].alias("rule_number"), F.trim(body).alias("content"))
     title = F.regexp_replace(F.regexp_extract("content", r"\A([^\n]*)", 1), "^#+ *", "")
@@ -79,7 +79,7 @@ def markdown_files(spark: SparkSession, path: str) -> DataFrame:
 
 def saved_queries(spark: SparkSession, path: str, include: str = "*.sql") -> DataFrame:
     """name, text of query files."""
-    raw = spark.read.option("wholetext", True).option("pathGlobFilter", include).text(path)
+    raw = spark.read.option("pathGlobFilter", include).text(path, wholetext=True)
     return raw.select(_stem().alias("name"), F.trim("value").alias("text"))
 
 
