@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def col(name: str) -> Column:
@@ -22,7 +23,7 @@ def whole_row(df: DataFrame) -> Column:
 
 def unpack(row: str, columns: list[str]) -> list[Column]:
     """The columns of a struct made by whole_row, under their old names."""
-    return [F.col(row)["`" + c.replace("`", "``") + "`"].alias(c) if "." in c or "`" in c else F.col(row).getField(c).alias(c) for c in columns]
+    return [F.col(row).getField(c).alias(c) for c in columns]
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -62,3 +63,8 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= rows:
         spark.conf.set(key, str(rows))
+
+
+def schema_with(source: DataFrame, carried: list[str], more: str) -> T.StructType:
+    """Carried columns as they are in source, then further ones by DDL; field names may be any."""
+    return T.StructType([T.StructField(c, source.schema[c].dataType) for c in carried] + T.StructType.fromDDL(more).fields)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm._shared import col, small_batches, unpack, whole_row
+from lodestrata.llm._shared import col, schema_with, small_batches, unpack, whole_row
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 WINDOW = 10
@@ -124,7 +124,7 @@ class Shard:
         return int(differ[0]) if len(differ) else len(text)
 
 
-def _scan(items: list[tuple[str, bytes]], window: int, id_type: str, longest: bool):
+def _scan(items: list[tuple[str, bytes]], window: int, longest: bool):
     """What one block of test items finds in each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,11 +243,11 @@ def find_overlap(
 
 
 def _pass(source: DataFrame, items: list[tuple[str, bytes]], window: int, longest: bool) -> DataFrame:
-    kinds = {f.name: f.dataType.simpleString() for f in source.schema}
-    schema = f"id {kinds['id']}, n_words bigint, marks binary, items array<string>"
-    schema += ", matches array<struct<item:string,item_word:bigint,word:bigint,words:bigint>>" if longest else ""
-    schema += f", row {kinds['row']}" if "row" in kinds else ""
-    return source.mapInArrow(_scan(items, window, kinds["id"], longest), schema)
+    more = "n_words bigint, marks binary, items array<string>"
+    more += ", matches array<struct<item:string,item_word:bigint,word:bigint,words:bigint>>" if longest else ""
+    schema = schema_with(source, ["id"], more)
+    schema = schema.add(source.schema["row"]) if "row" in source.columns else schema
+    return source.mapInArrow(_scan(items, window, longest), schema)
 
 
 def _ones(marks):

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm._shared import col, small_batches, unpack, whole_row
+from lodestrata.llm._shared import col, schema_with, small_batches, unpack, whole_row
 
 FEATURES = 1024
 SAMPLE = 10_000
@@ -178,7 +178,7 @@ def fit_labels(votes: np.ndarray, times: np.ndarray, rounds: int = 100, prior: f
         good = float(np.clip(((times * q).sum() + prior) / (times.sum() + 2 * prior), 1e-6, 1 - 1e-6))
         model = LabelModel(good, table)
         new = model.posterior(votes)
-        done = np.abs(new - q).max() < 1e-6
+        done = not len(q) or np.abs(new - q).max() < 1e-6
         q = new
         if done:
             break
@@ -258,16 +258,13 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample:
 
 
 def _scored(source: DataFrame, model: Classifier, carried: list[str]) -> DataFrame:
-    kinds = {f.name: f.dataType.simpleString() for f in source.schema}
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             weak, quality = model.judge(batch.column("text").to_pylist())
             columns = [*[batch.column(c) for c in carried], pa.array(weak), pa.array(quality)]
             yield pa.RecordBatch.from_arrays(columns, names=[*carried, "weak_label", "quality"])
 
-    schema = ", ".join([*[f"{c} {kinds[c]}" for c in carried], "weak_label double, quality double"])
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(run, schema_with(source, carried, "weak_label double, quality double"))
 
 
 def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = KEEP, sample: int = SAMPLE, model: Classifier | None = None) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestrata.llm._shared import col, small_batches, stored, unpack, whole_row
+from lodestrata.llm._shared import col, schema_with, small_batches, stored, unpack, whole_row
 
 BITS = 64
 MOST = 4096
@@ -48,15 +48,14 @@ def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_c
     small_batches(docs.sparkSession)
     rows = [whole_row(docs).alias("row")] if keep_rows else []
     source = docs.select(col(id_col).alias("id"), F.coalesce(col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"), *rows)
-    kinds = {f.name: f.dataType.simpleString() for f in source.schema}
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.array([fingerprint(t.as_py(), words) for t in batch.column("text")], np.uint64).view(np.int64)
             carried = [batch.column("row")] if keep_rows else []
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(fps), *carried], names=["id", "fp", *(["row"] if keep_rows else [])])
 
-    return source.mapInArrow(run, f"id {kinds['id']}, fp bigint" + (f", row {kinds['row']}" if keep_rows else ""))
+    schema = schema_with(source, ["id"], "fp bigint")
+    return source.mapInArrow(run, schema.add(source.schema["row"]) if keep_rows else schema)
 
 
 def _edges(parts: int, low: int, high: int) -> list[tuple[int, int]]:
