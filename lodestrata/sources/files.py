@@ -19,7 +19,7 @@ def rules(spark: SparkSession, path: str, pattern: str = "*.mdc") -> DataFrame:
     body = F.regexp_replace("value", r"(?s)\A---\n.*?\n---\n", "")
     rows = raw.select(F.split(_stem(), "-")[0].alias("rule_number"), F.trim(body).alias("content"))
     title = F.regexp_replace(F.regexp_extract("content", r"\A([^\n]*)", 1), "^#+ *", "")
-    about = F.trim(F.regexp_extract("content", r"(?s)\A[^\n]*\n(.*?)(?:\n## |\z)", 1))
+    about = F.btrim(F.regexp_extract("content", r"(?s)\A[^\n]*\n(.*?)(?:\n## |\z)", 1), F.lit(" \n\t"))
     return rows.select("rule_number", title.alias("title"), about.alias("description"), "content")
 
 
@@ -52,7 +52,7 @@ def error_catalogue(spark: SparkSession, path: str) -> DataFrame:
 def error_lines(text: DataFrame, column: str = "value") -> DataFrame:
     """The same from whole files of lines, where a ## line names the category of the lines after it
     and other # lines are comments. text: one row for each file."""
-    lines = text.select(F.monotonically_increasing_id().alias("file"), F.posexplode(F.split(column, "\n")).alias("pos", "line"))
+    lines = text.select(F.monotonically_increasing_id().alias("file"), F.split(column, "\n").alias("lines")).select("file", F.posexplode("lines").alias("pos", "line"))
     so_far = Window.partitionBy("file").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     named = lines.withColumn("category", F.last(F.when(F.col("line").rlike("^## *[^ #]"), F.trim(F.regexp_replace("line", "^## *", ""))), ignorenulls=True).over(so_far))
     parts = F.split("line", ",", 3)
