@@ -98,6 +98,21 @@ SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
 FROM n WINDOW g AS (PARTITION BY text_sha256)
 """
 
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+OP6_SQL = f"""
+WITH items AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS w FROM benchmark),
+sized AS (SELECT item, w, least(10, len(w)) AS n FROM items WHERE len(w) > 0),
+windows AS (SELECT DISTINCT item, n, array_to_string(w[k:k + n - 1], ' ') AS gram FROM (SELECT item, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM sized)),
+lengths AS (SELECT DISTINCT n FROM windows),
+docs AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+grams AS (SELECT doc_id, n, k, array_to_string(w[k:k + n - 1], ' ') AS gram FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM docs, lengths WHERE len(w) >= n)),
+found AS (SELECT g.doc_id, g.k, g.n, v.item FROM grams g JOIN windows v ON g.n = v.n AND g.gram = v.gram),
+hits AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS p FROM found) GROUP BY doc_id),
+names AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM found) GROUP BY doc_id)
+SELECT d.doc_id, len(d.w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs d LEFT JOIN hits USING (doc_id) LEFT JOIN names USING (doc_id)
+"""
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_simhash": op2_simhash,
@@ -111,4 +126,4 @@ QUERIES = {
     "op10_secrets": op10_secrets,
 }
 
-ORACLES = {"op5_exact_dedup": OP5_SQL}
+ORACLES = {"op5_exact_dedup": OP5_SQL, "op6_decontamination": OP6_SQL}
