@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -78,11 +79,10 @@ def embedded_terms(text: Column) -> Column:
 
 def annotate(text: Column, term: str, definition: str) -> Column:
     """The text with the term's first occurrence (also a plural) annotated, or the annotation appended."""
-    import re
-
     note = f"[TERM: {term} | {definition}]"
-    pattern = f"(?i)(^|[^A-Za-z0-9]){re.escape(term)}(?:s|es)?([^A-Za-z0-9]|$)"
-    return F.when(text.rlike(pattern), F.regexp_replace(text, "(?s)^(.*?)" + pattern.replace("(?i)", "(?i:").replace("(^|", "(^|", 1) + ")(.*)$", "$1$2" + note.replace("$", "\\$") + "$3$4")).otherwise(F.concat(text, F.lit(" " + note)))
+    pattern = f"(?is)^(.*?(?:^|[^A-Za-z0-9])){re.escape(term)}(?:s|es)?([^A-Za-z0-9].*)?$"
+    quoted = note.replace("\\", "\\\\").replace("$", "\\$")
+    return F.when(text.rlike(pattern), F.regexp_replace(text, pattern, f"$1{quoted}$2")).otherwise(F.concat(text, F.lit(" " + note)))
 
 
 def truncate_middle(tokens: Column, most: int) -> Column:

@@ -294,7 +294,17 @@ def e03(s, d):
 # --- Names kept for callers of the many entry points -----------------------------------------
 
 ALIASES = {
-    "p01_get_fact": ("f01_equal_or",), "p05_all_test_states": ("m18_failures_attached",), "p09_cached_result": ("w12_insert_or_replace",), "p10_clear_cache": ("w13_evict",), "p18_keyword_embedding_query": ("r20_four_list_report",),
+    "p01_get_fact": ("f01_equal_or",),
+    "p03_keyword_search": ("r03_bm25_domain",),
+    "p04_alternate_hybrid": ("r19_hybrid_alias",),
+    "p05_all_test_states": ("m18_failures_attached",),
+    "p09_cached_result": ("w12_insert_or_replace",),
+    "p10_clear_cache": ("w13_evict",),
+    "p12_question_generation": ("t16_function_questions",),
+    "p15_insert_errors": ("w02_upsert_by_key",),
+    "p18_keyword_embedding_query": ("r20_four_list_report",),
+    "p23_two_collection_view": ("r14_cross_collection",),
+    "p24_cached_analysis": ("w12_insert_or_replace",),
 }
 
 

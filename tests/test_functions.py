@@ -166,3 +166,9 @@ def test_python_names_and_docstrings(spark):
     d = spark.createDataFrame([("Does.\n\nArgs:\n    size (int): how big\n\nReturns:\n    the thing\n\nRaises:\n    ValueError: no",)], "d string")
     p = d.select(docstring_parts(F.col("d")).alias("p")).first().p
     assert p.parameters == ["size"] and p.raises == ["ValueError"] and p.returns == "the thing"
+
+
+def test_annotation_takes_plurals_and_is_appended_otherwise(spark):
+    df = spark.createDataFrame([("Red Rings cost $5",), ("springs",), ("a ring",)], "t string")
+    got = [r.x for r in df.select(corpus.annotate(F.col("t"), "ring", "a $ band").alias("x")).collect()]
+    assert got == ["Red [TERM: ring | a $ band] cost $5", "springs [TERM: ring | a $ band]", "a [TERM: ring | a $ band]"]
