@@ -133,6 +133,20 @@ def test_similar_texts_equal_brute_force(spark, families, size, changes):
     assert sorted((r.doc_id for r in kept.collect()), key=str) == similar_survivors(rows)
 
 
+def test_extended_and_trimmed_copies_equal_brute_force(spark):
+    """Also at a similarity of 0.8 itself, and just below it."""
+    rng = random.Random(7)
+    rows = []
+    for i in range(150):
+        shingles_kept = rng.choice((76, 156, 396))
+        base = [f"{i}w{j}" for j in range(shingles_kept + 4)]
+        more = [f"{i}m{j}" for j in range(shingles_kept // 4 + i % 3 - 1)]
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(base + more if i % 2 else more + base))]
+    kept = similar.drop_similar(spark.createDataFrame(rows, "doc_id long, text string"))
+    want = similar_survivors(rows)
+    assert sorted((r.doc_id for r in kept.collect()), key=str) == want and len(want) == 150 + 50
+
+
 def test_similar_odd_rows(odd_docs, no_docs):
     rows = [(r.doc_id, r.text) for r in odd_docs.select("doc_id", "text").collect()]
     kept = similar.drop_similar(odd_docs)
