@@ -147,6 +147,40 @@ def test_extended_and_trimmed_copies_equal_brute_force(spark):
     assert sorted((r.doc_id for r in kept.collect()), key=str) == want and len(want) == 150 + 50
 
 
+@pytest.mark.parametrize("block", [similar.BLOCK, 16])
+def test_chains_with_dissimilar_ends_equal_brute_force(spark, monkeypatch, block):
+    """Families that drift word by word, with ends that are not similar and words common to all."""
+    monkeypatch.setattr(similar, "BLOCK", block)
+    rng = random.Random(11)
+    rows = []
+    for family in range(6):
+        words = [f"{family}w{j}" for j in range(120)]
+        steps = []
+        for i in range(30):
+            at = 4 * i
+            words = [f"{family}s{i}x{j}" if at <= j < at + 4 else w for j, w in enumerate(words)]
+            steps.append(" ".join(words))
+        rng.shuffle(steps)
+        rows += [(len(rows) + k, s) for k, s in enumerate(steps)]
+    kept = similar.drop_similar(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r.doc_id for r in kept.collect()), key=str) == similar_survivors(rows)
+
+
+def test_two_groups_meet_only_in_their_dropped_members(spark):
+    """a0~a1, b0~b1 and a1~b1 are similar and other pairs with them are not; a1 and b1 meet in large buckets only."""
+    span = lambda name, k: [f"{name}{j}" for j in range(k)]
+    core = span("core", 44)
+    a1, b1 = core + span("p", 8), core + span("q", 2)
+    a0, b0 = span("z", 3) + core + span("p", 14), span("v", 3) + core + span("q", 8)
+    others = [core + span("common", 60) + [f"u{k}"] for k in range(7)]
+    rows = [(i, " ".join(t)) for i, t in enumerate([a0, b0, *others, a1, b1])]
+    sets = [shingles(t) for _, t in rows]
+    alike = {(i, j) for j in range(11) for i in range(j) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    assert {x for x in alike if set(x) & {0, 1, 9, 10}} == {(0, 9), (1, 10), (9, 10)}
+    kept = similar.drop_similar(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == similar_survivors(rows) == [0, 2]
+
+
 def test_similar_odd_rows(odd_docs, no_docs):
     rows = [(r.doc_id, r.text) for r in odd_docs.select("doc_id", "text").collect()]
     kept = similar.drop_similar(odd_docs)
