@@ -2,9 +2,9 @@
 
 Paths are first shortened to shapes: runs of digits and long hexadecimal names become
 wildcards, and equal shapes of a host are counted together. Then the tree of each host is built
-level by level. A segment stays a branch of its own if it holds a fair share of its parent's
-pages and its labelled share of bad pages differs significantly from that of its siblings;
-all other branches merge into the parent's wildcard. The leaves are the templates. A template
+level by level. A segment, however small, stays a branch of its own if its labelled share of bad
+pages differs significantly from that of its siblings; all other branches merge into the
+parent's wildcard. The leaves are the templates. A template
 is rejected if its share of bad labels, smoothed towards its host's and that towards the
 whole table's, is above a threshold. Rules come first: the longest fitting one decides.
 """
@@ -58,7 +58,7 @@ def path_shape(path: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(path, r"(?<![A-Za-z0-9])(?=[A-Fa-f-]*[0-9])[0-9A-Fa-f-]{8,}(?![A-Za-z0-9])", "*"), r"[0-9]+", "*")
 
 
-def _templates(shapes: DataFrame, depth: int, share: float, z: float) -> DataFrame:
+def _templates(shapes: DataFrame, depth: int, z: float) -> DataFrame:
     """shapes (host, shape, n, labelled, bad) with its template added."""
     parts = F.split(F.regexp_replace("shape", "^/", ""), "/")
     state = shapes.withColumns({"parts": parts, "template": F.lit("")})
@@ -74,7 +74,7 @@ def _templates(shapes: DataFrame, depth: int, share: float, z: float) -> DataFra
         pooled = F.col("all_bad") / F.col("all_labelled")
         spread = F.sqrt(pooled * (1 - pooled) * (1 / F.col("labelled") + 1 / others))
         apart = F.abs(F.col("bad") / F.col("labelled") - (F.col("all_bad") - F.col("bad")) / others) >= z * spread
-        own = seen.filter((F.col("n") >= share * F.col("all_n")) & (F.col("labelled") > 0) & (others > 0)).filter((spread > 0) & apart)
+        own = seen.filter((F.col("labelled") > 0) & (others > 0)).filter((spread > 0) & apart)
         own = own.select("host", "template", "part", F.lit(True).alias("own"))
         named = F.when(F.col("own"), F.col("part")).otherwise(F.lit("*"))
         state = state.join(own, ["host", "template", "part"], "left").select(
@@ -86,7 +86,7 @@ def _templates(shapes: DataFrame, depth: int, share: float, z: float) -> DataFra
 
 
 def template_verdicts(
-    labelled: DataFrame, url_col: str = "url", bad_col: str = "bad", depth: int = 8, share: float = 0.05, z: float = 2.576, weight: float = 10.0, reject: float = 0.5
+    labelled: DataFrame, url_col: str = "url", bad_col: str = "bad", depth: int = 8, z: float = 2.576, weight: float = 10.0, reject: float = 0.5
 ) -> DataFrame:
     """host, shape, template, bad_share, rejected for every shape of the urls.
 
@@ -100,7 +100,7 @@ def template_verdicts(
         .groupBy("host", "shape")
         .agg(F.count(F.lit(1)).alias("n"), F.count("bad").alias("labelled"), F.coalesce(F.sum(F.col("bad").cast("long")), F.lit(0)).alias("bad"))
     )
-    state = _templates(stored(shapes, "url-shapes"), depth, share, z)
+    state = _templates(stored(shapes, "url-shapes"), depth, z)
     per_host = state.groupBy("host").agg(F.sum("labelled").alias("host_labelled"), F.sum("bad").alias("host_bad"))
     whole = per_host.agg(F.sum("host_labelled"), F.sum("host_bad")).first()
     rate = (whole[1] or 0) / max(1, whole[0] or 0)

@@ -206,6 +206,15 @@ def test_bad_templates_are_rejected(spark):
     assert merged == {"/*/*"}
 
 
+def test_small_bad_sections_keep_their_template(spark):
+    """One of 25 equal sections, and one of 4 % in a large host."""
+    rows = [(f"http://many.com/s{chr(97 + k)}/x{i}", int(k == 7)) for k in range(25) for i in range(40)]
+    rows += [(f"http://large.com/{'spam' if i < 80 else 'news'}/x{i}", int(i < 80)) for i in range(2000)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id long, url string, bad int")
+    judged = {r.page_id: r.verdict for r in urls.filter_urls(df, []).collect()}
+    assert [judged[i] == "block" for i in range(len(rows))] == [bool(b) for _, b in rows]
+
+
 def test_html_blocks_and_references():
     page = (
         "<html><head><title>t</title><script>if (a<b) document.write('<p>no</p>')</script></head><body><nav><ul><li><a href=/>Home</a></ul></nav><div class='cookie-notice'>We use cookies.</div>"
