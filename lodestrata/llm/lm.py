@@ -37,8 +37,8 @@ HELD = 400_000  # distinct words that a counting task holds before it passes the
 class Shape:
     """Sizes of the model. suffix: bytes of a word that decide its tail outcome."""
 
-    top: int = 224
-    tail: int = 96
+    top: int = 256
+    tail: int = 128
     dim: int = 16
     context: int = 4
     suffix: int = 2

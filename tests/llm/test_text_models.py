@@ -196,6 +196,13 @@ def test_url_rules(spark):
     assert urls.filter_urls(df.limit(0), queries.URL_RULES).count() == 0
 
 
+def test_language_model_has_256_words_and_128_tail_classes():
+    words = [f"{i}".encode() for i in range(5000)]
+    outcome = lm.Lexicon(lm.Shape(), words, np.ones(5000)).outcome
+    assert outcome[:256].tolist() == list(range(256)) and outcome[256:].min() >= 256 and len(set(outcome[256:].tolist())) > 50
+    assert lm.Shape().outcomes == 256 + 128
+
+
 def test_bad_templates_are_rejected(spark):
     rows = [(i, f"http://h.com/{'spam' if i % 3 == 0 else 'news'}/{i}/page", int(i % 3 == 0) if i % 2 else None) for i in range(600)]
     rows += [(1000 + i, f"http://even.com/{'a' if i % 2 else 'b'}/{i}", (i // 2) % 4 // 3) for i in range(200)]
