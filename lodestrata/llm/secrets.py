@@ -1,8 +1,8 @@
 """Secret scan with corpus-wide ownership frequency, with DataFrame operations only.
 
 Base spans come from three fixed patterns. The method adds spans: long tokens of mixed kinds
-of characters, and tokens with known prefixes, whose hash occurs with few distinct owners and
-repositories in the whole corpus and which look live. Values copied by many owners are taken
+of characters whose hash occurs with few distinct owners and repositories in the whole corpus
+and which look live. Values copied by many owners are taken
 for examples and are not added.
 """
 
