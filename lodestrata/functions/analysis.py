@@ -12,23 +12,26 @@ from pyspark.sql import functions as F
 # The short English stop list of the default analyzer profile.
 STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "has", "he", "in", "is", "it", "its", "of", "on", "that")
 
+#: Letters and digits of any script; [^\\W_] is the same in Python.
+TOKEN = r"[\pL\pN]+"
+
 
 @dataclass(frozen=True)
 class Analyzer:
-    """Lower-case runs of letters and digits, without stop words; stem: also reduced to stems."""
+    """Lower-case runs of Unicode letters and digits, without stop words; stem: also reduced to stems."""
 
     stop_words: tuple[str, ...] = field(default=())
     stem: bool = False
 
     def tokens(self, text: Column) -> Column:
-        found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
+        found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
         if self.stop_words:
             found = F.filter(found, lambda t: ~t.isin(*self.stop_words))
         return stem_all(found) if self.stem else found
 
     def query(self, text: str) -> list[str]:
         """The distinct tokens of a query text, in order."""
-        found = [t for t in re.findall("[a-z0-9]+", text.lower()) if t not in self.stop_words]
+        found = [t for t in re.findall(r"[^\W_]+", text.lower()) if t not in self.stop_words]
         return list(dict.fromkeys(stem_word(t) for t in found) if self.stem else dict.fromkeys(found))
 
 

@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import ast
+from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
+from lodestrata.functions.vectors import embed
+
 # Keyword sets of method categories.
 CATEGORIES = {
-    "creation": "create new make build init", "retrieval": "get fetch find read load search", "change": "set update modify change write", "removal": "delete remove clear drop",
-    "checking": "is has validate check verify", "conversion": "convert parse format to_ from_ encode decode", "network": "request send connect http url", "files": "file path open save",
+    "create": "create insert add new init", "read": "get fetch retrieve find search list", "update": "update modify change set", "delete": "delete remove clear",
+    "bulk": "bulk batch many multiple", "validation": "validate check verify ensure", "utility": "format convert parse helper", "error_handling": "raise except error handle",
 }
 
 
@@ -40,11 +44,13 @@ def verified_keys(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFram
 
 
 def categories_of(text: Column, raises: Column | None = None) -> Column:
+    """Categories of which the text, a method's name and summary, holds a word as a part; a method
+    that raises errors handles them."""
     low = F.lower(text)
     found = [F.when(low.rlike("|".join(words.split())), name) for name, words in CATEGORIES.items()]
     if raises is not None:
         found.append(F.when(raises, "error_handling"))
-    return F.array_compact(F.array(*found))
+    return F.array_distinct(F.array_compact(F.array(*found)))
 
 
 def summary_of(text: Column, most: int = 100) -> Column:
@@ -83,3 +89,92 @@ class PythonNames:
             elif isinstance(node, ast.Call):
                 f = node.func
                 yield "call", f.id if isinstance(f, ast.Name) else getattr(f, "attr", ""), node.lineno
+
+
+def define(spark: SparkSession, schema: dict, table: Callable[[str], DataFrame], edges: DataFrame, prefix: str = "") -> DataFrame:
+    """Temporary views for a schema's collections, edge collections, graphs and search views, and the
+    list of all definitions: kind, name, detail, n (rows).
+
+    schema: collections (names), edges (name to the collections at both ends), graphs (name to edge
+    names), views (name to collections with their fields), analyzers (name to what they give).
+    edges: src_collection, src_key, dst_collection, dst_key, relationship_type.
+    """
+    made: list[tuple[str, str, str, DataFrame | None]] = [("collection", n, "", table(n)) for n in schema.get("collections", [])]
+    kinds = {n: edges.filter((F.col("relationship_type") == n) & (F.col("src_collection") == a) & (F.col("dst_collection") == b)) for n, (a, b) in schema.get("edges", {}).items()}
+    made += [("edge", n, ">".join(schema["edges"][n]), df) for n, df in kinds.items()]
+    made += [("graph", n, ",".join(of), reduce(DataFrame.unionByName, [kinds[e] for e in of])) for n, of in schema.get("graphs", {}).items()]
+    for n, of in schema.get("views", {}).items():
+        parts = [table(c).select(F.lit(c).alias("collection"), F.to_json(F.struct(*fields)).alias("document")) for c, fields in of.items()]
+        made.append(("view", n, ",".join(f"{c}({','.join(fields)})" for c, fields in of.items()), reduce(DataFrame.unionByName, parts)))
+    made += [("analyzer", n, what, None) for n, what in schema.get("analyzers", {}).items()]
+    rows = []
+    for kind, name, detail, df in made:
+        if df is not None:
+            df.createOrReplaceTempView(prefix + name)
+        counted = spark.range(1).select(F.lit(0).cast("long").alias("n")) if df is None else df.agg(F.count(F.lit(1)).alias("n"))
+        rows.append(counted.select(F.lit(kind).alias("kind"), F.lit(name).alias("name"), F.lit(detail).alias("detail"), "n"))
+    return reduce(DataFrame.unionByName, rows)
+
+
+def scenario_faults(df: DataFrame) -> DataFrame:
+    """df with the required fields that a scenario lacks, and those whose value has another type: the
+    criteria must be a JSON list, the priority a whole number. All fields are texts."""
+    required = ("title", "description", "query_example", "expected_result_type", "validation_criteria", "priority")
+    missing = F.array_compact(F.array(*[F.when(F.col(c).isNull(), c) for c in required]))
+    a_list = F.from_json("validation_criteria", "array<string>").isNotNull() & F.col("validation_criteria").rlike(r"^\s*\[")
+    whole = F.col("priority").cast("string").rlike("^-?[0-9]+$")
+    mistyped = F.array_compact(F.array(F.when(~a_list, "validation_criteria"), F.when(~whole, "priority")))
+    return df.withColumns({"missing": missing, "mistyped": mistyped})
+
+
+# Packages of the standard library and common helpers, which are not analysed.
+STANDARD_PACKAGES = "os sys json time datetime math random collections itertools functools typing pathlib shutil tempfile io re".split()
+COMMON_PACKAGES = "numpy pandas requests pytest unittest logging loguru click typer rich".split()
+
+
+def worth_analysing(package: Column) -> Column:
+    return ~package.isin(STANDARD_PACKAGES + COMMON_PACKAGES) & ~package.startswith("_")
+
+
+# Buckets of lint messages by category, and advice by symbol.
+BUCKETS = {"Critical Error": "type_issues", "Warning": "quality_issues", "Method/Attribute Issue": "method_issues", "Style Issue": "style_issues"}
+ADVICE = {
+    "broad-exception-caught": "Replace 'except Exception:' with specific exception types",
+    "wrong-import-order": "Place standard library imports before third-party imports",
+    "missing-module-docstring": "Add a module-level docstring to describe the module's purpose",
+    "trailing-whitespace": "Remove trailing whitespace from all lines",
+    "missing-final-newline": "Add a newline at the end of the file",
+}
+
+
+def lint_bucket(category: Column) -> Column:
+    """Other categories count as matters of quality."""
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in BUCKETS.items() for x in pair]), category), F.lit("quality_issues"))
+
+
+def lint_advice(symbol: Column) -> Column:
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in ADVICE.items() for x in pair]), symbol)
+
+
+# Types that a described field may have.
+FIELD_TYPES = "string number boolean array object date unknown".split()
+
+
+def field_faults(description: str, kind: str, citation: str, most_words: int = 30) -> Column:
+    """What is wrong with the description of a field: its length, presence, type and citation."""
+    text = F.coalesce(F.col(description), F.lit(""))
+    words = F.size(F.filter(F.split(text, r"\s+"), lambda w: w != ""))
+    return F.array_compact(
+        F.array(
+            F.when(words > most_words, "description too long"),
+            F.when(text == "", "description missing"),
+            F.when(~F.coalesce(F.col(kind).isin(FIELD_TYPES), F.lit(False)), "type invalid"),
+            F.when(F.coalesce(F.col(citation), F.lit("")) == "", "citation missing"),
+        )
+    )
+
+
+def reformatted(df: DataFrame, term: str, definition: str, vector: str) -> DataFrame:
+    """Rows with a term and a definition, their vector made again from both and its format named."""
+    whole = df.filter((F.coalesce(F.col(term), F.lit("")) != "") & (F.coalesce(F.col(definition), F.lit("")) != ""))
+    return whole.withColumns({vector: embed(F.concat_ws(": ", term, definition)), "format": F.lit("search_document")})

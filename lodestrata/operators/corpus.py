@@ -9,17 +9,28 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestrata.functions.analysis import TEXT
+from lodestrata.functions.fuzzy import partial_ratio_column, token_sort_ratio_column  # noqa: F401
 from lodestrata.operators.relational import distinct_ignoring_case
+from lodestrata.sources.scratch import stored
 
 # Languages by file extension.
 LANGUAGES = {
-    "python": "py pyw pyi", "javascript": "js mjs cjs jsx", "typescript": "ts tsx", "java": "java", "kotlin": "kt kts", "scala": "scala sc", "c": "c h", "cpp": "cc cpp cxx hpp hh",
-    "csharp": "cs", "go": "go", "rust": "rs", "ruby": "rb", "php": "php", "swift": "swift", "r": "r", "julia": "jl", "lua": "lua", "perl": "pl pm", "haskell": "hs", "elixir": "ex exs",
-    "erlang": "erl", "clojure": "clj cljs", "dart": "dart", "shell": "sh bash zsh fish", "powershell": "ps1", "sql": "sql", "html": "html htm", "css": "css", "scss": "scss", "xml": "xml",
-    "json": "json", "yaml": "yaml yml", "toml": "toml", "ini": "ini cfg", "markdown": "md markdown mdc", "rst": "rst", "tex": "tex", "text": "txt", "csv": "csv", "dockerfile": "dockerfile", "makefile": "mk",
+    "python": "py pyw", "jupyter": "ipynb", "javascript": "js mjs cjs", "jsx": "jsx", "typescript": "ts", "tsx": "tsx", "vue": "vue", "svelte": "svelte",
+    "html": "html htm xhtml", "css": "css", "scss": "scss", "sass": "sass", "less": "less", "c": "c h", "cpp": "cpp cc cxx hpp hxx c++ h++",
+    "csharp": "cs", "java": "java", "kotlin": "kt kts", "scala": "scala sc", "groovy": "groovy", "ruby": "rb rake", "erb": "erb", "php": "php phtml", "go": "go", "rust": "rs", "swift": "swift",
+    "bash": "sh bash zsh", "fish": "fish", "batch": "bat cmd", "powershell": "ps1", "yaml": "yaml yml", "json": "json", "toml": "toml", "ini": "ini", "xml": "xml", "csv": "csv",
+    "markdown": "md markdown", "rst": "rst", "tex": "tex", "text": "txt", "sql": "sql", "r": "r", "perl": "perl pl", "lua": "lua", "dart": "dart", "fortran": "f f77 f90",
+    "haskell": "hs lhs", "elm": "elm", "clojure": "clj", "elixir": "ex exs",
+}
+# Languages by the interpreter that a first line names, in order.
+INTERPRETERS = {"python": "python", "ruby": "ruby", "node": "javascript", "bash": "bash", "zsh": "bash", "sh": "bash", "perl": "perl", "php": "php"}
+# File names that hold these words, and categories of languages.
+FILE_NAMES = ("makefile", "dockerfile")
+CATEGORIES = {
+    "code": "python javascript typescript java cpp c csharp ruby go rust", "documentation": "markdown rst tex text", "data": "json yaml toml xml csv ini",
+    "web": "html css scss sass less", "script": "bash batch powershell fish",
 }
-CATEGORIES = {"markup": "html css scss xml markdown rst tex text", "data": "json yaml toml ini csv sql"}
-FILE_NAMES = {"dockerfile": "dockerfile", "makefile": "makefile"}
 
 
 def section_table(docs: DataFrame, key: str, content: str) -> DataFrame:
@@ -45,25 +56,49 @@ def code_blocks(content: Column) -> Column:
 
 
 def language_of(path: Column, first_line: Column | None = None) -> Column:
-    """By file name, extension, then the first line's interpreter; else "unknown"."""
+    """By extension, then the first line's interpreter, then the file's name; else "unknown"."""
     name = F.lower(F.element_at(F.split(path, "/"), -1))
-    extension = F.when(name.contains("."), F.element_at(F.split(name, "[.]"), -1)).otherwise("")
+    extension = F.regexp_extract(name, r"^.+\.([^.]+)$", 1)
     out = F.lit("unknown")
+    for word in reversed(FILE_NAMES):
+        out = F.when(name.contains(word), F.lit(word)).otherwise(out)
     if first_line is not None:
-        for word, language in (("python", "python"), ("bash", "shell"), ("node", "javascript"), ("perl", "perl"), ("ruby", "ruby")):
-            out = F.when(first_line.rlike(f"^#!.*{word}"), F.lit(language)).otherwise(out)
+        for word, language in reversed(INTERPRETERS.items()):
+            out = F.when(first_line.rlike(rf"^#!.*\b{word}\b"), F.lit(language)).otherwise(out)
     by_extension = F.create_map(*[F.lit(x) for language, names in LANGUAGES.items() for e in names.split() for x in (e, language)])
-    by_name = F.create_map(*[F.lit(x) for pair in FILE_NAMES.items() for x in pair])
-    return F.coalesce(F.try_element_at(by_name, name), F.try_element_at(by_extension, extension), out)
+    return F.coalesce(F.try_element_at(by_extension, extension), out)
 
 
 def category_of(language: Column) -> Column:
-    out = F.when(language == "unknown", "unknown").otherwise("programming")
+    out = F.lit("unknown")
     for category, names in CATEGORIES.items():
         out = F.when(language.isin(names.split()), category).otherwise(out)
     return out
 
 
+def is_binary(content: Column) -> Column:
+    """Whether the first 1024 characters hold one that is neither printable nor white space."""
+    return F.substring(content, 1, 1024).rlike(r"[\p{C}&&[^\t-\r\x1C-\x1F\x85]]")
+
+
+def definitions(content: Column) -> Column:
+    """Functions and classes of indented code, nested ones too, as (name, kind, line, source). The
+    source goes up to the next line that is not empty and not indented more deeply."""
+    lines = F.split(content, "\n")
+    depth = lambda x: F.length(x) - F.length(F.ltrim(x))
+    head = r"^[ \t]*(?:async +)?(def|class) +([A-Za-z_][A-Za-z0-9_]*)"
+    numbered = F.transform(lines, lambda x, i: F.struct(i.alias("i"), x.alias("x"), F.when(F.trim(x) != "", depth(x)).alias("depth")))
+    heads = F.filter(numbered, lambda n: n["x"].rlike(head))
+
+    def one(h: Column) -> Column:
+        after = F.filter(numbered, lambda n: (n["i"] > h["i"]) & (n["depth"] <= h["depth"]))
+        end = F.coalesce(F.array_min(F.transform(after, lambda n: n["i"])), F.size(lines))
+        source = F.array_join(F.slice(lines, h["i"] + 1, end - h["i"]), "\n")
+        return F.struct(F.regexp_extract(h["x"], head, 2).alias("name"), F.regexp_extract(h["x"], head, 1).alias("kind"), (h["i"] + 1).alias("line"), source.alias("source"))
+
+    return F.transform(heads, one)
+
+
 def terms_of(text: Column, least: int = 3) -> Column:
     """Words of some length and phrases of capitalised words, each once without regard to case."""
     words = F.regexp_extract_all(text, F.lit("[A-Za-z]{%d,}" % least), F.lit(0))
@@ -154,3 +189,85 @@ def function_questions(name: Column, parameters: Column, summary: Column) -> Col
 
 def valid_pairs(df: DataFrame, question: str = "question", answer: str = "answer", least_q: int = 10, least_a: int = 15) -> DataFrame:
     return df.filter((F.length(F.trim(F.col(question))) >= least_q) & (F.length(F.trim(F.col(answer))) >= least_a))
+
+
+# Words that mark a question as one about an implementation.
+IMPLEMENTATION = ("implementation", "how is", "how does", "code for", "source code", "how would you implement", "how to implement", "show me", "example of")
+
+
+def complete_answers(df: DataFrame, question: str, answer: str, name: str, code: str, least: float = 80.0) -> DataFrame:
+    """df with column completed: the answer, with the code appended where the question names the
+    function and the answer does not hold its code by partial ratio. Null code appends nothing."""
+    about = F.contains(F.lower(F.col(question)), F.lower(F.col(name)))
+    whole = F.concat(F.col(answer), F.lit("\n\nHere is the complete implementation:\n\n```\n"), F.col(code), F.lit("\n```"))
+    lacking = about & (partial_ratio_column(F.col(code), F.col(answer)) < least)
+    return df.withColumn("completed", F.when(lacking, whole).otherwise(F.col(answer)))
+
+
+def _index_terms(text: Column) -> tuple[Column, Column]:
+    """Distinct words and pairs of neighbouring words of a text; and those that it is looked up by:
+    pairs, or for a text of under four words its words. A text without words is a term itself."""
+    words = TEXT.tokens(text)
+    pairs = F.when(F.size(words) > 1, F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words) - 1), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>"))
+    none = F.size(words) == 0
+    every = F.when(none, F.array(text)).otherwise(F.array_distinct(F.concat(words, pairs)))
+    own = F.when(none, F.array(text)).when(F.size(words) < 4, F.array_distinct(words)).otherwise(F.array_distinct(pairs))
+    return every, own
+
+
+def partly_alike(df: DataFrame, key: str, text: str, least: float = 80.0, shared: float = 0.4) -> DataFrame:
+    """Pairs (a, b) of keys, a < b, of texts with a partial ratio of `least` or more among those that
+    share `shared` of the shorter one's pairs of neighbouring words (of its words, if it has under
+    four). Whole texts are compared.
+
+    Each text is looked up by its rarest terms, as many as it takes for a text that shares enough
+    to have one of them, in the index of all terms; terms of one text only are left out first.
+    """
+    t = df.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    every, own = _index_terms(F.col("t"))
+    index = t.select("k", F.length("t").alias("n"), F.explode(every).alias("term"))
+    common = index.groupBy("term").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1")
+    first = Window.partitionBy("k").orderBy("texts", "term")
+    looked = t.select("k", F.length("t").alias("n"), F.size(own).alias("terms"), F.explode(own).alias("term"))
+    looked = looked.join(common, "term", "left").withColumn("texts", F.coalesce("texts", F.lit(1))).withColumn("at", F.row_number().over(first))
+    looked = looked.filter(F.col("at") <= F.col("terms") - F.ceil(F.lit(shared) * F.col("terms")) + 1).filter("texts > 1")
+    met = looked.alias("x").join(index.alias("y"), "term").filter("x.k <> y.k AND x.n <= y.n")
+    pairs = met.select(F.least("x.k", "y.k").alias("a"), F.greatest("x.k", "y.k").alias("b")).distinct()
+    side = lambda c: t.select(F.col("k").alias(c), F.col("t").alias(f"t{c}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    return both.filter(partial_ratio_column("ta", "tb") >= least).select("a", "b")
+
+
+def first_of_alike(keys: DataFrame, links: DataFrame, key: str) -> DataFrame:
+    """The keys that stay if each, in order, is dropped when linked to one that stayed before it.
+
+    links: (a, b), a < b. A round decides all keys whose earlier neighbours are decided, so the
+    rounds are as many as the longest chain of links needs, and each reads only open links.
+    """
+    open_links = stored(links.distinct(), "links")
+    dropped = keys.select(F.col(key).alias("k")).limit(0)
+    while not open_links.isEmpty():
+        later = open_links.select(F.col("b").alias("k")).distinct()
+        stay = open_links.select(F.col("a").alias("k")).distinct().join(later, "k", "left_anti")
+        gone = stored(open_links.join(stay, open_links["a"] == stay["k"], "left_semi").select(F.col("b").alias("k")).distinct(), "dropped")
+        dropped = dropped.unionByName(gone)
+        left = open_links.join(gone, open_links["a"] == gone["k"], "left_anti").join(gone, F.col("b") == gone["k"], "left_anti")
+        open_links = stored(left, "links")
+    return keys.join(dropped, keys[key] == dropped["k"], "left_anti")
+
+
+def latest_by(df: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """The last row of each key in the given order."""
+    last = F.max_by(F.struct(*df.columns), F.struct(*order)).alias("r")
+    return df.groupBy(key).agg(last).select("r.*")
+
+
+def normalised(text: Column) -> Column:
+    """Without tags and other than ASCII letters, digits and single spaces."""
+    bare = F.regexp_replace(F.regexp_replace(text, "<[^>]+>", ""), "[^a-zA-Z0-9 ]", "")
+    return F.trim(F.regexp_replace(bare, r"\s+", " "))
+
+
+def without_punctuation(text: Column) -> Column:
+    """Lower-cased, without ASCII punctuation."""
+    return F.lower(F.regexp_replace(text, r"[\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]", ""))

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.operators.relational import undirected
+from lodestrata.sources.scratch import stored
 
 # Association types and their inverses; the others are their own inverse.
 INVERSE = {"causes": "caused_by", "caused_by": "causes", "implies": "implied_by", "implied_by": "implies", "part_of": "has_part", "has_part": "part_of", "example": "exemplified_by", "exemplified_by": "example"}
@@ -37,25 +38,49 @@ def paths(edges: DataFrame, start: DataFrame, hops: int, src: str = "src", dst:
     return reduce(DataFrame.unionByName, found)
 
 
-def distances(edges: DataFrame, start: DataFrame, hops: int, src: str = "src", dst: str = "dst") -> DataFrame:
-    """start_key, vertex, depth: the fewest hops, up to a limit, the start itself at zero."""
-    e = edges.select(F.col(src).alias("_s"), F.col(dst).alias("_d")).distinct()
+def distances(edges: DataFrame, start: DataFrame, hops: int, src: str = "src", dst: str = "dst", strength: str | None = None) -> DataFrame:
+    """start_key, vertex, depth, path: the fewest hops, up to a limit, the start itself at zero; of
+    equally short paths the first in order. With strength also strengths, those of its edges.
+
+    Each frontier is written to the shared scratch folder, so a hop neither repeats earlier ones nor
+    grows the plan by more than one table; an empty one ends the search.
+    """
+    along = [F.col(strength).alias("_w")] if strength else []
+    e = edges.select(F.col(src).alias("_s"), F.col(dst).alias("_d"), *along).distinct()
     name = start.columns[0]
-    seen = front = start.select(F.col(name).alias("start_key"), F.col(name).alias("vertex")).distinct().withColumn("depth", F.lit(0))
+    none = [F.array().cast("array<double>").alias("strengths")] if strength else []
+    front = start.select(F.col(name).alias("start_key"), F.col(name).alias("vertex")).distinct().select("*", F.lit(0).alias("depth"), F.array("vertex").alias("path"), *none)
+    seen = front = stored(front, "frontier")
     for depth in range(1, hops + 1):
-        near = front.join(e, F.col("vertex") == F.col("_s")).select("start_key", F.col("_d").alias("vertex")).distinct()
-        front = near.join(seen.select("start_key", "vertex"), ["start_key", "vertex"], "left_anti").withColumn("depth", F.lit(depth))
+        more = {"strengths": F.array_append("strengths", F.col("_w").cast("double"))} if strength else {}
+        step = front.join(e, F.col("vertex") == F.col("_s")).withColumns({"path": F.array_append("path", F.col("_d")), **more})
+        ways = F.min(F.struct("path", *(["strengths"] if strength else []))).alias("way")
+        near = step.groupBy("start_key", F.col("_d").alias("vertex")).agg(ways)
+        new = near.join(seen.select("start_key", "vertex"), ["start_key", "vertex"], "left_anti")
+        front = stored(new.select("start_key", "vertex", F.lit(depth).alias("depth"), "way.*"), "frontier")
+        if front.isEmpty():
+            break
         seen = seen.unionByName(front)
     return seen
 
 
 def shortest_path(edges: DataFrame, pairs: DataFrame, hops: int, least: float | None = None) -> DataFrame:
-    """For each pair (a, b): distance over edges in either direction, -1 where it is above `hops`;
-    least: only edges of at least that strength count."""
+    """For each pair (a, b) over edges in either direction: distance, vertices and edges (source and
+    target, in walking order) of the shortest path, the first in order of equally short ones, and the
+    mean strength of its edges. Without a path of at most `hops` the distance is -1 and the arrays are
+    empty. Only edges of at least the strength `least` count; of parallel ones the strongest.
+
+    Hops are searched from the distinct first vertices, and only where there are second ones.
+    """
     e = edges if least is None else edges.filter(F.col("strength") >= least)
-    reached = distances(undirected(e.select("src", "dst")), pairs.select("a").distinct(), hops)
+    both = e.select("src", "dst", "strength").unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "strength"))
+    strongest = both.groupBy("src", "dst").agg(F.max("strength").alias("strength"))
+    reached = distances(strongest, pairs.select("a").distinct(), hops, strength="strength")
     out = pairs.join(reached, (F.col("a") == F.col("start_key")) & (F.col("b") == F.col("vertex")), "left")
-    return out.select("a", "b", F.coalesce("depth", F.lit(-1)).alias("distance"))
+    path = F.coalesce("path", F.array().cast(reached.schema["path"].dataType))
+    steps = F.zip_with(F.slice(path, 1, F.greatest(F.size(path) - 1, F.lit(0))), F.slice(path, 2, F.greatest(F.size(path) - 1, F.lit(0))), lambda x, y: F.struct(x.alias("src"), y.alias("dst")))
+    mean = F.aggregate("strengths", F.lit(0.0), lambda t, w: t + w) / F.nullif(F.size("strengths"), F.lit(0))
+    return out.select("a", "b", F.coalesce("depth", F.lit(-1)).alias("distance"), path.alias("vertices"), steps.alias("edges"), mean.alias("strength"))
 
 
 def neighbourhoods(edges: DataFrame, hops: int, least_size: int) -> DataFrame:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrata.plans import corpus_queries, graph_queries, memory_queries, relational_queries, retrieval_queries, streaming_queries
+from lodestrata.plans import corpus_queries, graph_queries, memory_queries, relational_queries, retrieval_queries, service_queries, streaming_queries
 
-FAMILIES = [retrieval_queries, relational_queries, graph_queries, memory_queries, corpus_queries, streaming_queries]
+FAMILIES = [retrieval_queries, relational_queries, graph_queries, memory_queries, corpus_queries, streaming_queries, service_queries]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 for _family in FAMILIES:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestrata.functions import fuzzy as Z
 from lodestrata.functions.analysis import TEXT, TEXT_EN, edge_ngrams
+from lodestrata.functions.vectors import cosine_of, embed
 from lodestrata.operators import catalog as K
 from lodestrata.operators import corpus as C
 from lodestrata.operators import retrieval as R
@@ -26,7 +28,7 @@ def query(name: str, sql: str | None = None, *more: tuple[str, str]):
 
 
 # The base documents have no markup: each is wrapped into a markdown file with code.
-MARKDOWN_SQL = """SELECT doc_id, concat('by ', lang, chr(10), '# ', split_part(text, chr(10), 1), chr(10), text, chr(10), '## ', source, chr(10), 'see', chr(10), '```python', chr(10), 'import os', chr(10), 'def f', CAST(doc_id AS VARCHAR(20)), '(x):', chr(10), '    return len(x)', chr(10), '```', chr(10), '```', chr(10), 'plain', chr(10), '```') AS content FROM {documents}"""
+MARKDOWN_SQL = """SELECT doc_id, concat('by ', lang, chr(10), '# ', split_part(text, chr(10), 1), chr(10), text, chr(10), '## ', source, chr(10), 'see', chr(10), '```python', chr(10), 'import os', chr(10), 'def f', CAST(doc_id AS VARCHAR(20)), '(x):', chr(10), '    return len(x)', chr(10), 'class C', CAST(doc_id AS VARCHAR(20)), ':', chr(10), '    def m(self):', chr(10), '        return 1', chr(10), '```', chr(10), '```', chr(10), 'plain', chr(10), '```') AS content FROM {documents}"""
 MD = ("md", MARKDOWN_SQL)
 LINES = ("lines", "SELECT doc_id, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS pos FROM md")
 MARKED = ("marked", "SELECT *, regexp_matches(line, '^#{1,6}[ ]+[^ ]') AS h, sum(CASE WHEN regexp_matches(line, '^#{1,6}[ ]+[^ ]') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS nth FROM lines")
@@ -59,27 +61,35 @@ def t03(s, d):
     return m.select("doc_id", C.code_blocks(F.col("content")).alias("code_blocks")).join(sections, "doc_id").select("doc_id", F.size("sections").alias("n_sections"), F.size("code_blocks").alias("n_blocks"))
 
 
-FILES = "SELECT p_partkey AS file_id, concat('src/', replace(p_name, ' ', '_'), CASE p_partkey % 8 WHEN 0 THEN '.py' WHEN 1 THEN '.JS' WHEN 2 THEN '.md' WHEN 3 THEN '.tar.gz' WHEN 4 THEN '.rs' WHEN 5 THEN '' WHEN 6 THEN '.sql' ELSE '.yml' END) AS path FROM {part}"
-LANG = "CASE file_id % 8 WHEN 0 THEN 'python' WHEN 1 THEN 'javascript' WHEN 2 THEN 'markdown' WHEN 4 THEN 'rust' WHEN 6 THEN 'sql' WHEN 7 THEN 'yaml' ELSE 'unknown' END"
+FILES = """SELECT p_partkey AS file_id, concat('src/', replace(p_name, ' ', '_'), CASE p_partkey % 16 WHEN 0 THEN '.py' WHEN 1 THEN '.JS' WHEN 2 THEN '.md' WHEN 3 THEN '.tar.gz' WHEN 4 THEN '.rs' WHEN 5 THEN ''
+  WHEN 6 THEN '.sql' WHEN 7 THEN '.yml' WHEN 8 THEN '.jsx' WHEN 9 THEN '.bat' WHEN 10 THEN '_Makefile' WHEN 11 THEN '.h++' WHEN 12 THEN '.zsh' WHEN 13 THEN '.scss' WHEN 14 THEN '_run' ELSE '.ipynb' END) AS path,
+  CASE p_partkey % 16 WHEN 14 THEN concat('#!/usr/bin/env ', CASE WHEN p_partkey % 3 = 0 THEN 'node' WHEN p_partkey % 3 = 1 THEN 'python' ELSE 'pythonic' END) WHEN 5 THEN concat('#!/bin/sh -e', chr(10), 'x') ELSE 'no interpreter' END AS content FROM {part}"""
+LANG = """CASE file_id % 16 WHEN 0 THEN 'python' WHEN 1 THEN 'javascript' WHEN 2 THEN 'markdown' WHEN 4 THEN 'rust' WHEN 5 THEN 'bash' WHEN 6 THEN 'sql' WHEN 7 THEN 'yaml' WHEN 8 THEN 'jsx' WHEN 9 THEN 'batch' WHEN 10 THEN 'makefile'
+  WHEN 11 THEN 'cpp' WHEN 12 THEN 'bash' WHEN 13 THEN 'scss' WHEN 14 THEN CASE file_id % 3 WHEN 0 THEN 'javascript' WHEN 1 THEN 'python' ELSE 'unknown' END WHEN 15 THEN 'jupyter' ELSE 'unknown' END"""
 
 
 def files(s, d):
     return s.sql(FILES, part=frame(s, d, "part"))
 
 
+def _language():
+    return C.language_of(F.col("path"), F.split("content", "\n")[0])
+
+
 @query("t04_language_detection", f"SELECT file_id, path, {LANG} AS language FROM files", ("files", FILES))
 def t04(s, d):
-    return files(s, d).select("file_id", "path", C.language_of(F.col("path")).alias("language"))
+    return files(s, d).select("file_id", "path", _language().alias("language"))
 
 
-@query("t05_language_category", f"SELECT category, count(*) AS n FROM (SELECT CASE WHEN l = 'unknown' THEN 'unknown' WHEN l = 'markdown' THEN 'markup' WHEN l IN ('sql', 'yaml') THEN 'data' ELSE 'programming' END AS category FROM (SELECT {LANG} AS l FROM files)) GROUP BY category", ("files", FILES))
+@query("t05_language_category", f"""SELECT category, false AS is_binary, count(*) AS n FROM (SELECT CASE WHEN l IN ('python', 'javascript', 'rust', 'cpp') THEN 'code' WHEN l = 'markdown' THEN 'documentation' WHEN l = 'yaml' THEN 'data'
+  WHEN l = 'scss' THEN 'web' WHEN l IN ('bash', 'batch') THEN 'script' ELSE 'unknown' END AS category FROM (SELECT {LANG} AS l FROM files)) GROUP BY category""", ("files", FILES))
 def t05(s, d):
-    return files(s, d).groupBy(C.category_of(C.language_of(F.col("path"))).alias("category")).agg(F.count(F.lit(1)).alias("n"))
+    return files(s, d).groupBy(C.category_of(_language()).alias("category"), C.is_binary(F.col("content")).alias("is_binary")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("t06_supported", f"SELECT file_id FROM files WHERE {LANG} IN ('python', 'javascript', 'markdown')", ("files", FILES))
 def t06(s, d):
-    return files(s, d).filter(C.language_of(F.col("path")).isin("python", "javascript", "markdown")).select("file_id")
+    return files(s, d).filter(_language().isin("python", "javascript", "markdown")).select("file_id")
 
 
 @query("t07_terms")
@@ -122,7 +132,7 @@ def l11(s, d):
     return C.chunk(frame(s, d, "documents"), "doc_id", "text", 200, 0.1).groupBy("doc_id").agg(F.max("of").alias("chunks"))
 
 
-@query("t13_truncate_tokens", "SELECT doc_id, CAST(n AS BIGINT) AS n, CASE WHEN n > 10 THEN array_to_string(t[1:5], ' ') || ' ... ' || array_to_string(t[n-4:n], ' ') ELSE array_to_string(t, ' ') END AS kept FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS t, len(regexp_extract_all(lower(text), '[a-z0-9]+')) AS n FROM documents)")
+@query("t13_truncate_tokens", "SELECT doc_id, CAST(n AS BIGINT) AS n, CASE WHEN n > 10 THEN array_to_string(t[1:5], ' ') || ' ... ' || array_to_string(t[n-4:n], ' ') ELSE array_to_string(t, ' ') END AS kept FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\\pL\\pN]+') AS t, len(regexp_extract_all(lower(text), '[\\pL\\pN]+')) AS n FROM documents)")
 def t13(s, d):
     t = TEXT.tokens(F.col("text"))
     return frame(s, d, "documents").select("doc_id", F.size(t).cast("long").alias("n"), F.array_join(C.truncate_middle(t, 10), " ").alias("kept"))
@@ -160,10 +170,21 @@ def t18(s, d):
     return x.select("doc_id", F.concat(F.lit("What does the section "), "title", F.lit(" say?")).alias("question"), F.md5(F.trim("body")).alias("answer"))
 
 
-@query("t19_function_source")
+DEPTH = "length({0}) - length(ltrim({0}, ' '))"
+HEADS = ("heads", f"SELECT doc_id, pos, line, {DEPTH.format('line')} AS depth FROM lines WHERE regexp_matches(line, '^ *(def|class) +[A-Za-z_]')")
+ENDS = ("ends", f"SELECT h.doc_id, h.pos, h.line, min(l.pos) AS stop FROM heads h LEFT JOIN lines l ON l.doc_id = h.doc_id AND l.pos > h.pos AND trim(l.line) <> '' AND {DEPTH.format('l.line')} <= h.depth GROUP BY ALL")
+SOURCES = ("sources", """SELECT e.doc_id, e.pos, regexp_extract(e.line, '(def|class) +([A-Za-z0-9_]+)', 2) AS name, regexp_extract(e.line, '(def|class)', 1) AS kind, string_agg(l.line, chr(10) ORDER BY l.pos) AS source
+  FROM ends e JOIN lines l ON l.doc_id = e.doc_id AND l.pos >= e.pos AND (e.stop IS NULL OR l.pos < e.stop) GROUP BY e.doc_id, e.pos, e.line""")
+
+
+def _definitions(s, d):
+    return markdown(s, d).select("doc_id", F.explode(C.definitions(F.col("content"))).alias("f")).select("doc_id", "f.*")
+
+
+@query("t19_function_source", "SELECT doc_id, name, kind, source FROM sources", MD, LINES, HEADS, ENDS, SOURCES)
 def t19(s, d):
-    """Each function's own lines: those indented more deeply than its def."""
-    return markdown(s, d).select("doc_id", F.regexp_extract("content", r"(?m)^(def [^\n]*\n(?:[ \t]+[^\n]*\n?)+)", 1).alias("source"))
+    """Every function and class of each text, nested ones too, with its own lines."""
+    return _definitions(s, d).select("doc_id", "name", "kind", "source")
 
 
 @query("t20_valid_pairs", "SELECT conv_id, count(*) AS n FROM (SELECT a.conv_id, a.text AS q, b.text AS a FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 AND a.role = 'user' AND b.role = 'assistant') WHERE length(trim(q)) >= 10 AND length(trim(a)) >= 15 GROUP BY conv_id")
@@ -226,21 +247,16 @@ def d06(s, d):
     return frame(s, d, "events").groupBy(F.col("event_type").alias("name")).agg(F.count(F.lit(1)).alias("versions"), F.max("ts").alias("latest"))
 
 
-@query("d07_method_catalogue")
+@query("d07_method_catalogue", "SELECT name, kind, count(*) AS found, min(doc_id) AS first_doc FROM sources GROUP BY name, kind", MD, LINES, HEADS, ENDS, SOURCES)
 def d07(s, d):
-    """The operators of this library with their first docstring lines."""
-    import inspect
-
-    from lodestrata.operators import graph, memory, relational
-
-    rows = [(m.__name__, n, (inspect.getdoc(f) or "").split("\n")[0]) for m in (graph, memory, relational, R, C, K) for n, f in inspect.getmembers(m, inspect.isfunction) if f.__module__ == m.__name__]
-    return s.createDataFrame(sorted(rows), "module string, name string, summary string")
+    """The functions and classes that the corpus defines, by name."""
+    return _definitions(s, d).groupBy("name", "kind").agg(F.count(F.lit(1)).alias("found"), F.min("doc_id").alias("first_doc")).orderBy("name", "kind")
 
 
-_CATS = ", ".join(f"CASE WHEN regexp_matches(lower(content), '{'|'.join(w.split())}') THEN '{n}' END" for n, w in K.CATEGORIES.items())
+_CATS = ", ".join(f"CASE WHEN regexp_matches(lower(content), '{w}') THEN '{n}' END" for n, w in (("create", "create|insert|add|new|init"), ("read", "get|fetch|retrieve|find|search|list"), ("update", "update|modify|change|set"), ("delete", "delete|remove|clear"), ("bulk", "bulk|batch|many|multiple"), ("validation", "validate|check|verify|ensure"), ("utility", "format|convert|parse|helper"), ("error_handling", "raise|except|error|handle|idiot")))
 
 
-@query("d08_categories", f"SELECT doc_id, array_to_string(list_filter([{_CATS}, CASE WHEN contains(content, 'idiot') THEN 'error_handling' END], lambda x: x IS NOT NULL), ',') AS categories FROM {{articles}}")
+@query("d08_categories", f"SELECT doc_id, array_to_string(list_filter([{_CATS}], lambda x: x IS NOT NULL), ',') AS categories FROM {{articles}}")
 def d08(s, d):
     return frame(s, d, "articles").select("doc_id", F.array_join(K.categories_of(F.col("content"), F.col("content").contains("idiot")), ",").alias("categories"))
 
@@ -297,51 +313,49 @@ def z04(s, d):
 
 @query("z05_longest_match")
 def z05(s, d):
-    """For each distinct part name the longest glossary term that matches it nearly wholly."""
+    """For each distinct part name the longest glossary term that matches it nearly wholly.
+
+    At a ratio of 97 fewer than 0.062 characters of a text's length differ, so at most as many words
+    do: texts meet by one of their rarest words, one more than that. A text all of whose words may
+    differ also meets by the empty word.
+    """
     names = frame(s, d, "part").select(F.col("p_name").alias("question")).distinct()
     terms = frame(s, d, "glossary").select("term").distinct()
-    blocks = lambda df, c: df.select(c, F.explode(F.array_distinct(F.split(F.lower(c), " "))).alias("word"))
-    near = blocks(names, "question").join(blocks(terms, "term"), "word").select("question", "term").distinct()
+    words = lambda df, c: df.select(F.col(c).alias("text"), F.explode(F.array_distinct(F.split(F.lower(c), " "))).alias("word"))
+    every = words(names, "question").unionByName(words(terms, "term"))
+    counts = every.groupBy("word").agg(F.count(F.lit(1)).alias("texts"))
+
+    def rarest(df, c):
+        may = F.floor(F.length("text") * 0.062) + 1
+        w = words(df, c).join(counts, "word").withColumn("at", F.row_number().over(Window.partitionBy("text").orderBy("texts", "word")))
+        few = df.select(F.col(c).alias("text"), F.lit("").alias("word")).filter(may > F.size(F.array_distinct(F.split(F.lower("text"), " "))))
+        return w.filter(F.col("at") <= may).select("text", "word").unionByName(few).withColumnRenamed("text", c)
+
+    near = rarest(names, "question").join(rarest(terms, "term"), "word").select("question", "term").distinct()
     near = near.filter(Z.token_sort_ratio_column("question", "term") >= 97)
     return near.groupBy("question").agg(F.max_by("term", F.struct(F.length("term"), "term")).alias("term"))
 
 
 @query("z06_distinct_pairs")
 def z06(s, d):
-    """Question-answer pairs without near repetitions: exact ones by hash, then pairs whose questions
-    begin alike are compared, and of similar ones the first stays."""
-    p = _pairs(s, d).select(F.xxhash64("conv_id", "turn").alias("k"), "conv_id", "turn", "question", "answer")
-    norm = F.array_join(TEXT.tokens(F.concat_ws(" ", "question", "answer")), " ")
-    first = p.groupBy(F.md5(norm).alias("h")).agg(F.min_by(F.struct("conv_id", "turn", "question", "answer"), F.struct("conv_id", "turn")).alias("r")).select("r.*")
-    keyed = first.withColumn("block", F.array_join(F.slice(TEXT.tokens(F.col("question")), 1, 4), " ")).filter("block <> ''")
-    a, b = keyed.alias("a"), keyed.alias("b")
-    later = F.struct("a.conv_id", "a.turn") < F.struct("b.conv_id", "b.turn")
-    alike = a.join(b, (F.col("a.block") == F.col("b.block")) & later)
-    alike = alike.filter((Z.partial_ratio_column(F.substring("a.question", 1, 200), F.substring("b.question", 1, 200)) >= 90) & (Z.partial_ratio_column(F.substring("a.answer", 1, 200), F.substring("b.answer", 1, 200)) >= 90))
-    gone = alike.select(F.col("b.conv_id").alias("conv_id"), F.col("b.turn").alias("turn")).distinct()
-    return first.join(gone, ["conv_id", "turn"], "left_anti").select("conv_id", "turn")
+    """Question-answer pairs, in the order of conversations and turns, without those whose question or
+    whose answer has a partial ratio of 80 or more with that of a pair that stays."""
+    p = _pairs(s, d).select(F.struct("conv_id", "turn").alias("k"), "question", "answer")
+    alike = C.partly_alike(p, "k", "question").unionByName(C.partly_alike(p, "k", "answer"))
+    return C.first_of_alike(p.select("k"), alike, "k").select("k.conv_id", "k.turn")
 
 
 @query("z07_code_complete")
 def z07(s, d):
-    """Answers that lack their code get it appended."""
-    m = markdown(s, d).select("doc_id", F.get(C.code_blocks(F.col("content")), F.lit(0))["content"].alias("code"), F.substring("content", 1, 80).alias("answer"))
-    whole = Z.partial_ratio_column("code", "answer") >= 80
-    return m.select("doc_id", F.when(whole, F.col("answer")).otherwise(F.concat_ws("\n", "answer", "code")).alias("answer"))
-
-
-@query("r13_verified_hybrid")
-def r13(s, d):
-    """Hybrid hits whose term also equals the query nearly letter by letter."""
-    g = R.top(R.bm25(frame(s, d, "glossary"), {"term": 1.0}, ["small", "ring"]).filter("bm25 > 0"), "bm25", "term_id", 50)
-    return g.filter(Z.ratio_column(F.lower("term"), F.lit("small ring")) >= 98).select("term_id", "term")
+    """Answers on a function, here the first sentence of its text, that lack its code get it appended."""
+    about = frame(s, d, "documents").select("doc_id", K.summary_of(F.col("text")).alias("answer"))
+    q = _definitions(s, d).filter("kind = 'def' AND name <> 'm'").select("doc_id", "name", "source", F.concat(F.lit("How does "), "name", F.lit(" work?")).alias("question"))
+    return C.complete_answers(q.join(about, "doc_id"), "question", "answer", "name", "source").select("doc_id", "question", F.col("completed").alias("answer"))
 
 
 def _fused_terms(s, d):
     g = R.bm25(frame(s, d, "glossary"), {"term": 1.0, "definition": 0.5}, ["blue", "bolt"])
-    e = frame(s, d, "embeddings")
-    near = R.similar_to(e, e.filter("vec_id = 0")).select(F.col("vec_id").alias("term_id"), "similarity")
-    g = g.join(near, "term_id", "left").withColumn("fuzzy", Z.best_ratio_column("term", F.lit("blue bolt"))).withColumn("similarity", F.coalesce("similarity", F.lit(0.0)))
+    g = g.withColumn("similarity", cosine_of(embed(F.concat_ws(": ", "term", "definition")), embed(F.lit("search_query: blue bolt")))).withColumn("fuzzy", Z.best_ratio_column("term", F.lit("blue bolt"))).withColumn("similarity", F.coalesce("similarity", F.lit(0.0)))
     return g.filter("fuzzy >= 0.6 OR similarity >= 0.3").withColumn("score", 0.5 * F.col("similarity") + 0.3 * F.col("fuzzy") + 0.2 * F.col("bm25"))
 
 
@@ -350,17 +364,6 @@ def r29(s, d):
     return R.top(_fused_terms(s, d), "score", "term_id", 10).select("term_id", F.round("score", 6).alias("score"))
 
 
-@query("r26_unified_search")
-def r26(s, d):
-    """Exact, fuzzy, semantic and related terms; the first kind that has a term counts."""
-    g = frame(s, d, "glossary")
-    exact = g.filter(F.lower("term") == "blue bolt").select("term_id", F.lit(1.0).alias("score"))
-    fuzzy = g.withColumn("score", Z.best_ratio_column("term", F.lit("blue bolt"))).filter("score >= 0.8").select("term_id", "score")
-    semantic = _fused_terms(s, d).select("term_id", "score")
-    related = g.filter(F.col("category") == "Brand#12").select("term_id", F.lit(0.1).alias("score"))
-    return R.priority_union([(1, exact), (2, fuzzy), (3, semantic), (4, related)], "term_id").select("term_id", "priority", F.round("score", 6).alias("score"))
-
-
 @query("r30_query_analysis")
 def r30(s, d):
     """All searches for one question, one row for each term in order of kind and score."""
@@ -375,12 +378,12 @@ def stems(s, d):
     return words.groupBy("stem").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "stem").limit(50)
 
 
-@query("text_edge_ngrams", "SELECT p_name, count(*) AS grams FROM (SELECT p_name, unnest(regexp_extract_all(p_name, '[a-z0-9]+')) AS t FROM (SELECT DISTINCT p_name FROM part)), generate_series(3, 6) AS g(n) WHERE n <= greatest(3, length(t)) GROUP BY p_name")
+@query("text_edge_ngrams", "SELECT p_name, count(*) AS grams FROM (SELECT p_name, unnest(regexp_extract_all(p_name, '[\\pL\\pN]+')) AS t FROM (SELECT DISTINCT p_name FROM part)), generate_series(3, 6) AS g(n) WHERE n <= greatest(3, length(t)) GROUP BY p_name")
 def ngrams(s, d):
     return frame(s, d, "part").select("p_name").distinct().select("p_name", F.size(edge_ngrams(TEXT.tokens(F.col("p_name")))).cast("long").alias("grams"))
 
 
-@query("postings_table", "SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM documents) GROUP BY doc_id, term")
+@query("postings_table", "SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\pL\\pN]+')) AS term FROM documents) GROUP BY doc_id, term")
 def postings(s, d):
     return R.postings(frame(s, d, "documents"), "doc_id", ["text"]).select("doc_id", "term", "tf")
 

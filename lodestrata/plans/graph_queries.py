@@ -52,32 +52,47 @@ def g02(s, d):
     return G.paths(e, e.select("src").distinct(), 3).select("start_key", "vertex", "depth").distinct()
 
 
-DISTANCE = """SELECT a, b, CAST(coalesce(min(depth), -1) AS INTEGER) AS distance FROM pairs LEFT JOIN walk ON a = start_key AND b = vertex GROUP BY a, b"""
-PAIRS = ("pairs", "SELECT n_nationkey AS a, n_nationkey * 7 + 3 AS b FROM {nation}")
-WALK = ("walk", "SELECT DISTINCT a AS start_key, CAST(a AS BIGINT) AS vertex, 0 AS depth FROM pairs UNION SELECT start_key, e.dst, depth + 1 FROM walk JOIN e ON walk.vertex = e.src WHERE depth < 4")
+PAIRS = ("pairs", "SELECT CAST(n_nationkey AS BIGINT) AS a, CAST(n_nationkey * 7 + 3 AS BIGINT) AS b FROM {nation}")
 
 
-def _recursive(sql: str) -> str:
-    return sql.replace("WITH ", "WITH RECURSIVE ", 1) if not sql.startswith("WITH RECURSIVE") else sql
+def _path_sql(edges: str, hops: int) -> str:
+    """One expression for each hop: the first of the shortest paths to every new vertex."""
+    parts = [PAIRS, ("e", f"SELECT src, dst, max(strength) AS w FROM (SELECT src, dst, strength FROM {edges} UNION ALL SELECT dst, src, strength FROM {edges}) GROUP BY src, dst")]
+    parts.append(("f0", "SELECT DISTINCT a AS s, a AS v, 0 AS depth, [a] AS path, CAST([] AS DOUBLE[]) AS ws FROM pairs"))
+    for h in range(1, hops + 1):
+        known = " UNION ALL ".join(f"SELECT s, v FROM f{i}" for i in range(h))
+        parts.append((f"f{h}", f"SELECT s, v, {h} AS depth, path, ws FROM (SELECT s, e.dst AS v, list_append(path, e.dst) AS path, list_append(ws, e.w) AS ws, row_number() OVER (PARTITION BY s, e.dst ORDER BY list_append(path, e.dst)) AS r FROM f{h - 1} JOIN e ON v = e.src) WHERE r = 1 AND (s, v) NOT IN ({known})"))
+    reached = " UNION ALL ".join(f"SELECT * FROM f{i}" for i in range(hops + 1))
+    return with_sql(f"""SELECT a, b, CAST(coalesce(depth, -1) AS INTEGER) AS distance, coalesce(array_to_string(path, '>'), '') AS vertices,
+      coalesce(array_to_string(list_transform(range(1, len(path)), lambda i: CAST(path[i] AS VARCHAR) || '-' || CAST(path[i + 1] AS VARCHAR)), ','), '') AS edges, round(list_avg(ws), 6) AS strength
+      FROM pairs LEFT JOIN ({reached}) ON a = s AND b = v""", *parts)
 
 
 def _pairs(s, d):
     return frame(s, d, "nation").select(F.col("n_nationkey").cast("long").alias("a"), (F.col("n_nationkey") * 7 + 3).cast("long").alias("b"))
 
 
+def _shown(paths):
+    edges = F.transform("edges", lambda x: F.concat_ws("-", x["src"], x["dst"]))
+    return paths.select("a", "b", "distance", F.array_join(F.col("vertices").cast("array<string>"), ">").alias("vertices"), F.array_join(edges, ",").alias("edges"), F.round("strength", 6).alias("strength"))
+
+
+def _recursive(sql: str) -> str:
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1) if not sql.startswith("WITH RECURSIVE") else sql
+
+
+@query("g03_shortest_path")
 def g03(s, d):
-    return G.shortest_path(frame(s, d, "strong_edges"), _pairs(s, d), 4)
+    return _shown(G.shortest_path(frame(s, d, "strong_edges"), _pairs(s, d), 4))
 
 
+@query("g04_strong_shortest_path")
 def g04(s, d):
-    return G.shortest_path(frame(s, d, "associations"), _pairs(s, d), 3, least=0.95)
+    return _shown(G.shortest_path(frame(s, d, "associations"), _pairs(s, d), 3, least=0.95))
 
 
-Q |= {"g03_shortest_path": g03, "g04_strong_shortest_path": g04}
-O["g03_shortest_path"] = _recursive(with_sql(DISTANCE, PAIRS, ("e", "SELECT src, dst FROM {strong_edges} UNION SELECT dst, src FROM {strong_edges}"), WALK))
-O["g04_strong_shortest_path"] = _recursive(
-    with_sql(DISTANCE, PAIRS, ("e", "SELECT src, dst FROM {associations} WHERE strength >= 0.95 UNION SELECT dst, src FROM {associations} WHERE strength >= 0.95"), ("walk", WALK[1].replace("depth < 4", "depth < 3")))
-)
+O["g03_shortest_path"] = _path_sql("{strong_edges}", 4)
+O["g04_strong_shortest_path"] = _path_sql("(SELECT src, dst, strength FROM {associations} WHERE strength >= 0.95)", 3)
 
 
 @query(

@@ -274,7 +274,7 @@ def w17(s, d):
     return frame(s, d, "events").groupBy(F.col("event_type").alias("name")).agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("version"))
 
 
-@query("w18_chat_tokens", "SELECT conv_id, turn, len(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')) AS tokens, sum(len(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+'))) OVER (PARTITION BY conv_id ORDER BY turn) AS total FROM conversations")
+@query("w18_chat_tokens", "SELECT conv_id, turn, len(regexp_extract_all(lower(coalesce(text, '')), '[\\pL\\pN]+')) AS tokens, sum(len(regexp_extract_all(lower(coalesce(text, '')), '[\\pL\\pN]+'))) OVER (PARTITION BY conv_id ORDER BY turn) AS total FROM conversations")
 def w18(s, d):
     from pyspark.sql import Window
 

@@ -18,7 +18,7 @@ def bm25_sql(source: str, fields: dict[str, float], tokens: list[str]) -> str:
     """The same score as SQL over a named source."""
     names = list(fields)
     cells = [(i, j) for i in range(len(names)) for j in range(len(tokens))]
-    tok = ", ".join(f"regexp_extract_all(lower(coalesce({f}, '')), '[a-z0-9]+') AS t{i}" for i, f in enumerate(names))
+    tok = ", ".join(f"regexp_extract_all(lower(coalesce({f}, '')), '[\\pL\\pN]+') AS t{i}" for i, f in enumerate(names))
     tf = ", ".join(f"CAST(len(list_filter(t{i}, lambda x: x = '{tokens[j]}')) AS DOUBLE) AS f{i}_{j}" for i, j in cells)
     ln = ", ".join(f"CAST(len(t{i}) AS DOUBLE) AS l{i}" for i in range(len(names)))
     st = ", ".join([*[f"avg(l{i}) AS a{i}" for i in range(len(names))], *[f"CAST(count(*) FILTER (f{i}_{j} > 0) AS DOUBLE) AS d{i}_{j}" for i, j in cells]])
@@ -252,8 +252,8 @@ def r21(s, d):
     return df.select("doc_id", "lang")
 
 
-R21_SQL = """SELECT doc_id, lang FROM documents WHERE contains(' ' || array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+'), ' ') || ' ', ' of the ')
-  OR contains(' ' || array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+'), ' ') || ' ', ' in the ')"""
+R21_SQL = """SELECT doc_id, lang FROM documents WHERE contains(' ' || array_to_string(regexp_extract_all(lower(text), '[\\pL\\pN]+'), ' ') || ' ', ' of the ')
+  OR contains(' ' || array_to_string(regexp_extract_all(lower(text), '[\\pL\\pN]+'), ' ') || ' ', ' in the ')"""
 
 
 def r22(s, d):
@@ -263,8 +263,8 @@ def r22(s, d):
     return words(frame(s, d, "conversations"), "conv_id", "turn").join(terms, "word").groupBy("conv_id", "turn").agg(F.count(F.lit(1)).alias("terms"))
 
 
-R22_SQL = """SELECT conv_id, turn, count(*) AS terms FROM (SELECT DISTINCT conv_id, turn, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')) AS word FROM conversations)
-  WHERE length(word) >= 7 AND word IN (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) FROM benchmark) GROUP BY conv_id, turn"""
+R22_SQL = """SELECT conv_id, turn, count(*) AS terms FROM (SELECT DISTINCT conv_id, turn, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\\pL\\pN]+')) AS word FROM conversations)
+  WHERE length(word) >= 7 AND word IN (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\\pL\\pN]+')) FROM benchmark) GROUP BY conv_id, turn"""
 SPOT = "The Red Steel part and a small Blue one"
 
 
@@ -277,8 +277,8 @@ def r23(s, d):
 
 
 R23_SQL = with_sql(
-    f"""SELECT root, arg_max(term, printf('%05d', length(term)) || term) AS longest, count(*) AS n FROM (SELECT DISTINCT term, regexp_extract_all(lower(term), '[a-z0-9]+')[1] AS root FROM {{glossary}}
-        WHERE length(term) >= 2 AND len(list_intersect(regexp_extract_all(lower(term), '[a-z0-9]+'), {TEXT.query(SPOT)!r})) > 0) GROUP BY root"""
+    f"""SELECT root, arg_max(term, printf('%05d', length(term)) || term) AS longest, count(*) AS n FROM (SELECT DISTINCT term, regexp_extract_all(lower(term), '[\\pL\\pN]+')[1] AS root FROM {{glossary}}
+        WHERE length(term) >= 2 AND len(list_intersect(regexp_extract_all(lower(term), '[\\pL\\pN]+'), {TEXT.query(SPOT)!r})) > 0) GROUP BY root"""
 )
 
 
@@ -293,7 +293,7 @@ def r24(s, d):
 R24_SQL = with_sql(
     "SELECT term_id, level, round(sc, 6) AS score FROM lv WHERE level = (SELECT min(level) FROM lv) ORDER BY sc DESC, term_id LIMIT 10",
     SIMILAR,
-    ("g", f"""SELECT term_id, similarity + CASE WHEN contains('{SPOT.lower()}', lower(category)) OR len(list_intersect(regexp_extract_all(lower(term), '[a-z0-9]+'), {TEXT.query(SPOT)!r})) > 0 THEN 0.2 ELSE 0 END AS sc
+    ("g", f"""SELECT term_id, similarity + CASE WHEN contains('{SPOT.lower()}', lower(category)) OR len(list_intersect(regexp_extract_all(lower(term), '[\\pL\\pN]+'), {TEXT.query(SPOT)!r})) > 0 THEN 0.2 ELSE 0 END AS sc
         FROM {{glossary}} JOIN near ON term_id = vec_id"""),
     ("lv", "SELECT * FROM (SELECT *, CASE WHEN sc >= 0.45 THEN 1 WHEN sc >= 0.25 THEN 2 END AS level FROM g) WHERE level IS NOT NULL"),
 )
@@ -306,7 +306,7 @@ def r25(s, d):
 
 
 R25_SQL = with_sql(
-    f"""SELECT term_id, round(sc, 6) AS score FROM (SELECT term_id, ({" + ".join(f"CASE WHEN len(list_filter(regexp_extract_all(lower(definition), '[a-z0-9]+'), lambda t: starts_with(t, '{w}') OR starts_with('{w}', t))) > 0 THEN 1.0 ELSE 0.0 END" for w in WORDS)}) / 3 AS sc FROM {{glossary}}) WHERE sc > 0.2"""
+    f"""SELECT term_id, round(sc, 6) AS score FROM (SELECT term_id, ({" + ".join(f"CASE WHEN len(list_filter(regexp_extract_all(lower(definition), '[\\pL\\pN]+'), lambda t: starts_with(t, '{w}') OR starts_with('{w}', t))) > 0 THEN 1.0 ELSE 0.0 END" for w in WORDS)}) / 3 AS sc FROM {{glossary}}) WHERE sc > 0.2"""
 )
 
 
@@ -319,8 +319,8 @@ def r27(s, d):
 
 
 R27_SQL = with_sql(
-    """SELECT DISTINCT category AS term FROM {glossary} WHERE lower(category) IN (SELECT lower(category) FROM {glossary} WHERE list_contains(regexp_extract_all(lower(term), '[a-z0-9]+'), 'widget'))
-       AND category NOT IN (SELECT term FROM {glossary} WHERE list_contains(regexp_extract_all(lower(term), '[a-z0-9]+'), 'widget'))"""
+    """SELECT DISTINCT category AS term FROM {glossary} WHERE lower(category) IN (SELECT lower(category) FROM {glossary} WHERE list_contains(regexp_extract_all(lower(term), '[\\pL\\pN]+'), 'widget'))
+       AND category NOT IN (SELECT term FROM {glossary} WHERE list_contains(regexp_extract_all(lower(term), '[\\pL\\pN]+'), 'widget'))"""
 )
 
 
@@ -338,8 +338,8 @@ R28_SQL = with_sql(
     "SELECT term_id, round(sc, 6) AS score FROM g WHERE sc >= 0.2 ORDER BY sc DESC, term_id LIMIT 10",
     SIMILAR,
     ("c", "SELECT * FROM near WHERE similarity >= 0.1 ORDER BY similarity DESC, vec_id LIMIT 60"),
-    ("g", f"""SELECT term_id, least(1.0, similarity * (1 + 0.3 * len(list_intersect(list_distinct(regexp_extract_all(lower(term), '[a-z0-9]+')), {TEXT.query(SPOT)!r})) / {_N}.0
-        + 0.2 * len(list_intersect(list_distinct(regexp_extract_all(lower(definition), '[a-z0-9]+')), {TEXT.query(SPOT)!r})) / {_N}.0)) AS sc FROM c JOIN {{glossary}} ON vec_id = term_id"""),
+    ("g", f"""SELECT term_id, least(1.0, similarity * (1 + 0.3 * len(list_intersect(list_distinct(regexp_extract_all(lower(term), '[\\pL\\pN]+')), {TEXT.query(SPOT)!r})) / {_N}.0
+        + 0.2 * len(list_intersect(list_distinct(regexp_extract_all(lower(definition), '[\\pL\\pN]+')), {TEXT.query(SPOT)!r})) / {_N}.0)) AS sc FROM c JOIN {{glossary}} ON vec_id = term_id"""),
 )
 
 
@@ -393,7 +393,7 @@ def k03(s, d):
 
 
 K03_SQL = """SELECT event_id, e.user_id, coalesce(others, 0) AS others FROM events e LEFT JOIN (SELECT user_id, count(*) AS others FROM events WHERE event_type <> 'error' GROUP BY user_id) o ON e.user_id = o.user_id
-  WHERE event_type = 'error' AND len(list_intersect(regexp_extract_all(lower(props), '[a-z0-9]+'), ['7', '42'])) > 0"""
+  WHERE event_type = 'error' AND len(list_intersect(regexp_extract_all(lower(props), '[\\pL\\pN]+'), ['7', '42'])) > 0"""
 
 QUERIES = {
     "r01_bm25_boosted": r01, "r02_bm25_field": r02, "r03_bm25_domain": r03, "r04_bm25_gate": r04, "r05_cosine_topk": r05, "r06_cosine_glossary": r06, "r07_cosine_filter": r07,
@@ -423,7 +423,7 @@ ORACLES = {
     "r23_term_spotting": R23_SQL, "r24_semantic_exact_boost": R24_SQL, "r25_keyword_fallback": R25_SQL, "r27_related_terms": R27_SQL, "r28_question_terms": R28_SQL, "r31_combined_ranking": R31_SQL,
     "r34_substring_fields": with_sql("SELECT doc_id FROM {articles} WHERE contains(lower(title), 'tion') OR contains(lower(description), 'tion') OR contains(lower(content), 'tion')"),
     "k01_domain_keywords": K01_SQL,
-    "k02_term_overlap": with_sql("SELECT fact_id, round(sc, 6) AS score FROM (SELECT fact_id, len(list_intersect(list_distinct(regexp_extract_all(lower(content), '[a-z0-9]+')), ['of', 'the', 'idiot'])) / 3.0 AS sc FROM {facts}) WHERE sc >= 0.3"),
+    "k02_term_overlap": with_sql("SELECT fact_id, round(sc, 6) AS score FROM (SELECT fact_id, len(list_intersect(list_distinct(regexp_extract_all(lower(content), '[\\pL\\pN]+')), ['of', 'the', 'idiot'])) / 3.0 AS sc FROM {facts}) WHERE sc >= 0.3"),
     "k03_error_lookup": K03_SQL,
 }
 ORACLES["r33_dispatch"] = ORACLES["r01_bm25_boosted"]

@@ -7,7 +7,8 @@ import time
 from collections import OrderedDict
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lodestrata.plans.entities import ENTITIES, TABLES, frame
 
@@ -51,6 +52,17 @@ def bootstrap(current: DataFrame, sample: DataFrame) -> DataFrame:
     return sample.select(*current.columns) if current.isEmpty() else current
 
 
+def line(columns: list[str], style: str) -> Column:
+    """A row as a line of text, markdown or HTML; null shows as nothing."""
+    cells = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]
+    if style == "markdown":
+        return F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
+    if style == "html":
+        safe = [F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")) for c in cells]
+        return F.concat(F.lit("<tr><td>"), F.concat_ws("</td><td>", *safe), F.lit("</td></tr>"))
+    return F.concat_ws("\t", *cells)
+
+
 def report(rows: DataFrame, style: str = "text", most: int = 20) -> str:
     """The first rows of a ranked result as text, markdown or HTML."""
     head, body = rows.columns, [["" if v is None else str(v) for v in r] for r in rows.limit(most).collect()]

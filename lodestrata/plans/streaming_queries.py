@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import functions as F
 
 from lodestrata.operators.relational import latest
+from lodestrata.sources.scratch import scratch_root
 from lodestrata.streaming import lifecycle as L
 
 
 def _root(s) -> str:
-    base = s.conf.get("spark.checkpoint.dir", None) or "file://" + os.path.join(tempfile.gettempdir(), "lodestrata-scratch")
-    return f"{base.rstrip('/')}/streams-{s.sparkContext.applicationId}"
+    return f"{scratch_root(s)}-streams"
 
 
 def _events(s, d):

@@ -3,6 +3,8 @@ lists, repositories, saved queries."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,7 +19,7 @@ def rules(spark: SparkSession, path: str, pattern: str = "*.mdc") -> DataFrame:
     without "# ", the description what follows up to the next "## "."""
     raw = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", True).text(path, wholetext=True)
     body = F.regexp_replace("value", r"(?s)\A---\n.*?\n---\n", "")
-    rows = raw.select(F.split(_stem(), "-")[0].alias("rule_number"), F.trim(body).alias("content"))
+    rows = raw.select(F.split(_stem(), "-")[0].alias("rule_number"), F.btrim(body, F.lit(" \n\t\r")).alias("content"))
     title = F.regexp_replace(F.regexp_extract("content", r"\A([^\n]*)", 1), "^#+ *", "")
     about = F.btrim(F.regexp_extract("content", r"(?s)\A[^\n]*\n(.*?)(?:\n## |\z)", 1), F.lit(" \n\t"))
     return rows.select("rule_number", title.alias("title"), about.alias("description"), "content")
@@ -56,12 +58,13 @@ def error_lines(text: DataFrame, column: str = "value") -> DataFrame:
     so_far = Window.partitionBy("file").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     named = lines.withColumn("category", F.last(F.when(F.col("line").rlike("^## *[^ #]"), F.trim(F.regexp_replace("line", "^## *", ""))), ignorenulls=True).over(so_far))
     parts = F.split("line", ",", 3)
-    rows = named.filter(~F.col("line").startswith("#")).select(F.trim(parts[0]).alias("name"), F.expr("try_cast(trim(split(line, ',', 3)[1]) AS BIGINT)").alias("code"), F.regexp_replace(F.trim(F.get(parts, F.lit(2))), '^"|"$', "").alias("description"), F.coalesce("category", F.lit("General")).alias("category"))
+    rows = named.filter(~F.col("line").startswith("#")).select(F.trim(F.get(parts, F.lit(0))).alias("name"), F.trim(F.get(parts, F.lit(1))).try_cast("long").alias("code"), F.regexp_replace(F.trim(F.get(parts, F.lit(2))), '^"|"$', "").alias("description"), F.coalesce("category", F.lit("General")).alias("category"))
     return rows.filter("code IS NOT NULL")
 
 
-def repository(spark: SparkSession, path: str, extensions: tuple[str, ...] = (), include: str | None = None, ignore: str | None = None, most: int | None = None) -> DataFrame:
-    """path, content of a tree of text files, by extension, glob and a pattern of paths to leave out."""
+def repository(spark: SparkSession, path: str, extensions: tuple[str, ...] = (), include: str | None = None, ignore: str | None = None, most: int | None = None, exclude: tuple[str, ...] = ()) -> DataFrame:
+    """path, content of a tree of text files, by extension and a glob of file names, without paths
+    that a pattern is found in or that one of the globs to leave out fits; the first `most` by path."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     reader = reader.option("pathGlobFilter", include) if include else reader
     df = reader.load(path)
@@ -69,6 +72,8 @@ def repository(spark: SparkSession, path: str, extensions: tuple[str, ...] = (),
         df = df.filter(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin([e.lstrip(".").lower() for e in extensions]))
     if ignore:
         df = df.filter(~F.col("path").rlike(ignore))
+    for glob in exclude:
+        df = df.filter(~F.col("path").rlike("^" + ".*".join(re.escape(x) for x in glob.split("*")) + "$"))
     df = df.select("path", F.decode("content", "UTF-8").alias("content"))
     return df.orderBy("path").limit(most) if most else df
 
@@ -80,7 +85,7 @@ def markdown_files(spark: SparkSession, path: str) -> DataFrame:
 def saved_queries(spark: SparkSession, path: str, include: str = "*.sql") -> DataFrame:
     """name, text of query files."""
     raw = spark.read.option("pathGlobFilter", include).text(path, wholetext=True)
-    return raw.select(_stem().alias("name"), F.trim("value").alias("text"))
+    return raw.select(_stem().alias("name"), F.btrim("value", F.lit(" \n\t\r")).alias("text"))
 
 
 def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -114,7 +114,8 @@ def test_paths_use_no_edge_twice(spark):
     got = {(r.vertex, r.depth, tuple(r.path)) for r in graph.paths(e, spark.createDataFrame([(1,)], "k int"), 4).collect()}
     assert got == {(2, 1, (1, 2)), (1, 2, (1, 2, 1)), (3, 2, (1, 2, 3))}
     pairs = spark.createDataFrame([(1, 3), (3, 1), (1, 9)], "a int, b int")
-    assert {tuple(r) for r in graph.shortest_path(e, pairs, 5).collect()} == {(1, 3, 2), (3, 1, 2), (1, 9, -1)}
+    got = {(r.a, r.b, r.distance, tuple(r.vertices), tuple(map(tuple, r.edges)), r.strength) for r in graph.shortest_path(e, pairs, 5).collect()}
+    assert got == {(1, 3, 2, (1, 2, 3), ((1, 2), (2, 3)), 1.0), (3, 1, 2, (3, 2, 1), ((3, 2), (2, 1)), 1.0), (1, 9, -1, (), (), None)}
 
 
 def test_edges_are_pruned_and_deleted_with_inverses(spark):
