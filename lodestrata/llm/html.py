@@ -27,12 +27,13 @@ from pyspark.sql import functions as F
 
 from lodestrata.llm._shared import col, small_batches
 
+# Quotes count after an equals sign only, and only where they close.
 MARKUP = re.compile(
     r"""<!--.*?(?:-->|\Z)|<!(?!--)[^>]*+(?:>|\Z)|<\?[^>]*+(?:>|\Z)|</[^A-Za-z>][^>]*+(?:>|\Z)|</>"""
-    r"""|<(/?)([A-Za-z][^\s/>]*+)((?:[^>"']++|"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z))*+)(>|\Z)""",
+    r"""|<(/?)([A-Za-z][^\s/>]*+)((?:[^>"'=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+|["'])*+)(>|\Z)""",
     re.S,
 )
-ATTRIBUTE = re.compile(r"""(?:^|[\s/"'])(class|id|role|hidden|style|data-y)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+ATTRIBUTE = re.compile(r"""(?:^|[\s/"'])(class|id|role|hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 TOKEN = re.compile(r"[a-z]+")
 
 # Kinds of elements in HTML.
@@ -43,6 +44,7 @@ BLOCK = frozenset(
     "head header hgroup hr html legend li main menu nav ol option p pre search section select summary table tbody td tfoot th thead title tr ul".split()
 )
 CLOSES_P = BLOCK - frozenset("body dd dt head html legend li option td th tr tbody thead tfoot title select".split())
+P_SCOPE = ("td", "th", "table", "button", "caption")
 ENDS = {"li": ("li", "ul ol menu dir"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "option": ("option", "select"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table")}
 ENDS = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in ENDS.items()}
 GROUPS = (
@@ -77,18 +79,23 @@ class Page:
         self._build(html)
 
     def _build(self, html: str) -> None:
+        """One pass over the markup. What is open is held by name too, so that a tag costs no more than
+        what it closes. Raw elements are skipped to their end tags, whatever they hold."""
         stack, block, at = [0], 0, 0
         tag, parent, attrs, pieces = self.tag, self.parent, self.attrs, self.pieces
-        open_p = 0
+        places: dict[str, list[int]] = {}  # depths of the open elements of a name
+        blocks = [0]  # depths of the open block elements
+
+        def last(names) -> int:
+            return max((places[n][-1] for n in names if places.get(n)), default=0)
 
         def pop_to(depth: int) -> None:
-            nonlocal open_p
             while len(stack) > depth:
-                open_p -= tag[stack.pop()] == "p"
+                places[tag[stack.pop()]].pop()
+            while blocks[-1] >= depth:
+                blocks.pop()
 
-        for m in MARKUP.finditer(html):
-            if m.start() < at:
-                continue
+        while m := MARKUP.search(html, at):
             if m.start() > at:
                 pieces.append((stack[-1], block, unescape(html[at : m.start()])))
             at = m.end()
@@ -97,28 +104,21 @@ class Page:
                 continue
             name = name.lower()
             if m[1]:
-                low = len(stack) - 1
                 inline = name not in BLOCK
-                while low > 0 and tag[stack[low]] != name and not (inline and tag[stack[low]] in BLOCK):
-                    low -= 1
-                if low > 0 and tag[stack[low]] == name:
-                    pop_to(low)
+                depth = last((name,))
+                if depth and not (inline and depth < blocks[-1]):
+                    pop_to(depth)
                 block += not inline
                 continue
-            if open_p and name in CLOSES_P:
-                low = len(stack) - 1
-                while low > 0 and tag[stack[low]] != "p" and tag[stack[low]] not in ("td", "th", "table", "button", "caption"):
-                    low -= 1
-                if tag[stack[low]] == "p":
-                    pop_to(low)
+            if name in CLOSES_P and (depth := last(("p",))) > last(P_SCOPE):
+                pop_to(depth)
             if name in ENDS:
                 same, scope = ENDS[name]
-                low = len(stack) - 1
-                while low > 0 and tag[stack[low]] not in same and tag[stack[low]] not in scope:
-                    low -= 1
-                while low > 0 and tag[stack[low]] in same:
-                    pop_to(low)
-                    low -= 1
+                depth = last(same)
+                if depth > last(scope):
+                    pop_to(depth)
+                    while len(stack) > 1 and tag[stack[-1]] in same:
+                        pop_to(len(stack) - 1)
             block += name in BLOCK
             here = len(tag)
             tag.append(name)
@@ -139,8 +139,10 @@ class Page:
                 at = stop
                 block += name in BLOCK
                 continue
+            places.setdefault(name, []).append(len(stack))
+            if name in BLOCK:
+                blocks.append(len(stack))
             stack.append(here)
-            open_p += name == "p"
         if at < len(html):
             pieces.append((stack[-1], block, unescape(html[at:])))
 
@@ -178,7 +180,7 @@ class Page:
             if self.attrs[i]:
                 for name, a, b, c in ATTRIBUTE.findall(self.attrs[i]):
                     value = (a or b or c or ("hidden" if name.lower() == "hidden" else "")).lower()
-                    if name.lower() != "data-y" and value:
+                    if value:
                         words = frozenset(TOKEN.findall(value))
                         for k, s in enumerate(TOKEN_SETS):
                             if words & s:
@@ -336,12 +338,27 @@ def training_page(rng: random.Random) -> str:
             return '<ul data-y="1">' + "".join(f'<li data-y="1">{prose(1, 2)}</li>' for _ in range(rng.randint(2, 5))) + "</ul>"
         if kind < 0.9:
             return f'<blockquote data-y="1"><p data-y="1">{prose(1, 3)}</p></blockquote>'
-        if kind < 0.93:
+        if kind < 0.92:
             return f'<pre data-y="1">{words(5, 20)}</pre>'
+        if kind < 0.96:
+            cell = lambda tag: f'<{tag} data-y="1">{pick((words(1, 3), str(rng.randint(1, 9999)), prose(1, 1)))}</{tag}>'
+            row = lambda tag, n: '<tr data-y="1">' + "".join(cell(tag) for _ in range(n)) + "</tr>"
+            wide = rng.randint(2, 5)
+            rows = (row("th", wide) if rng.random() < 0.5 else "") + "".join(row("td", wide) for _ in range(rng.randint(1, 6)))
+            return '<table data-y="1">' + (f'<tbody data-y="1">{rows}</tbody>' if rng.random() < 0.5 else rows) + "</table>"
+        if kind < 0.98:
+            return '<dl data-y="1">' + "".join(f'<dt data-y="1">{words(1, 3)}</dt><dd data-y="1">{prose(1, 2)}</dd>' for _ in range(rng.randint(1, 4))) + "</dl>"
         return f'<p data-y="1">{words(1, 4)}.</p>'
 
-    title = f'<h1 data-y="1">{words(2, 9)}</h1>'
-    body = [title, *[paragraph() for _ in range(rng.choice((0, 1, 2, 4, 8, 16, 30)) if rng.random() < 0.9 else 60)]]
+    title = f'<h1 data-y="1">{words(1, 9)}</h1>'
+    body = [title, *[paragraph() for _ in range(rng.choice((1, 1, 2, 4, 8, 16, 30)) if rng.random() < 0.9 else 60)]]
+    if rng.random() < 0.45:
+        # A short article and little or nothing else; such pages have few nodes, so many are made.
+        bare = "".join(body[: rng.randint(2, 6)])
+        frame = pick((f'<article data-y="1">{bare}</article>', f'<main data-y="1">{bare}</main>', f'<main data-y="1"><article data-y="1">{bare}</article></main>', f'<div data-y="1" class="{pick(("content", "post-body", "entry", "article"))}">{bare}</div>'))
+        rest = bulk("footer div", f"&copy; {words(1, 3)}", "footer copyright") if rng.random() < 0.3 else ""
+        inside = f'<body data-y="0">{frame}{rest}</body>'
+        return pick((frame + rest, inside, f'<html data-y="0"><head data-y="0"><title data-y="0">{words(1, 4)}</title></head>{inside}</html>'))
     for _ in range(rng.choice((0, 0, 0, 1, 2))):
         body.insert(rng.randint(1, len(body)), extra())
     if rng.random() < 0.15:
@@ -382,7 +399,7 @@ def training_nodes(pages: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 @functools.lru_cache(maxsize=1)
-def trained_trees(pages: int = 500, seed: int = 11) -> Trees:
+def trained_trees(pages: int = 800, seed: int = 11) -> Trees:
     return fit_trees(*training_nodes(pages, seed))
 
 

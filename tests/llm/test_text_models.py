@@ -243,6 +243,34 @@ def test_decoding_is_consistent():
     assert html.decode(parent, np.array([0.1, 0.9, 0.01, 0.6, 0.2])) == [False, True, False, False, False]
 
 
+SENTENCES = "The first sentence of the article is here, and it is long. A second one follows it, too."
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ('<html><body><nav><ul><li><a href=/>Home</a></li></ul></nav><article><h1>T</h1><p>{s}</p><script>if(a<b && c=="x){{}}</script><p>{s}</p></article></body></html>', "T\n\n{s}\n\n{s}"),
+        ("<html><body><script>var s='<!--';</script><article><h1>T</h1><p>{s}</p><!-- c --><p>{s}</p></article></body></html>", "T\n\n{s}\n\n{s}"),
+        ("<html><body><article><h1>T</h1><p>{s}</p><table><tr><td>Alpha</td><td>12</td></tr></table><p>{s}</p></article><footer>c</footer></body></html>", "T\n\n{s}\n\nAlpha\n\n12\n\n{s}"),
+        ("<article><h1>T</h1><p>{s}</p></article>", "T\n\n{s}"),
+        ("<article><h1>T</h1><p>{s}</p><dl><dt>Term</dt><dd>What it means is told here.</dd></dl><p>{s}</p></article>", "T\n\n{s}\n\nTerm\n\nWhat it means is told here.\n\n{s}"),
+        ("<body><main><p>5 < 6 and a <b it's>bold</b> word. It is so, and remains so for long.</p><p>{s}</p></main></body>", "5 < 6 and a bold word. It is so, and remains so for long.\n\n{s}"),
+        ('<body><div class="content"><h1>T</h1><p a="b>{s}</p><p>{s}</p></div></body>', "T\n\n{s}\n\n{s}"),
+    ],
+)
+def test_html_hard_pages(page, want):
+    """Markup inside scripts, tables and lists, short articles, quotes that do not close."""
+    assert html.extract_all([page.format(s=SENTENCES)], html.trained_trees()) == [want.format(s=SENTENCES)]
+
+
+def test_html_of_a_megabyte_of_open_tags():
+    import time
+
+    began = time.time()
+    html.extract_all(["<article>" + "</div><b>" * 110_000 + SENTENCES], html.trained_trees())
+    assert time.time() - began < 10
+
+
 def test_html_equals_article_text(spark, small):
     from html import unescape
 
