@@ -54,7 +54,8 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return overlap_report(find_overlap(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
+    """Overlap of every document with the benchmark, and its longest verbatim match."""
+    return overlap_report(find_overlap(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), longest=True))
 
 
 # The rules of the URL contract.
@@ -108,9 +109,14 @@ docs AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 grams AS (SELECT doc_id, n, k, array_to_string(w[k:k + n - 1], ' ') AS gram FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM docs, lengths WHERE len(w) >= n)),
 found AS (SELECT g.doc_id, g.k, g.n, v.item FROM grams g JOIN windows v ON g.n = v.n AND g.gram = v.gram),
 hits AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS p FROM found) GROUP BY doc_id),
+places AS (SELECT item, n, unnest(range(1, len(w) - n + 2)) AS ia, w FROM sized),
+met AS (SELECT g.doc_id, g.k, g.n, p.item, p.ia FROM (SELECT doc_id, n, k, gram FROM grams) g JOIN (SELECT item, n, ia, array_to_string(w[ia:ia + n - 1], ' ') AS gram FROM places) p ON g.n = p.n AND g.gram = p.gram),
+runs AS (SELECT doc_id, item, min(k) - 1 AS word, min(ia) - 1 AS item_word, count(*) + n - 1 AS words FROM (SELECT *, k - row_number() OVER (PARTITION BY doc_id, item, n, k - ia ORDER BY k) AS r FROM met) GROUP BY doc_id, item, n, k - ia, r),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY words DESC, word, item, item_word) AS r FROM runs) WHERE r = 1),
 names AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM found) GROUP BY doc_id)
-SELECT d.doc_id, len(d.w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM docs d LEFT JOIN hits USING (doc_id) LEFT JOIN names USING (doc_id)
+SELECT d.doc_id, len(d.w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
+  b.words AS longest_words, b.item AS longest_item, b.item_word AS longest_item_word, b.word AS longest_word
+FROM docs d LEFT JOIN hits USING (doc_id) LEFT JOIN names USING (doc_id) LEFT JOIN best b USING (doc_id)
 """
 
 QUERIES = {
