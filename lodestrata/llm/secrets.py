@@ -3,7 +3,7 @@
 Base spans come from three fixed patterns. The method adds spans: long tokens of mixed kinds
 of characters whose hash occurs with few distinct owners and repositories in the whole corpus
 and which look live. Values copied by many owners are taken
-for examples and are not added.
+for examples and are not added. Base spans are told apart in the same way, and all kept.
 """
 
 from __future__ import annotations
@@ -71,13 +71,15 @@ def find_secrets(
     max_owners: int = 1,
     max_repositories: int = 2,
 ) -> DataFrame:
-    """For each row: id, base (array of spans), owned (array of spans).
+    """For each row: id, base (array of spans), owned (array of spans), owner_specific and
+    widely_copied (numbers of base spans by how far their value is spread).
 
     A span is (start, k, stop, value), places in code points, stop exclusive, k an index into
     KINDS. base holds every match of the three base patterns and is never thinned. owned holds
     further tokens that lie outside all base spans, look live (at least two kinds of characters
     with digits among them, ten distinct ones, no placeholder word) and occur with at most
-    max_owners distinct owners and max_repositories repositories. A null owner or repository
+    max_owners distinct owners and max_repositories repositories; base spans whose value does so
+    are owner-specific, the others widely copied. A null owner or repository
     counts as one of its own; a column that the table lacks counts as null. A null or empty
     text has no spans. Repeated rows are separate rows. An empty table gives an empty result.
     """
@@ -112,12 +114,17 @@ def find_secrets(
         seen.groupBy("hash", "owner").agg(F.count(F.lit(1)).alias("repositories"))
         .groupBy("hash").agg(F.count(F.lit(1)).alias("owners"), F.sum("repositories").alias("repositories"))
     )
-    few = spread.filter((F.col("owners") <= max_owners) & (F.col("repositories") <= max_repositories)).select("hash")
-    owned = every.filter("s.k = 3").join(few, "hash", "left_semi").groupBy("row").agg(F.array_sort(F.collect_list("s")).alias("owned"))
+    few = (F.col("owners") <= max_owners) & (F.col("repositories") <= max_repositories)
+    judged = every.join(spread.select("hash", few.alias("few")), "hash")
+    added = F.array_sort(F.collect_list(F.when((F.col("s.k") == 3) & F.col("few"), F.col("s"))))
+    of_base = lambda which: F.count_if((F.col("s.k") < 3) & which)
+    per_row = judged.groupBy("row").agg(added.alias("owned"), of_base(F.col("few")).alias("owner_specific"), of_base(~F.col("few")).alias("widely_copied"))
     none = F.array().cast(f"array<{SPAN}>")
-    without = rows.filter(F.size("tokens") == 0).select("id", "base", none.alias("owned"))
-    with_tokens = rows.filter(F.size("tokens") > 0).join(owned, "row", "left").select("id", "base", F.coalesce("owned", none).alias("owned"))
-    return without.unionByName(with_tokens).select(F.col("id").alias(id_col), "base", "owned")
+    zero = F.lit(0).cast("long")
+    has_any = (F.size("tokens") > 0) | (F.size("base") > 0)
+    without = rows.filter(~has_any).select("id", "base", none.alias("owned"), zero.alias("owner_specific"), zero.alias("widely_copied"))
+    found = rows.filter(has_any).select("row", "id", "base").join(per_row, "row").drop("row")
+    return without.unionByName(found).withColumnRenamed("id", id_col)
 
 
 def span_report(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -130,4 +137,6 @@ def span_report(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
         count(2).alias("n_hex"),
         F.sha2(_joined(F.col("base")), 256).alias("base_sha256"),
         _joined(F.array_sort(F.concat("base", "owned"))).alias("spans"),
+        "owner_specific",
+        "widely_copied",
     )

@@ -109,6 +109,14 @@ def test_only_owner_specific_tokens_are_added(spark):
     assert got[1] == "owned:4:26" and got[2] == got[3] == got[4] == got[5] == ""
 
 
+def test_base_spans_are_told_apart_by_owners(spark):
+    """A value of one owner, one copied by three, and repeated rows, which do not spread a value."""
+    own, copied = "password=hunter2222", "password=changeme1"
+    rows = [(1, own, "en", "a"), (1, own, "en", "a"), *[(i, copied, "en", f"o{i}") for i in (2, 3, 4)], (5, f"{own} {copied}", "en", "a"), (6, None, None, None)]
+    got = sorted((r.doc_id, r.n_assign, r.owner_specific, r.widely_copied) for r in span_report(find_secrets(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))).collect())
+    assert got == [(1, 1, 1, 0), (1, 1, 1, 0), (2, 1, 0, 1), (3, 1, 0, 1), (4, 1, 0, 1), (5, 2, 1, 1), (6, 0, 0, 0)]
+
+
 def test_secrets_of_odd_rows(odd_docs, no_docs):
     rows = span_report(find_secrets(odd_docs)).collect()
     assert len(rows) == odd_docs.count()
