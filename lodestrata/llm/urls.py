@@ -112,16 +112,21 @@ def template_verdicts(
 
 
 def filter_urls(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col: str = "url", bad_col: str = "bad", **kw) -> DataFrame:
-    """For each row: id, host, path, rule, verdict ("allow" or "block").
+    """For each row: id, host, path, rule, verdict ("allow" or "block"), and what the method goes by:
+    template and bad_share, its smoothed share of bad labels.
+
+    Of rules that fit, the one with the longest text decides; of equally long ones the last in the
+    list.
 
     A null url, or one without ://, has an empty host and path. Urls of any length are taken
     whole; path segments from the depth-th on count as one. Repeated rows are judged each, and
     null identifiers carried. An empty table gives an empty result. Other columns are ignored.
     """
-    judged = template_verdicts(pages, url_col, bad_col, **kw).filter("rejected").select("host", "shape", "rejected")
+    judged = template_verdicts(pages, url_col, bad_col, **kw)
     url = col(url_col)
     rows = pages.select(col(id_col).alias("id"), url_host(url).alias("host"), url_path(url).alias("path"))
     text, verdict = fitting_rule(F.col("host"), F.col("path"), rules)
     rows = rows.select("*", path_shape(F.col("path")).alias("shape"), text.alias("rule"), verdict.alias("by_rule"))
     own = F.when(F.col("rejected"), F.lit("block")).otherwise(F.lit("allow"))
-    return rows.join(judged, ["host", "shape"], "left").select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("by_rule", own).alias("verdict"))
+    verdict = F.coalesce("by_rule", own).alias("verdict")
+    return rows.join(judged, ["host", "shape"], "left").select(F.col("id").alias(id_col), "host", "path", "rule", verdict, "template", F.round("bad_share", 6).alias("bad_share"))
