@@ -192,10 +192,29 @@ def test_similar_odd_rows(odd_docs, no_docs):
 def test_sketches_estimate_similarity():
     rng = np.random.default_rng(1)
     for share in (0.5, 0.8, 0.95):
-        errors = []
+        pairs = []
         for _ in range(60):
             n = int(400 * share)
             both, a, b = (rng.integers(0, 1 << 32, k, dtype=np.uint32) for k in (n, (400 - n) // 2, (400 - n) // 2))
-            x, y = (np.frombuffer(similar._sketch(np.unique(np.concatenate([both, z]))), np.uint8) for z in (a, b))
-            errors.append((x == y).mean() - share)
-        assert abs(np.mean(errors)) < 0.02 and np.std(errors) < 0.05
+            pairs.append([np.unique(np.concatenate([both, z]))[: similar.SKETCH].astype("<u4").tobytes() for z in (a, b)])
+        errors = similar.sketch_shares(*[similar._sketch_table(side) for side in zip(*pairs)]) - share
+        assert abs(np.mean(errors)) < 0.02 and np.std(errors) < 0.06
+
+
+def test_sketches_of_small_sets_are_exact():
+    part = lambda *x: np.array(x, "<u4").tobytes()
+    x, y = [part(1, 2, 3, 4), part(5), part()], [part(2, 3, 4, 2**32 - 1), part(6), part()]
+    assert similar.sketch_shares(similar._sketch_table(x), similar._sketch_table(y)).tolist() == [0.6, 0.0, 0.0]
+
+
+def test_tables_of_the_steps_are_deleted(spark, docs):
+    """Only the numbered rows and the numbers of dropped ones stay, which the result reads."""
+    import os
+
+    from lodestrata.llm._shared import scratch_root
+
+    at = scratch_root(spark).removeprefix("file://")
+    before = set(os.listdir(at)) if os.path.isdir(at) else set()
+    kept = similar.drop_similar(docs)
+    assert sorted(x.rsplit("-", 1)[0] for x in set(os.listdir(at)) - before) == ["similar-dropped", "similar-rows"]
+    assert kept.count() > 0
