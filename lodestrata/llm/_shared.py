@@ -2,18 +2,12 @@
 
 from __future__ import annotations
 
-import os
-import re
-import tempfile
-import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
-from contextvars import ContextVar
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestrata.sources.scratch import clear_scratch, scratch_root, stored, temporary_tables  # noqa: F401
+
 
 def col(name: str) -> Column:
     """A column by its exact name, dots and spaces included."""
@@ -34,69 +28,6 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """This application's folder under the shared one that spark.checkpoint.dir names.
-
-    Where that is unset, a session on one machine, as in tests, has a temporary folder; on a
-    cluster, whose machines do not share such a folder, that is an error.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = "file://" + os.path.join(tempfile.gettempdir(), "lodestrata-scratch")
-    return f"{base.rstrip('/')}/lodestrata-{spark.sparkContext.applicationId}"
-
-
-#: Spark's setting that removes a query's shuffle files at its end, where the version has it.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-_temporary: ContextVar[list[str] | None] = ContextVar("temporary", default=None)
-
-
-def stored(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
-    """Write df as Parquet to the shared scratch folder and read it back.
-
-    Cuts lineage in a way that outlives any executor. Shuffle files of the write go with its end,
-    as nothing reads them again. The table stays until clear_scratch(), or, within
-    temporary_tables() and without keep, until that ends.
-    """
-    spark = df.sparkSession
-    path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
-    try:
-        df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
-    within = _temporary.get()
-    if within is not None and not keep:
-        within.append(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-@contextmanager
-def temporary_tables(spark: SparkSession) -> Iterator[None]:
-    """Delete at the end what stored() wrote within, but for tables that were to be kept."""
-    mine: list[str] = []
-    token = _temporary.set(mine)
-    try:
-        yield
-    finally:
-        _temporary.reset(token)
-        for path in mine:
-            _delete(spark, path)
-
-
-def _delete(spark: SparkSession, name: str) -> None:
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def clear_scratch(spark: SparkSession) -> None:
-    """Delete this application's scratch tables; results that still read them become unreadable."""
-    _delete(spark, scratch_root(spark))
-
-
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Bound the rows, and so with long texts the memory, of what one Arrow batch brings to Python.
 

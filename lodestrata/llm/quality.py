@@ -163,7 +163,7 @@ class LabelModel:
 
 
 def fit_labels(votes: np.ndarray, times: np.ndarray, rounds: int = 100, prior: float = 1.0) -> LabelModel:
-    """EM from a start that trusts every vote alike; prior smooths all tables."""
+    """EM from a start in which a vote for bad weighs as much as three for good; prior smooths all tables."""
     for_, against = (votes > 0).sum(1), (votes < 0).sum(1)
     q = 1 / (1 + np.exp(-(for_ - 3.0 * against)))
     model = None

@@ -34,22 +34,27 @@ def packed_pieces(docs: DataFrame) -> DataFrame:
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packed pieces of all documents."""
     return packed_pieces(_table(spark, sf_dir, "documents"))
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scorer's judgement of every document."""
     return classify(_table(spark, sf_dir, "documents"))
 
 
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and model scores of every document."""
     return score_texts(_table(spark, sf_dir, "documents"))
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the one of equal text that stays."""
     return mark_copies(_table(spark, sf_dir, "documents"))
 
 
@@ -79,14 +84,17 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shard and place of every document, by the law of equal bytes."""
     return kd_shards(_table(spark, sf_dir, "documents"), 40).withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
 
 
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
     return extract_text(_table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and added spans of every document."""
     return span_report(find_secrets(_table(spark, sf_dir, "documents")))
 
 
