@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrata.functions.analysis import TEXT
-from lodestrata.functions.fuzzy import partial_ratio_column, token_sort_ratio_column  # noqa: F401
+from lodestrata.functions.fuzzy import partial_ratio_column, partly_alike_column, token_sort_ratio_column  # noqa: F401
 from lodestrata.operators.relational import distinct_ignoring_case
 from lodestrata.sources.scratch import stored
 
@@ -204,15 +204,17 @@ def complete_answers(df: DataFrame, question: str, answer: str, name: str, code:
     return df.withColumn("completed", F.when(lacking, whole).otherwise(F.col(answer)))
 
 
-def _index_terms(text: Column) -> tuple[Column, Column]:
-    """Distinct words and pairs of neighbouring words of a text; and those that it is looked up by:
-    pairs, or for a text of under four words its words. A text without words is a term itself."""
-    words = TEXT.tokens(text)
-    pairs = F.when(F.size(words) > 1, F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words) - 1), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>"))
-    none = F.size(words) == 0
-    every = F.when(none, F.array(text)).otherwise(F.array_distinct(F.concat(words, pairs)))
-    own = F.when(none, F.array(text)).when(F.size(words) < 4, F.array_distinct(words)).otherwise(F.array_distinct(pairs))
-    return every, own
+def _index_terms(t: DataFrame) -> DataFrame:
+    """t (k, t) with n, its length; every, its distinct words and pairs of neighbouring words; and own,
+    those that it is looked up by: pairs, or for a text of under four words its words. A text without
+    words is a term itself. The columns are made one after the other, each computed once."""
+    t = t.withColumns({"n": F.length("t"), "words": TEXT.tokens(F.col("t"))})
+    w = F.col("words")
+    t = t.withColumn("pairs", F.transform(F.filter(F.arrays_zip(w.alias("a"), F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))).alias("b")), lambda x: x["b"].isNotNull()), lambda x: F.concat_ws(" ", x["a"], x["b"])))
+    none = F.size(w) == 0
+    every = F.when(none, F.array("t")).otherwise(F.array_distinct(F.concat(w, "pairs")))
+    own = F.when(none, F.array("t")).when(F.size(w) < 4, F.array_distinct(w)).otherwise(F.array_distinct("pairs"))
+    return t.select("k", "n", every.alias("every"), own.alias("own"))
 
 
 def partly_alike(df: DataFrame, key: str, text: str, least: float = 80.0, shared: float = 0.4) -> DataFrame:
@@ -224,18 +226,20 @@ def partly_alike(df: DataFrame, key: str, text: str, least: float = 80.0, shared
     to have one of them, in the index of all terms; terms of one text only are left out first.
     """
     t = df.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    every, own = _index_terms(F.col("t"))
-    index = t.select("k", F.length("t").alias("n"), F.explode(every).alias("term"))
+    terms = stored(_index_terms(t), "terms")
+    index = terms.select("k", "n", F.explode("every").alias("term"))
     common = index.groupBy("term").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1")
     first = Window.partitionBy("k").orderBy("texts", "term")
-    looked = t.select("k", F.length("t").alias("n"), F.size(own).alias("terms"), F.explode(own).alias("term"))
+    looked = terms.select("k", "n", F.size("own").alias("terms"), F.explode("own").alias("term"))
     looked = looked.join(common, "term", "left").withColumn("texts", F.coalesce("texts", F.lit(1))).withColumn("at", F.row_number().over(first))
     looked = looked.filter(F.col("at") <= F.col("terms") - F.ceil(F.lit(shared) * F.col("terms")) + 1).filter("texts > 1")
     met = looked.alias("x").join(index.alias("y"), "term").filter("x.k <> y.k AND x.n <= y.n")
     pairs = met.select(F.least("x.k", "y.k").alias("a"), F.greatest("x.k", "y.k").alias("b")).distinct()
     side = lambda c: t.select(F.col("k").alias(c), F.col("t").alias(f"t{c}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
-    return both.filter(partial_ratio_column("ta", "tb") >= least).select("a", "b")
+    # Few rows, each of which takes long: spread over all tasks, which Spark would make few.
+    both = both.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "a", "b")
+    return both.filter(partly_alike_column(F.col("ta"), F.col("tb"), least)).select("a", "b")
 
 
 def first_of_alike(keys: DataFrame, links: DataFrame, key: str) -> DataFrame:
