@@ -29,8 +29,19 @@ def postings(df: DataFrame, key: str, fields: list[str], analyzer: Analyzer = TE
     return long.groupBy(key, "field", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def bm25_of(parts: list[tuple[Column, Column, Column, Column, float]], rows: Column, k1: float, b: float) -> Column:
+    """Sum over (term frequency, length, mean length, document frequency, boost), in their order."""
+
+    def one(tf: Column, length: Column, mean: Column, df: Column, boost: float) -> Column:
+        idf = F.ln(1 + (rows - df + 0.5) / (df + 0.5))
+        return F.when(tf > 0, idf * (tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / mean))) * boost).otherwise(F.lit(0.0))
+
+    return total([one(*p) for p in parts])
+
+
 def bm25(df: DataFrame, fields: dict[str, float], query: list[str], analyzer: Analyzer = TEXT, k1: float = K1, b: float = B) -> DataFrame:
-    """df with a column bm25: boosted sum over fields and query tokens; zero without a match.
+    """df with a column bm25: boosted sum over fields and query tokens; zero without a match. For a
+    frame that is searched once; text_index has the form for many searches.
 
     A row's length and term frequencies are expressions over its tokens, so nothing is
     exploded or shuffled; document frequencies and mean lengths are one aggregate.
@@ -49,12 +60,8 @@ def bm25(df: DataFrame, fields: dict[str, float], query: list[str], analyzer: An
     )
     scored = t.crossJoin(F.broadcast(stats))  # one row
 
-    def part(i: int, c: str) -> Column:
-        idf = F.ln(1 + (F.col("_n") - F.col(f"_d{c}") + 0.5) / (F.col(f"_d{c}") + 0.5))
-        weight = F.col(c) * (k1 + 1) / (F.col(c) + k1 * (1 - b + b * F.col(f"_l{i}") / F.col(f"_a{i}")))
-        return F.when(F.col(c) > 0, idf * weight * fields[names[i]]).otherwise(F.lit(0.0))
-
-    return scored.select(*df.columns, total([part(i, c) for i, _, c in cells]).alias("bm25"))
+    parts = [(F.col(c), F.col(f"_l{i}"), F.col(f"_a{i}"), F.col(f"_d{c}"), fields[names[i]]) for i, _, c in cells]
+    return scored.select(*df.columns, bm25_of(parts, F.col("_n"), k1, b).alias("bm25"))
 
 
 def similar_to(df: DataFrame, target: DataFrame, vector: str = "embedding") -> DataFrame:

@@ -11,7 +11,7 @@ from lodestrata.functions.vectors import cosine_of, embed
 from lodestrata.operators import catalog as K
 from lodestrata.operators import corpus as C
 from lodestrata.operators import retrieval as R
-from lodestrata.plans.entities import TABLES, frame, with_sql
+from lodestrata.plans.entities import TABLES, frame, index, with_sql
 
 Q: dict = {}
 O: dict = {}
@@ -296,7 +296,7 @@ def z01(s, d):
 
 @query("z02_two_stage")
 def z02(s, d):
-    hits = R.top(R.bm25(frame(s, d, "glossary"), {"term": 1.0}, ["small", "ring"]).filter("bm25 > 0"), "bm25", "term_id", 50)
+    hits = R.top(index(s, d, "glossary").search({"term": 1.0}, ["small", "ring"]), "bm25", "term_id", 50).join(frame(s, d, "glossary"), "term_id")
     return hits.withColumn("score", F.round(Z.best_ratio_column("term", F.lit("ring small")) * 100, 4)).filter("score >= 80").select("term_id", "term", "score")
 
 
@@ -354,9 +354,9 @@ def z07(s, d):
 
 
 def _fused_terms(s, d):
-    g = R.bm25(frame(s, d, "glossary"), {"term": 1.0, "definition": 0.5}, ["blue", "bolt"])
+    g = frame(s, d, "glossary").join(index(s, d, "glossary").search({"term": 1.0, "definition": 0.5}, ["blue", "bolt"]), "term_id", "left")
     g = g.withColumn("similarity", cosine_of(embed(F.concat_ws(": ", "term", "definition")), embed(F.lit("search_query: blue bolt")))).withColumn("fuzzy", Z.best_ratio_column("term", F.lit("blue bolt"))).withColumn("similarity", F.coalesce("similarity", F.lit(0.0)))
-    return g.filter("fuzzy >= 0.6 OR similarity >= 0.3").withColumn("score", 0.5 * F.col("similarity") + 0.3 * F.col("fuzzy") + 0.2 * F.col("bm25"))
+    return g.filter("fuzzy >= 0.6 OR similarity >= 0.3").withColumn("score", 0.5 * F.col("similarity") + 0.3 * F.col("fuzzy") + 0.2 * F.coalesce("bm25", F.lit(0.0)))
 
 
 @query("r29_three_way_fusion")

@@ -10,6 +10,9 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lodestrata.operators.text_index import TextIndex, build_index
+from lodestrata.sources.scratch import made_once
+
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 ENTITIES: dict[str, str] = {
@@ -69,6 +72,16 @@ def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(sql, **{n: frame(spark, sf_dir, n) for n in dict.fromkeys(_needs(sql))})
 
 
+# Searched fields by entity, the base table that they come from, and the key.
+INDEXED = {"articles": ("documents", "doc_id", ["title", "description", "content"]), "glossary": ("part", "term_id", ["term", "definition"])}
+
+
+def index(spark: SparkSession, sf_dir: str, name: str) -> TextIndex:
+    """The stored text index of an entity, built at its first use."""
+    table, key, fields = INDEXED[name]
+    return made_once(spark, f"{sf_dir}/{table}.parquet", f"index-{name}", lambda: build_index(frame(spark, sf_dir, name), key, fields))
+
+
 def with_sql(body: str, *more: tuple[str, str]) -> str:
     """body preceded by the entities it names in braces (and those in turn), and by further
     (name, sql) expressions, which may name entities too."""

@@ -11,7 +11,7 @@ from lodestrata.functions.analysis import TEXT
 from lodestrata.operators import memory as M
 from lodestrata.operators import relational as P
 from lodestrata.operators import retrieval as R
-from lodestrata.plans.entities import frame, with_sql
+from lodestrata.plans.entities import frame, index, with_sql
 from lodestrata.plans.retrieval_queries import SIMILAR, bm25_sql
 
 Q: dict = {}
@@ -310,7 +310,8 @@ ALIASES = {
 
 @query("p02_domain_filtered_keywords", "SELECT fact_id, round(bm25, 6) AS score FROM scored WHERE bm25 > 0 AND lang IN ('en', 'de') ORDER BY bm25 DESC, fact_id LIMIT 20", ("scored", bm25_sql("{facts}", {"content": 1.0}, ["idiot", "scum"])))
 def p02(s, d):
-    df = R.bm25(frame(s, d, "facts"), {"content": 1.0}, ["idiot", "scum"]).filter("bm25 > 0").filter(F.col("lang").isin("en", "de"))
+    hits = index(s, d, "articles").search({"content": 1.0}, ["idiot", "scum"]).withColumnRenamed("doc_id", "fact_id")
+    df = frame(s, d, "facts").join(hits, "fact_id").filter(F.col("lang").isin("en", "de"))
     return R.top(df, "bm25", "fact_id", 20).select("fact_id", F.round("bm25", 6).alias("score"))
 
 

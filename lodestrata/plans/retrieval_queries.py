@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lodestrata.functions import vectors as V
 from lodestrata.functions.analysis import TEXT
 from lodestrata.operators import retrieval as R
-from lodestrata.plans.entities import frame, with_sql
+from lodestrata.plans.entities import frame, index, with_sql
 
 QUERY = "worthless clown trash"
 TOKENS = TEXT.query(QUERY)
@@ -37,11 +37,16 @@ SIMILAR = ("near", f"SELECT e.vec_id, e.label, {COSINE} AS similarity FROM {{emb
 
 
 def _articles(s, d):
-    return R.bm25(frame(s, d, "articles"), FIELDS, TOKENS)
+    return index(s, d, "articles").search(FIELDS, TOKENS)
 
 
-def _content(s, d):
-    return R.bm25(frame(s, d, "documents"), {"text": 1.0}, TOKENS)
+def _content(s, d, key="doc_id", query=TOKENS):
+    """Scores of the documents' texts, which are also the contents of articles and of facts."""
+    return index(s, d, "articles").search({"content": 1.0}, query).withColumnRenamed("doc_id", key)
+
+
+def _glossary(s, d, fields, query):
+    return index(s, d, "glossary").search(fields, query)
 
 
 def _similar(s, d):
@@ -58,7 +63,7 @@ def r02(s, d):
 
 
 def r03(s, d):
-    df = R.bm25(frame(s, d, "facts"), {"content": 1.0}, TOKENS).filter("bm25 > 0.1 AND lang = 'en'")
+    df = frame(s, d, "facts").join(_content(s, d, "fact_id").filter("bm25 > 0.1"), "fact_id").filter("lang = 'en'")
     return R.top(df, "bm25", "fact_id", 10).select("fact_id", "lang", F.round("bm25", 6).alias("score"))
 
 
@@ -147,7 +152,7 @@ def r11(s, d):
 
 def r12(s, d):
     """Glossary: the term counts more than its definition."""
-    g = R.bm25(frame(s, d, "glossary"), {"term": 1.5, "definition": 1.0}, ["steel", "red"])
+    g = _glossary(s, d, {"term": 1.5, "definition": 1.0}, ["steel", "red"])
     keyword = R.top(g.filter("bm25 > 0.1"), "bm25", "term_id", 20).select("term_id", F.col("bm25").alias("score"))
     vector = R.top(_similar(s, d).filter("similarity >= 0.2"), "similarity", "vec_id", 20).select(F.col("vec_id").alias("term_id"), F.col("similarity").alias("score"))
     return R.fuse({"bm25": keyword, "similarity": vector}, "term_id", {"bm25": 0.5, "similarity": 0.5}, 0.1, 10).select("term_id", F.round("hybrid", 6).alias("hybrid"))
@@ -165,8 +170,8 @@ R12_SQL = with_sql(
 
 def _cross(s, d):
     """Two collections under one key: articles and glossary terms, with importance and age."""
-    a = R.bm25(frame(s, d, "articles"), {"content": 1.0}, TOKENS).select(F.lit("articles").alias("collection"), F.col("doc_id").alias("key"), F.col("bm25").alias("score"))
-    g = R.bm25(frame(s, d, "glossary"), {"term": 1.0}, ["steel"]).select(F.lit("glossary").alias("collection"), F.col("term_id").alias("key"), F.col("bm25").alias("score"))
+    a = _content(s, d).select(F.lit("articles").alias("collection"), F.col("doc_id").alias("key"), F.col("bm25").alias("score"))
+    g = _glossary(s, d, {"term": 1.0}, ["steel"]).select(F.lit("glossary").alias("collection"), F.col("term_id").alias("key"), F.col("bm25").alias("score"))
     v = _similar(s, d).select(F.lit("articles").alias("collection"), F.col("vec_id").alias("key"), F.col("similarity").alias("score"))
     return {"bm25": a.unionByName(g).filter("score > 0"), "similarity": v.filter("score >= 0.2")}
 
@@ -211,11 +216,11 @@ R15_SQL = with_sql(
 
 def recall(s, d, weights=(0.8, 0.8, 0.8), k=10, threshold=0.4, lang=None, normalise=False, over=1):
     """Facts by meaning, keywords, glossary overlap, importance and recency."""
-    f = R.bm25(frame(s, d, "facts"), {"content": 1.0}, TOKENS).join(_similar(s, d), F.col("fact_id") == F.col("vec_id"), "left")
+    f = frame(s, d, "facts").join(_content(s, d, "fact_id"), "fact_id", "left").join(_similar(s, d), F.col("fact_id") == F.col("vec_id"), "left")
     w = [0.8 / 3] * 3 if normalise else weights
     meaning = F.when(F.col("similarity") >= 0.2, F.col("similarity")).otherwise(0.0)
     overlap = R.overlap_share(F.array("lang", "source"), ["en", "src1"])
-    score = w[0] * meaning + w[1] * F.col("bm25") + w[2] * overlap + 0.1 * F.col("importance") + 0.04 / (1 + F.abs("days_since"))
+    score = w[0] * meaning + w[1] * F.coalesce("bm25", F.lit(0.0)) + w[2] * overlap + 0.1 * F.col("importance") + 0.04 / (1 + F.abs("days_since"))
     out = R.top(f.withColumn("total", score).filter(F.col("total") >= threshold), "total", "fact_id", k * over)
     if lang:
         out = R.top(out.filter(F.col("lang") == lang), "total", "fact_id", k)
@@ -235,7 +240,7 @@ def r20(s, d):
     arms = _arms(s, d)
     merged = R.fuse(arms, "doc_id", {"bm25": 0.5, "similarity": 0.5}, None, None)
     named = [a.select(F.lit(n).alias("list"), "doc_id", F.round("score", 6).alias("score")) for n, a in arms.items()]
-    groups = _articles(s, d).filter("bm25 > 0").groupBy("lang").agg(F.count(F.lit(1)).cast("double").alias("score"))
+    groups = frame(s, d, "articles").join(_articles(s, d).filter("bm25 > 0"), "doc_id").groupBy("lang").agg(F.count(F.lit(1)).cast("double").alias("score"))
     groups = groups.select(F.concat(F.lit("keywords_"), "lang").alias("list"), F.lit(None).cast("long").alias("doc_id"), "score")
     return named[0].unionByName(named[1]).unionByName(merged.select(F.lit("merged").alias("list"), "doc_id", F.round("hybrid", 6).alias("score"))).unionByName(groups)
 
@@ -345,7 +350,7 @@ R28_SQL = with_sql(
 
 def r31(s, d):
     a = R.top(_articles(s, d).filter("bm25 > 0"), "bm25", "doc_id", 10).select(F.lit("knowledge").alias("kind"), F.col("doc_id").alias("key"), F.col("bm25").alias("score"))
-    g = R.bm25(frame(s, d, "glossary"), {"term": 1.0}, ["steel"]).filter("bm25 > 0")
+    g = _glossary(s, d, {"term": 1.0}, ["steel"]).filter("bm25 > 0")
     g = R.top(g, "bm25", "term_id", 10).select(F.lit("glossary").alias("kind"), F.col("term_id").alias("key"), F.col("bm25").alias("score"))
     return R.top(a.unionByName(g), "score", ["kind", "key"], 12).select("kind", "key", F.round("score", 6).alias("score"))
 

@@ -6,7 +6,7 @@ import os
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
@@ -71,6 +71,23 @@ def _delete(spark: SparkSession, name: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+_made: dict[tuple, object] = {}
+
+
+def made_once(spark: SparkSession, table: str, name: str, make: Callable[[], object]) -> object:
+    """make(), a thing built of the table at a path, once for each application and state of the
+    table's files; built again when they have changed, or after clear_scratch()."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table)
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    state = (files.getFileStatus(at).getModificationTime(), files.getContentSummary(at).getLength())
+    key = (spark.sparkContext.applicationId, table, name)
+    if key not in _made or _made[key][0] != state:
+        _made[key] = (state, make())
+    return _made[key][1]
+
+
 def clear_scratch(spark: SparkSession) -> None:
     """Delete this application's scratch tables; results that still read them become unreadable."""
+    for key in [k for k in _made if k[0] == spark.sparkContext.applicationId]:
+        del _made[key]
     _delete(spark, scratch_root(spark))
