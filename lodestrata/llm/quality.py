@@ -185,12 +185,12 @@ def fit_labels(votes: np.ndarray, times: np.ndarray, rounds: int = 100, prior: f
     return model
 
 
-def fit_scorer(x: np.ndarray, q: np.ndarray, steps: int = 200, rate: float = 0.3, ridge: float = 1e-4) -> np.ndarray:
-    """Logistic regression on soft labels q (chance of good), by Adam on the whole sample; the
-    two classes weigh the same."""
-    mass = np.array([(1 - q).sum(), q.sum()])
+def fit_scorer(x: np.ndarray, q: np.ndarray, times: np.ndarray, steps: int = 200, rate: float = 0.3, ridge: float = 1e-4) -> np.ndarray:
+    """Logistic regression on soft labels q (chance of good) of rows that occur so many times, by
+    Adam on the whole sample; the two classes weigh the same."""
+    mass = np.array([(times * (1 - q)).sum(), (times * q).sum()])
     weigh = np.where(mass > 0, 0.5 / np.maximum(mass, 1e-9), 0)
-    up, down = (weigh[1] * q).astype(np.float32), (weigh[0] * (1 - q)).astype(np.float32)
+    up, down = (weigh[1] * times * q).astype(np.float32), (weigh[0] * times * (1 - q)).astype(np.float32)
     w, m, v = (np.zeros(x.shape[1], np.float32) for _ in range(3))
     for t in range(1, steps + 1):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
@@ -222,7 +222,10 @@ def _texts(docs: DataFrame, id_col: str, text_col: str, *more) -> DataFrame:
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Classifier:
-    """Label model over all documents, scorer on about `sample` of them, taken by a hash of the row."""
+    """Label model over all documents, scorer on about `sample` of them, taken by a hash of the row.
+
+    Repeated rows of the sample are one with their number as its weight, so however often a row is
+    repeated, about `sample` rows at most reach the driver."""
     small_batches(docs.sparkSession)
     source = _texts(docs, id_col, text_col)
 
@@ -243,18 +246,20 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample:
     share = min(1.0, sample / times.sum())
     chosen = source if share == 1 else source.filter(F.pmod(F.xxhash64("id", F.crc32("text")), F.lit(1 << 30)) < int(share * (1 << 30)))
 
+    chosen = chosen.groupBy("id", "text").agg(F.count(F.lit(1)).alias("times"))
+
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").to_pylist()
             each = [described(t) for t in texts]
             v = np.array([a for a, _ in each], np.int64).reshape(len(texts), len(LABELLERS))
             x = [b.astype(np.float16).tobytes() for _, b in each]
-            yield pa.RecordBatch.from_arrays([pa.array(labels.posterior(v)), pa.array(x, pa.binary())], names=["q", "x"])
+            yield pa.RecordBatch.from_arrays([pa.array(labels.posterior(v)), pa.array(x, pa.binary()), batch.column("times")], names=["q", "x", "times"])
 
-    rows = chosen.mapInArrow(describe, "q double, x binary").collect()
-    rows.sort(key=lambda r: (r["q"], bytes(r["x"])))
+    rows = chosen.mapInArrow(describe, "q double, x binary, times bigint").collect()
+    rows.sort(key=lambda r: (r["q"], bytes(r["x"]), r["times"]))
     x = np.stack([np.frombuffer(bytes(r["x"]), np.float16) for r in rows]).astype(np.float32) if rows else np.zeros((0, FEATURES), np.float32)
-    return Classifier(labels, fit_scorer(x, np.array([r["q"] for r in rows])))
+    return Classifier(labels, fit_scorer(x, np.array([r["q"] for r in rows]), np.array([r["times"] for r in rows], float)))
 
 
 def _scored(source: DataFrame, model: Classifier, carried: list[str]) -> DataFrame:

@@ -90,6 +90,21 @@ def test_label_model_finds_accuracies():
     assert np.abs(np.array(list(model.accuracies().values()))[:6] - right).max() < 0.04
 
 
+def test_quality_sample_is_bounded_on_repeated_rows(spark, small):
+    """A row that is a third of the table is one row of the sample, with a weight."""
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
+    hot = docs.filter("doc_id = 0").crossJoin(spark.range(5000).select(F.lit(1).alias("one"))).select("doc_id", "text")
+    seen = []
+    plain = quality.fit_scorer
+    try:
+        quality.fit_scorer = lambda x, q, times, **kw: seen.append((len(x), times.sum())) or plain(x, q, times, **kw)
+        quality.fit(docs.unionByName(hot), sample=10**6)
+    finally:
+        quality.fit_scorer = plain
+    n = docs.count()
+    assert seen == [(n, n + 5000)]
+
+
 def test_quality_odd_rows(odd_docs, no_docs):
     rows = quality.classify(odd_docs).collect()
     assert len(rows) == odd_docs.count()
