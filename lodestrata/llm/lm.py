@@ -307,8 +307,11 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     model = Model.start(shape, log_share)
     training = encoded.filter("NOT held_out")
     part = min(1.0, shape.warm_tokens / max(1, n))
-    warm = training if part == 1 else training.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(part * 1_000_000))
-    model = _averaged(_replicas(warm.select("outcomes").repartition(1), model.pack(), shape, log_share), model, 1)
+    warm = training if part == 1 else training.filter(F.pmod(F.xxhash64("row"), F.lit(1_000_000)) < int(part * 1_000_000))
+    # Rows are drawn and ordered by their numbers in the written table: repeated or null ids are drawn
+    # each by itself, and a task that runs again sees the same order.
+    warm = warm.select("row", "outcomes").repartition(1).sortWithinPartitions(F.xxhash64("row"))
+    model = _averaged(_replicas(warm, model.pack(), shape, log_share), model, 1)
     model = _averaged(_replicas(training, model.pack(), shape, log_share), model)
     return _with_rare(_scored(encoded, model), encoded, counts, n).withColumnRenamed("id", id_col)
 
