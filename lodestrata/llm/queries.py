@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodestrata.llm.decontaminate import find_overlap, overlap_report
 from lodestrata.llm.exact_dedup import mark_copies
 from lodestrata.llm.html import extract_text
+from lodestrata.llm.language import identify_languages
 from lodestrata.llm.lm import score_texts
 from lodestrata.llm.packing import pack
 from lodestrata.llm.quality import classify
@@ -98,6 +99,11 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_report(find_secrets(_table(spark, sf_dir, "documents")))
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The predicted language of every document."""
+    return identify_languages(_table(spark, sf_dir, "documents"))
+
+
 OP5_SQL = r"""
 WITH n AS (
   SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents
@@ -138,6 +144,7 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_html_extraction": op9_html_extraction,
     "op10_secrets": op10_secrets,
+    "op11_language_id": op11_language_id,
 }
 
 ORACLES = {"op5_exact_dedup": OP5_SQL, "op6_decontamination": OP6_SQL}
