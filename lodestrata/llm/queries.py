@@ -11,6 +11,7 @@ from lodestrata.llm.html import extract_text
 from lodestrata.llm.language import identify_languages
 from lodestrata.llm.lm import score_texts
 from lodestrata.llm.packing import pack
+from lodestrata.llm.periodic import collapse_runs
 from lodestrata.llm.quality import classify
 from lodestrata.llm.secrets import find_secrets, span_report
 from lodestrata.llm.sharding import kd_shards
@@ -104,6 +105,40 @@ def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(_table(spark, sf_dir, "documents"))
 
 
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """The run contract's damage: where h = crc32(doc_id) ends in 0, words from the place g mod n on
+    repeat with period 1 + (n - g mod n) div (3 + g mod 8), for g = h div 10. A null identifier damages nothing."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.filter(F.split(F.col("text"), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    g, n = F.floor(h / 10), F.size("_words")
+    a = F.pmod(g, n).cast("int")
+    p = (1 + F.floor((n - F.col("_a")) / (3 + F.pmod(g, F.lit(8))))).cast("int")
+    at = lambda i: F.when(i < F.col("_a"), i).otherwise(F.col("_a") + F.pmod(i - F.col("_a"), F.col("_p")))
+    again = F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get("_words", at(i))), " ")
+    hurt = docs.select("doc_id", "text", F.when((h % 10 == 0), words).alias("_words"))
+    hurt = hurt.withColumn("_a", F.when(n > 0, a)).withColumn("_p", F.when(n > 0, p))
+    return hurt.select("doc_id", F.when(n > 0, again).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The runs of every document, some with runs planted, and digests of them and of what is left."""
+    found = collapse_runs(with_planted_runs(_table(spark, sf_dir, "documents")))
+    order = F.array_sort(F.transform("runs", lambda r: F.struct((-r["length"]).alias("l"), r["start"], r["period"])))
+    best = F.try_element_at(order, F.lit(1))
+    length = -best["l"]
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        best["start"].alias("start"),
+        length.alias("length"),
+        best["period"].alias("period"),
+        F.floor(1000 * length / best["period"]).cast("long").alias("exponent_milli"),
+        F.sha2(F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise(""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 OP5_SQL = r"""
 WITH n AS (
   SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents
@@ -145,6 +180,7 @@ QUERIES = {
     "op9_html_extraction": op9_html_extraction,
     "op10_secrets": op10_secrets,
     "op11_language_id": op11_language_id,
+    "op12_periodic_runs": op12_periodic_runs,
 }
 
 ORACLES = {"op5_exact_dedup": OP5_SQL, "op6_decontamination": OP6_SQL}
