@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestrata.llm.conversations import repair_report
 from lodestrata.llm.decontaminate import find_overlap, overlap_report
 from lodestrata.llm.exact_dedup import mark_copies
 from lodestrata.llm.html import extract_text
@@ -139,6 +140,22 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def damaged_turns(turns: DataFrame) -> DataFrame:
+    """The repair contract's damage, by crc32(`conv_id:turn`) mod 20; a null is one space."""
+    or_space = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    fault = F.crc32(F.concat(or_space("conv_id"), F.lit(":"), or_space("turn")).cast("binary")) % 20
+    text = F.when(fault == 1, "").when(fault == 2, F.regexp_replace(or_space("text"), "[.!?]", "")).otherwise(or_space("text"))
+    times = F.when(fault == 0, 0).when(fault == 3, 2).otherwise(1)
+    rows = turns.select("conv_id", "turn", F.when(fault == 4, "user").otherwise(or_space("role")).alias("role"), text.alias("text"), F.array_repeat(F.lit(0), times).alias("_copies"))
+    return rows.select("conv_id", "turn", "role", "text", F.explode("_copies").alias("_copy")).drop("_copy")
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repair of every conversation, some of whose turns were damaged."""
+    turns = _table(spark, sf_dir, "conversations")
+    return repair_report(damaged_turns(turns), turns.select("conv_id"))
+
+
 OP5_SQL = r"""
 WITH n AS (
   SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents
@@ -181,6 +198,7 @@ QUERIES = {
     "op10_secrets": op10_secrets,
     "op11_language_id": op11_language_id,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 ORACLES = {"op5_exact_dedup": OP5_SQL, "op6_decontamination": OP6_SQL}
