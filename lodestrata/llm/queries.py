@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.llm.conversations import repair_report
@@ -111,14 +111,18 @@ def with_planted_runs(docs: DataFrame) -> DataFrame:
     repeat with period 1 + (n - g mod n) div (3 + g mod 8), for g = h div 10. A null identifier damages nothing."""
     h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
     words = F.filter(F.split(F.col("text"), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    g, n = F.floor(h / 10), F.size("_words")
-    a = F.pmod(g, n).cast("int")
-    p = (1 + F.floor((n - F.col("_a")) / (3 + F.pmod(g, F.lit(8))))).cast("int")
-    at = lambda i: F.when(i < F.col("_a"), i).otherwise(F.col("_a") + F.pmod(i - F.col("_a"), F.col("_p")))
-    again = F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get("_words", at(i))), " ")
-    hurt = docs.select("doc_id", "text", F.when((h % 10 == 0), words).alias("_words"))
-    hurt = hurt.withColumn("_a", F.when(n > 0, a)).withColumn("_p", F.when(n > 0, p))
-    return hurt.select("doc_id", F.when(n > 0, again).otherwise(F.col("text")).alias("text"))
+    g = F.floor(h / 10)
+
+    def again(w: Column) -> Column:
+        n = F.size(w)
+        a = F.pmod(g, n).cast("int")
+        p = (1 + F.floor((n - a) / (3 + F.pmod(g, F.lit(8))))).cast("int")
+        kept, period = F.slice(w, F.lit(1), a), F.slice(w, a + 1, p)
+        return F.array_join(F.slice(F.concat(kept, F.flatten(F.array_repeat(period, F.ceil((n - a) / p).cast("int")))), F.lit(1), n), " ")
+
+    # Through an array of one, so that the words are split once, not wherever they are named.
+    hurt = F.get(F.transform(F.array(words), lambda w: F.when(F.size(w) > 0, again(w)).otherwise(F.col("text"))), F.lit(0))
+    return docs.select("doc_id", F.when(h % 10 == 0, hurt).otherwise(F.col("text")).alias("text"))
 
 
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
