@@ -11,6 +11,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestrata.operators.text_index import TextIndex, build_index
+from lodestrata.operators.vector_index import VectorIndex, build_vector_index
 from lodestrata.sources.scratch import made_once
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -82,6 +83,11 @@ def index(spark: SparkSession, sf_dir: str, name: str) -> TextIndex:
     return made_once(spark, f"{sf_dir}/{table}.parquet", f"index-{name}", lambda: build_index(frame(spark, sf_dir, name), key, fields))
 
 
+def vector_index(spark: SparkSession, sf_dir: str) -> VectorIndex:
+    """The inverted lists of the embeddings, built at their first use."""
+    return made_once(spark, f"{sf_dir}/embeddings.parquet", "vector-lists", lambda: build_vector_index(frame(spark, sf_dir, "embeddings"), "vec_id", "embedding"))
+
+
 def with_sql(body: str, *more: tuple[str, str]) -> str:
     """body preceded by the entities it names in braces (and those in turn), and by further
     (name, sql) expressions, which may name entities too."""

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from lodestrata.operators import graph as G
 from lodestrata.operators import relational as P
-from lodestrata.plans.entities import frame, with_sql
+from lodestrata.operators.vector_index import recall_of
+from lodestrata.plans.entities import frame, vector_index, with_sql
 
 Q: dict = {}
 O: dict = {}
@@ -220,6 +221,22 @@ def g18(s, d):
     return G.nearest_edges(frame(s, d, "embeddings"), "vec_id", "embedding", 5, 0.35).select("src", "dst", F.round("strength", 5).alias("strength"))
 
 
+@query("g18_clustered_edges")
+def g18_clustered(s, d):
+    """As g18, from the lists that each vector probes instead of all vectors."""
+    found = vector_index(s, d).neighbours(frame(s, d, "embeddings"), "vec_id", "embedding", 5, 0.35, same=False)
+    return found.select(F.col("query").alias("src"), F.col("vec_id").alias("dst"), F.round("similarity", 5).alias("strength"))
+
+
+@query("g18_recall")
+def g18_recall(s, d):
+    """How many of the exact edges the lists give, and pairs compared of all."""
+    index, e = vector_index(s, d), frame(s, d, "embeddings")
+    exact = G.nearest_edges(e, "vec_id", "embedding", 5, 0.35).select(F.col("src").alias("query"), F.col("dst").alias("vec_id"))
+    report = recall_of(index.neighbours(e, "vec_id", "embedding", 5, 0.35, same=False), exact, "query", "vec_id")
+    return report.select("wanted", "found", F.round("recall", 4).alias("recall"), F.lit(index.compared(e, "vec_id", "embedding")).cast("long").alias("compared"), F.lit(int(index.sizes.sum()) ** 2).cast("long").alias("pairs"))
+
+
 @query(
     "g19_inbound_traversal", "SELECT DISTINCT start_key, vertex, CAST(depth AS INTEGER) AS depth FROM walk WHERE depth > 0",
     ("e", f"SELECT {VERTEX} FROM {{property_edges}}"),

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestrata.functions import vectors as V
 from lodestrata.functions.analysis import TEXT
 from lodestrata.operators import retrieval as R
-from lodestrata.plans.entities import frame, index, with_sql
+from lodestrata.operators.vector_index import recall_of
+from lodestrata.plans.entities import frame, index, vector_index, with_sql
 
 QUERY = "worthless clown trash"
 TOKENS = TEXT.query(QUERY)
@@ -85,24 +85,28 @@ def r07(s, d):
 
 
 def r08(s, d):
-    """Approximate neighbours by random projection buckets, then exact similarity of the candidates."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
+    """Approximate neighbours of one vector: only the lists nearest to it are read."""
+    one = frame(s, d, "embeddings").filter("vec_id = 0").select("embedding").first()[0]
+    return vector_index(s, d).search(one, 10).select("vec_id", F.round("similarity", 6).alias("similarity"))
 
-    e = frame(s, d, "embeddings").select("vec_id", "embedding", array_to_vector(F.col("embedding").cast("array<double>")).alias("v"))
-    lsh = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=0.5, numHashTables=8, seed=42).fit(e)
-    q = e.filter("vec_id = 0").select(F.col("v").alias("qv"), F.col("embedding").alias("q"))
-    hashed = lsh.transform(e)
-    one = lsh.transform(q.withColumnRenamed("qv", "v")).select(F.col("h").alias("qh"), "q")
-    near = hashed.crossJoin(F.broadcast(one)).filter(F.exists(F.zip_with("h", "qh", lambda a, b: F.get(_to_array(a), F.lit(0)) == F.get(_to_array(b), F.lit(0))), lambda x: x))
-    out = near.withColumn("similarity", V.cosine(F.col("embedding"), F.col("q")))
-    return R.top(out, "similarity", "vec_id", 10).select("vec_id", F.round("similarity", 6).alias("similarity"))
 
+def _twentieth(s, d):
+    return frame(s, d, "embeddings").filter("vec_id % 20 = 0")
 
-def _to_array(v):
-    from pyspark.ml.functions import vector_to_array
 
-    return vector_to_array(v)
+def r08_many(s, d):
+    """Approximate neighbours of every twentieth vector among all others."""
+    found = vector_index(s, d).neighbours(_twentieth(s, d), "vec_id", "embedding", 10, same=False)
+    return found.select(F.col("query").alias("query_id"), "vec_id", F.round("similarity", 6).alias("similarity"))
+
+
+def r08_recall(s, d):
+    """How many of the true ten neighbours of every twentieth vector the index finds, and for how many comparisons."""
+    index, asking = vector_index(s, d), _twentieth(s, d)
+    ways = [index.neighbours(asking, "vec_id", "embedding", 10, same=False, probes=p) for p in (index.probes, len(index.centres))]
+    compared = [index.compared(asking, "vec_id", "embedding", p) for p in (index.probes, len(index.centres))]
+    report = recall_of(*ways, "query", "vec_id")
+    return report.select("queries", "wanted", "found", F.round("recall", 4).alias("recall"), F.lit(index.probes).alias("probes"), F.lit(len(index.centres)).alias("lists"), *[F.lit(c).cast("long").alias(n) for c, n in zip(compared, ("compared", "pairs"))])
 
 
 def _arms(s, d, k=20, least_bm25=0.1, least_similarity=0.2):
@@ -402,7 +406,7 @@ K03_SQL = """SELECT event_id, e.user_id, coalesce(others, 0) AS others FROM even
 
 QUERIES = {
     "r01_bm25_boosted": r01, "r02_bm25_field": r02, "r03_bm25_domain": r03, "r04_bm25_gate": r04, "r05_cosine_topk": r05, "r06_cosine_glossary": r06, "r07_cosine_filter": r07,
-    "r08_approximate_neighbours": r08, "r09_hybrid_two_arm": r09, "r10_relaxation": r10, "r11_hybrid_no_threshold": r11, "r12_hybrid_glossary": r12, "r14_cross_collection": r14, "r15_one_pass_hybrid": r15,
+    "r08_approximate_neighbours": r08, "r08_neighbours_of_many": r08_many, "r08_recall": r08_recall, "r09_hybrid_two_arm": r09, "r10_relaxation": r10, "r11_hybrid_no_threshold": r11, "r12_hybrid_glossary": r12, "r14_cross_collection": r14, "r15_one_pass_hybrid": r15,
     "r16_recall": lambda s, d: recall(s, d), "r17_recall_normalised": lambda s, d: recall(s, d, lang="en", normalise=True, over=2, threshold=0.2), "r18_recall_over_fetch": lambda s, d: recall(s, d, lang="en", normalise=True, over=3, threshold=0.1),
     "r19_hybrid_alias": lambda s, d: recall(s, d, threshold=0.3), "r20_four_list_report": r20, "r21_phrase": r21, "r22_terms_in_text": r22, "r23_term_spotting": r23, "r24_semantic_exact_boost": r24, "r25_keyword_fallback": r25,
     "r27_related_terms": r27, "r28_question_terms": r28, "r31_combined_ranking": r31, "r33_dispatch": r33, "r34_substring_fields": r34, "k01_domain_keywords": k01, "k02_term_overlap": k02, "k03_error_lookup": k03,

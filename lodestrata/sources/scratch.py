@@ -32,19 +32,19 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _temporary: ContextVar[list[str] | None] = ContextVar("temporary", default=None)
 
 
-def stored(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+def stored(df: DataFrame, name: str, keep: bool = False, by: list[str] | None = None) -> DataFrame:
     """Write df as Parquet to the shared scratch folder and read it back.
 
     Cuts lineage in a way that outlives any executor. Shuffle files of the write go with its end,
     as nothing reads them again. The table stays until clear_scratch(), or, within
-    temporary_tables() and without keep, until that ends.
+    temporary_tables() and without keep, until that ends. by: columns whose values are folders.
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
     before = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", "zstd").partitionBy(*by or []).parquet(path)
     finally:
         spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     within = _temporary.get()
