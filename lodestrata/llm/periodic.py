@@ -287,7 +287,8 @@ def collapse_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # A text's runs are no more than its words.
     by_text = stored(runs.groupBy("k1", "k2").agg(each), "runs")
     rows = _keyed(docs, id_col, text_col).select(col(id_col).alias("id"), "k1", "k2", F.coalesce(col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"))
-    joined = rows.join(by_text, ["k1", "k2"], "left").select("id", "text", F.coalesce("runs", F.array().cast("array<struct<start:bigint,period:bigint,length:bigint>>")).alias("runs"))
+    # Shuffled at every size: runs are not few enough to be broadcast for certain.
+    joined = rows.join(by_text.hint("shuffle_hash"), ["k1", "k2"], "left").select("id", "text", F.coalesce("runs", F.array().cast("array<struct<start:bigint,period:bigint,length:bigint>>")).alias("runs"))
     id_type = joined.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
