@@ -10,8 +10,9 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrata.operators.text_index import TextIndex, build_index
+from lodestrata.operators.text_index import LAYOUT, TextIndex, refresh
 from lodestrata.operators.vector_index import VectorIndex, build_vector_index
+from lodestrata.sources.kept import kept_root, table_state
 from lodestrata.sources.scratch import made_once
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -78,9 +79,12 @@ INDEXED = {"articles": ("documents", "doc_id", ["title", "description", "content
 
 
 def index(spark: SparkSession, sf_dir: str, name: str) -> TextIndex:
-    """The stored text index of an entity, built at its first use."""
+    """The kept text index of an entity: built at its first use by any session, and brought up to
+    date when the table's files have changed."""
     table, key, fields = INDEXED[name]
-    return made_once(spark, f"{sf_dir}/{table}.parquet", f"index-{name}", lambda: build_index(frame(spark, sf_dir, name), key, fields))
+    path = f"{sf_dir}/{table}.parquet"
+    root = kept_root(spark, path, name, LAYOUT, *fields)
+    return made_once(spark, path, f"index-{name}", lambda: refresh(frame(spark, sf_dir, name), root, key, fields, state=table_state(spark, path)))
 
 
 def vector_index(spark: SparkSession, sf_dir: str) -> VectorIndex:

@@ -1,33 +1,54 @@
-"""The stored index against the scan, by score."""
+"""The stored index against the scan: scores, phrases, segments, blocks."""
+
+import random
+import re
+import uuid
 
 import pytest
+from pyspark.sql import functions as F
 
+from lodestrata.operators import text_index
 from lodestrata.operators.retrieval import bm25
-from lodestrata.operators.text_index import build_index
-from lodestrata.sources.scratch import clear_scratch, made_once
+from lodestrata.operators.text_index import build_index, merge, refresh, vacuum
+from lodestrata.sources.kept import folders, read_manifest, table_state
+from lodestrata.sources.scratch import clear_scratch, made_once, scratch_root
 
 ROWS = [(1, "red steel ring", "a ring, a RING"), (2, "", None), (3, None, "steel"), (4, "ring", "über ring über"), (5, "word " * 5000, "the end")]
+SCHEMA = "id long, title string, body string"
+FIELDS = {"title": 1.5, "body": 1.0}
+
+
+def scanned(df, query, fields=FIELDS):
+    return sorted((r.id, round(r.bm25, 9)) for r in bm25(df, fields, query).filter("bm25 > 0").collect())
+
+
+def indexed(index, query, fields=FIELDS):
+    return sorted((r.id, round(r.bm25, 9)) for r in index.search(fields, query).collect())
+
+
+def root_of(spark):
+    return f"{scratch_root(spark)}/test-{uuid.uuid4().hex}"
 
 
 @pytest.mark.parametrize("query", [["ring"], ["steel", "ring", "über"], ["absent"], ["word", "end"]])
 def test_index_scores_as_the_scan_does(spark, query):
-    df = spark.createDataFrame(ROWS, "id long, title string, body string")
-    fields = {"title": 1.5, "body": 1.0}
-    found = build_index(df, "id", list(fields)).search(fields, query).collect()
-    scanned = bm25(df, fields, query).filter("bm25 > 0").select("id", "bm25").collect()
-    assert sorted(map(tuple, found)) == sorted(map(tuple, scanned))
+    df = spark.createDataFrame(ROWS, SCHEMA)
+    assert indexed(build_index(df, "id", list(FIELDS)), query) == scanned(df, query)
 
 
 def test_empty_table_has_an_empty_index(spark):
     df = spark.createDataFrame([], "id long, title string")
-    assert build_index(df, "id", ["title"]).search({"title": 1.0}, ["ring"]).collect() == []
+    index = build_index(df, "id", ["title"])
+    assert index.search({"title": 1.0}, ["ring"]).collect() == [] and index.top({"title": 1.0}, ["ring"], 3).collect() == [] and index.phrases("title", ["a ring"]).collect() == []
 
 
 def test_index_is_read_by_terms(spark):
-    df = spark.createDataFrame(ROWS, "id long, title string, body string")
-    out = build_index(df, "id", ["title", "body"]).search({"title": 1.0}, ["ring"])
-    plan = out._jdf.queryExecution().executedPlan().toString()
-    assert "PushedFilters: [In(term, [ring])" in plan or "EqualTo(term,ring)" in plan
+    df = spark.createDataFrame(ROWS, SCHEMA)
+    index = build_index(df, "id", ["title", "body"])
+    for out in (index.search({"title": 1.0}, ["ring"]), index.search_from({"title": 1.0}, ["ring"], 0.1)):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "In(term, [ring])" in plan or "EqualTo(term,ring)" in plan
+    assert re.search(r"\(block#\d+L = 0\)", out._jdf.queryExecution().optimizedPlan().toString()) and "positions" not in plan
 
 
 def test_made_once_follows_the_files(spark, tmp_path):
@@ -40,3 +61,88 @@ def test_made_once_follows_the_files(spark, tmp_path):
     assert made_once(spark, at, "x", make) == 2
     clear_scratch(spark)
     assert made_once(spark, at, "x", make) == 3
+
+
+def some_texts(rng, n):
+    words = "the of a ring steel red blue bolt über end word".split()
+    return [(i, *[" ".join(rng.choices(words, k=rng.randrange(12))) if rng.random() < 0.9 else None for _ in "ab"]) for i in range(n)]
+
+
+def count_phrase(text, phrase):
+    w, p = (text or "").lower().split(), phrase.split()
+    return sum(w[i : i + len(p)] == p for i in range(len(w) - len(p) + 1))
+
+
+def test_phrases_equal_brute_force(spark):
+    rows = some_texts(random.Random(1), 150) + [(999, "ring ring ring " * 300, None)]
+    index = build_index(spark.createDataFrame(rows, SCHEMA), "id", ["title", "body"])
+    phrases = ["of the", "ring", "ring ring", "the of a", "a ring a ring", "absent", "steel absent", "", "the the"]
+    df = spark.createDataFrame(list(enumerate(phrases)), "p long, words string")
+    got = sorted((r.p, r.id, r.hits) for r in index.match_phrases(df, "p", "words", "title").collect())
+    assert got == sorted((p, i, n) for p, words in enumerate(phrases) for i, t, _ in rows if words and (n := count_phrase(t, words)))
+    # One token is scored as a term; any of some phrases adds up.
+    one = sorted((r.id, round(r.bm25, 9)) for r in index.phrases("title", ["ring"]).collect())
+    assert one == indexed(index, ["ring"], {"title": 1.0})
+    assert {r.id for r in index.phrases("title", ["of the", "a ring"]).collect()} == {i for i, t, _ in rows if count_phrase(t, "of the") or count_phrase(t, "a ring")}
+
+
+def test_segments_follow_the_rows(spark, monkeypatch):
+    """New, changed and deleted rows, each against the scan; only changed rows are in the new segment."""
+    rng, root = random.Random(2), root_of(spark)
+    rows = {r[0]: r for r in some_texts(rng, 200)}
+    frame = lambda: spark.createDataFrame(list(rows.values()), SCHEMA)
+    index = refresh(frame(), root, "id", list(FIELDS), state="1")
+    for step in range(3):
+        changed = rng.sample(sorted(rows), 6)
+        for i in changed[:2]:
+            del rows[i]
+        for i in changed[2:]:
+            rows[i] = (i, "ring of the ring", f"new {step}")
+        rows[1000 + step] = (1000 + step, "blue ring", "a new one")
+        index = refresh(frame(), root, "id", list(FIELDS), state=str(step + 2))
+        for query in (["ring", "of"], ["new", "blue"]):
+            assert indexed(index, query) == scanned(frame(), query)
+        last = index.postings.filter(F.col("segment") == step + 2).select("key").distinct().count()
+        assert last <= 5 and len(read_manifest(spark, root)["segments"]) == step + 2
+        hits = {r.id for r in index.phrases("title", ["of the ring"]).collect()}
+        assert hits == {i for i, t, _ in rows.values() if count_phrase(t, "of the ring")}
+    assert sorted(r.id for r in index.top(FIELDS, ["ring"], 5).collect()) == sorted(i for i, _ in sorted(scanned(frame(), ["ring"]), key=lambda x: (-x[1], x[0]))[:5])
+    whole = merge(index, root)
+    assert indexed(whole, ["ring", "of"]) == scanned(frame(), ["ring", "of"]) and whole.dead is None and len(read_manifest(spark, root)["segments"]) == 1
+    before = set(folders(spark, root))
+    assert len(vacuum(spark, root)) == len(before) - 2 and indexed(whole, ["new"]) == scanned(frame(), ["new"])
+    monkeypatch.setattr(text_index, "MOST", 1)  # merged by itself
+    rows[5000] = (5000, "ring", "late")
+    assert indexed(refresh(frame(), root, "id", list(FIELDS), state="9"), ["late", "ring"]) == scanned(frame(), ["late", "ring"])
+    assert len(read_manifest(spark, root)["segments"]) == 1
+
+
+def test_a_second_session_builds_nothing(spark, tmp_path):
+    root, at = root_of(spark), f"file://{tmp_path}/t.parquet"
+    spark.createDataFrame(some_texts(random.Random(3), 50), SCHEMA).write.parquet(at)
+    df = spark.read.parquet(at)
+    first = refresh(df, root, "id", list(FIELDS), state=table_state(spark, at))
+    before, version = set(folders(spark, root)), read_manifest(spark, root)["version"]
+    # A frame that cannot be read shows that it is not.
+    unread = df.withColumn("title", F.raise_error(F.lit("read")).cast("string"))
+    second = refresh(unread, root, "id", list(FIELDS), state=table_state(spark, at))
+    assert indexed(second, ["ring"]) == indexed(first, ["ring"]) and set(folders(spark, root)) == before
+    # Files written again with the same rows: compared, but nothing is built.
+    df.coalesce(1).write.parquet(f"file://{tmp_path}/u.parquet")
+    third = refresh(df, root, "id", list(FIELDS), state=table_state(spark, f"file://{tmp_path}/u.parquet"))
+    assert set(folders(spark, root)) == before and read_manifest(spark, root)["version"] == version + 1 and indexed(third, ["ring"]) == indexed(first, ["ring"])
+
+
+def test_blocks_that_cannot_win_are_not_read(spark):
+    rng = random.Random(4)
+    rows = [(i, " ".join(["rare"] * (1 + i // 65 if i % 197 == 0 else 0) + ["word"] * rng.randrange(200, 220)), None) for i in range(4000)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    index, fields = build_index(df, "id", ["title"]), {"title": 1.0}
+    every = sorted(((round(-r.bm25, 9), r.id) for r in index.search(fields, ["rare", "word"]).collect()))
+    reads = {}
+    for k in (1, 10, 1000):
+        assert [(round(-r.bm25, 9), r.id) for r in index.top(fields, ["rare", "word"], k).collect()] == every[:k]
+        reads[k] = index.reads(fields, ["rare", "word"], k).first()
+    assert reads[1]["read"] < reads[10]["read"] < reads[1000]["read"] <= reads[1]["postings"] and reads[1]["kept"] < reads[1]["blocks"] == 62
+    least = -every[20][0]
+    assert sorted(r.id for r in index.search_from(fields, ["rare", "word"], least - 1e-7).collect()) == sorted(i for s, i in every if -s >= least - 1e-7)
