@@ -108,7 +108,7 @@ def kd_shards(
     text's length, the identifier and the named columns: a number by its value, anything else
     by the CRC-32 of its text; a null lies at the low end. A dimension column that the table
     lacks is left out. slot counts from 0 without gaps within a shard, by identifier within
-    hashed chunks. Rows with one identifier and text are separate rows. An empty table gives
+    hashed chunks. Repeated rows, of one identifier and text, are separate rows that any cut can part. An empty table gives
     an empty result. Other columns are ignored, whatever their names.
     """
     spark = docs.sparkSession
@@ -121,10 +121,12 @@ def kd_shards(
         col(id_col).alias("id"),
         (F.octet_length(text) + ROW_OVERHEAD).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("crc"),
-        F.xxhash64(col(id_col), text).bitwiseAND(F.lit((1 << TIE_BITS) - 1)).alias("tie"),
+        F.monotonically_increasing_id().alias("row"),
         *[d.alias(f"d{i}") for i, d in enumerate(dims)],
     )
     base = stored(base, "kd-rows")
+    # By the number that a row was written with: repeated rows can be cut as well as any.
+    base = base.withColumn("tie", F.xxhash64("row").bitwiseAND(F.lit((1 << TIE_BITS) - 1)))
     n = len(dims)
     whole = base.agg(
         F.sum("size").alias("size"), *[f(f"d{i}").alias(f"{w}{i}") for i in range(n) for w, f in (("lo", F.min), ("hi", F.max))]
@@ -141,7 +143,7 @@ def kd_shards(
             place = F.floor(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.nanvl(share, F.lit(0.0)))) * ((1 << PLACE_BITS) - 1)).cast("long")
         return F.shiftleft(place, TIE_BITS).bitwiseOR(F.col("tie")).alias(f"k{i}")
 
-    rows = base.select("id", "size", "crc", F.array(*[key(i) for i in range(n)]).alias("ks"))
+    rows = base.select("row", "id", "size", "crc", F.array(*[key(i) for i in range(n)]).alias("ks"))
     root = Node(0, shards)
     level, depth, count = [root], 0, 1
     while level := [x for x in level if x.leaves > 1]:
@@ -154,13 +156,13 @@ def kd_shards(
     order = {x.number: i for i, x in enumerate(x for x in root.tree() if x.low is None)}
     names = [order.get(i, -1) for i in range(count)]
     chunks = shuffle_partitions(spark)
-    placed = rows.select("id", "size", "crc", _lookup(names, _place(root, depth)).cast("int").alias("shard"), F.pmod(F.xxhash64("id"), F.lit(chunks)).alias("chunk"))
+    placed = rows.select("row", "id", "size", "crc", _lookup(names, _place(root, depth)).cast("int").alias("shard"), F.pmod(F.xxhash64("row", F.lit(1)), F.lit(chunks)).alias("chunk"))
     counts = placed.groupBy("shard", "chunk").agg(F.count(F.lit(1)).alias("rows"))
     before = Window.partitionBy("shard").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("shard", "chunk", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("start"))
     # shards x chunks rows at most
     out = placed.join(F.broadcast(starts), ["shard", "chunk"])
-    nth = F.row_number().over(Window.partitionBy("shard", "chunk").orderBy(F.col("id").asc_nulls_last(), "crc"))
+    nth = F.row_number().over(Window.partitionBy("shard", "chunk").orderBy(F.col("id").asc_nulls_last(), "row"))
     return out.select(
         F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), "shard", (F.col("start") + nth - 1).cast("long").alias("slot")
     )
