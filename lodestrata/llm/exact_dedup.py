@@ -7,8 +7,10 @@ and keeps the smallest identifier. The range key is of bounded length, so what t
 sends to the driver does not grow with the length of the texts.
 
 A text whose hash occurs in more than rows / (4 x partitions) rows is salted by its row's
-identifier. At most 4 x partitions hashes can be that frequent, which bounds the broadcast
-table of them. Salted runs are merged through that bounded table afterwards.
+number, so that rows repeated under one identifier are spread as well. At most 4 x partitions
+hashes can be that frequent, which bounds the broadcast table of them. Salted runs are merged
+through that bounded table afterwards. Rows are numbered as they are read: a task that runs again
+has to read the same rows in the same order, as from files or a written table.
 """
 
 from __future__ import annotations
@@ -27,25 +29,27 @@ def _sorted_runs(docs: DataFrame, id_col: str, text_col: str, partitions: int |
     spark = docs.sparkSession
     n = partitions or shuffle_partitions(spark)
     norm = F.regexp_replace(F.coalesce(col(text_col).cast("string"), F.lit("")), WHITE_SPACE, " ")
-    base = docs.select(col(id_col).alias("id"), norm.alias("norm"), *([whole_row(docs).alias("row")] if keep_rows else []))
+    number = F.monotonically_increasing_id().alias("number")
+    base = docs.select(col(id_col).alias("id"), norm.alias("norm"), number, *([whole_row(docs).alias("row")] if keep_rows else []))
     base = base.withColumn("h", F.xxhash64("norm"))
     per_task = max(1, -(-docs.count() // (4 * n)))
     hot = base.groupBy("h").agg(F.count(F.lit(1)).alias("copies")).filter(F.col("copies") > per_task)
     salts = F.ceil(F.col("copies") / per_task).cast("long")
     base = base.join(F.broadcast(hot), "h", "left").withColumn(
-        "salt", F.when(F.col("copies").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("id", F.lit(7)), salts)).cast("long")
+        "salt", F.when(F.col("copies").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("number"), salts)).cast("long")
     )
     key = [F.substring("norm", 1, prefix).alias("prefix"), "h", "salt"]
     ranged = base.select("*", key[0]).repartitionByRange(n, "prefix", "h", "salt")
-    run = Window.partitionBy("prefix", "h", "salt", "norm").orderBy(F.col("id").asc_nulls_last())
+    run = Window.partitionBy("prefix", "h", "salt", "norm").orderBy(F.col("id").asc_nulls_last(), "number")
     whole = run.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     out = ranged.select(
         "id",
         "h",
         F.col("copies").isNotNull().alias("hot"),
         F.sha2("norm", 256).alias("sha"),
+        "number",
         F.row_number().over(run).alias("nth"),
-        F.min("id").over(whole).alias("keep"),
+        F.first(F.struct(F.col("id").isNull().alias("none"), "id", "number")).over(whole).alias("keep"),
         F.count(F.lit(1)).over(whole).alias("size"),
         *(["row"] if keep_rows else []),
     )
@@ -54,19 +58,11 @@ def _sorted_runs(docs: DataFrame, id_col: str, text_col: str, partitions: int |
 
 def _merged(runs: DataFrame) -> DataFrame:
     """Runs of salted texts put together."""
-    hot = (
-        runs.filter("hot AND nth = 1")
-        .groupBy("h", "sha")
-        .agg(F.min("keep").alias("all_keep"), F.sum("size").alias("all_size"))
-    )
+    hot = runs.filter("hot AND nth = 1").groupBy("h", "sha").agg(F.min("keep").alias("all_keep"), F.sum("size").alias("all_size"))
     out = runs.join(F.broadcast(hot), ["h", "sha"], "left")
-    keep = F.when(F.col("all_size").isNull(), F.col("keep")).otherwise(F.col("all_keep"))
+    keep = F.coalesce("all_keep", "keep")
     return out.withColumns(
-        {
-            "keep_id": keep,
-            "group_size": F.coalesce("all_size", "size").cast("long"),
-            "kept": (F.col("nth") == 1) & F.col("id").eqNullSafe(keep),
-        }
+        {"keep_id": keep["id"], "group_size": F.coalesce("all_size", "size").cast("long"), "kept": F.col("number") == keep["number"]}
     )
 
 
