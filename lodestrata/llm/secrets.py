@@ -8,7 +8,9 @@ for examples and are not added. Base spans are told apart in the same way, and a
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrata.llm._shared import col, stored
@@ -18,7 +20,7 @@ ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
 KINDS = ("assign", "access", "hex", "owned")
-MIN_ASSIGN, MIN_ACCESS, MIN_HEX = 6, 20, 24
+MIN_ASSIGN, MIN_ACCESS, MIN_HEX, MIN_TOKEN = 6, 20, 24, 20
 # Candidates of the method: whole runs of token characters.
 TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
 # Parts of words that mark placeholders.
@@ -27,29 +29,42 @@ PLACEHOLDERS = r"(?i)example|sample|changeme|placeholder|dummy|xxxx|your_|test_?
 SPAN = "struct<start:int,k:int,stop:int,value:string>"
 
 
-def _spans(text: Column, pattern: str, kind: int, least: int, group: int = 0) -> Column:
-    """Matches of the pattern with their places in code points, if the group is long enough.
-
-    Places follow from the lengths of the pieces between matches. Only texts that match are split.
-    """
+def _matches(text: Column, pattern: str, group: int = 0) -> Column:
+    """For each match and for what follows the last one: length of the text before it since the match
+    before, its own length and the value of the group. Only texts that match are split."""
     re = F.lit(pattern)
-    pieces = F.split(text, pattern, -1)
     found = F.regexp_extract_all(text, re, F.lit(0))
     values = F.regexp_extract_all(text, re, F.lit(group)) if group else found
-    zipped = F.arrays_zip(pieces.alias("p"), found.alias("f"), values.alias("v"))
-    none = F.array().cast(f"array<{SPAN}>")
-
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["p"])
-        stop = start + F.coalesce(F.length(x["f"]), F.lit(0))
-        span = F.struct(start.alias("start"), F.lit(kind).alias("k"), stop.alias("stop"), x["v"].alias("value"))
-        keep = F.coalesce(F.length(x["v"]) >= least, F.lit(False))
-        grown = F.when(keep, F.concat(acc["out"], F.array(span).cast(f"array<{SPAN}>"))).otherwise(acc["out"])
-        return F.struct(stop.alias("at"), grown.alias("out"))
-
-    start = F.struct(F.lit(0).alias("at"), none.alias("out"))
-    spans = F.aggregate(zipped, start, step, lambda acc: acc["out"])
-    return F.when(text.rlike(pattern), spans).otherwise(none)
+    zipped = F.arrays_zip(F.split(text, pattern, -1).alias("p"), found.alias("f"), values.alias("v"))
+    each = F.transform(zipped, lambda x: F.struct(F.length(x["p"]).alias("gap"), F.coalesce(F.length(x["f"]), F.lit(0)).alias("size"), x["v"].alias("value")))
+    return F.when(text.rlike(pattern), each)
+
+
+def _placed(rows: DataFrame) -> DataFrame:
+    """row, owner, repository, k, start, stop, value of every match, by one running sum over each row's
+    lengths: work goes with the matches, however many a text has."""
+    parts = [rows.select("row", "owner", "repository", F.lit(k).alias("k"), F.posexplode(f"m{k}").alias("i", "m")) for k in range(len(KINDS))]
+    each = reduce(DataFrame.unionByName, parts).select("row", "owner", "repository", "k", "i", "m.*")
+    upto = Window.partitionBy("row", "k").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    stop = F.sum(F.col("gap") + F.col("size")).over(upto).cast("int")
+    least = F.element_at(F.array(*[F.lit(n) for n in (MIN_ASSIGN, MIN_ACCESS, MIN_HEX, MIN_TOKEN)]), F.col("k") + 1)
+    placed = each.select("row", "owner", "repository", "k", (stop - F.col("size")).alias("start"), stop.alias("stop"), "value")
+    return placed.filter(F.length("value") >= least)
+
+
+def _apart(placed: DataFrame) -> DataFrame:
+    """placed without tokens that do not look live or that overlap a base span of their row."""
+    order = Window.partitionBy("row").orderBy("start", "k", "stop")
+    base = F.col("k") < 3
+    before = F.max(F.when(base, F.col("stop"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    back = Window.partitionBy("row").orderBy(F.desc("start"), F.desc("k"), F.desc("stop"))  # a frame that ends at the end costs the square
+    after = F.min(F.when(base, F.col("start"))).over(back.rowsBetween(Window.unboundedPreceding, -1))
+    marked = placed.select("*", before.alias("before"), after.alias("after"))
+    clear = (F.coalesce("before", F.lit(0)) <= F.col("start")) & F.coalesce(F.col("after") >= F.col("stop"), F.lit(True))
+    v = F.col("value")
+    kinds = v.rlike("[a-z]").cast("int") + v.rlike("[A-Z]").cast("int")
+    live = v.rlike("[0-9]") & (kinds >= 1) & (F.size(F.array_distinct(F.split(v, ""))) >= 10) & ~v.rlike(PLACEHOLDERS)
+    return marked.filter(base | (clear & live)).drop("before", "after")
 
 
 def _least(pattern: str, n: int) -> str:
@@ -85,30 +100,16 @@ def find_secrets(
     """
     part = lambda c: F.coalesce(col(c).cast("string"), F.lit("\u0000")) if c in docs.columns else F.lit("\u0000")
     text = F.coalesce(col(text_col).cast("string"), F.lit(""))
-    base = F.array_sort(
-        F.concat(
-            _spans(F.col("text"), ASSIGN, 0, MIN_ASSIGN, 2),
-            _spans(F.col("text"), _least(ACCESS, MIN_ACCESS - 4), 1, MIN_ACCESS),
-            _spans(F.col("text"), _least(HEX, MIN_HEX), 2, MIN_HEX),
-        )
-    )
-    apart = lambda s: ~F.exists("base", lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"]))
-
-    def live(s: Column) -> Column:
-        v = s["value"]
-        kinds = v.rlike("[a-z]").cast("int") + v.rlike("[A-Z]").cast("int")
-        return v.rlike("[0-9]") & (kinds >= 1) & (F.size(F.array_distinct(F.split(v, ""))) >= 10) & ~v.rlike(PLACEHOLDERS)
-
     rows = docs.select(
         col(id_col).alias("id"), text.alias("text"), part(owner_col).alias("owner"), F.concat_ws("\u0001", *[part(c) for c in repository_cols]).alias("repository")
     )
-    rows = rows.select("*", base.alias("base"))
-    tokens = F.filter(_spans(F.col("text"), TOKEN, 3, 20), lambda s: live(s) & apart(s))
-    rows = rows.select(F.monotonically_increasing_id().alias("row"), "id", "owner", "repository", "base", tokens.alias("tokens"))
+    patterns = ((ASSIGN, 2), (_least(ACCESS, MIN_ACCESS - 4), 0), (_least(HEX, MIN_HEX), 0), (TOKEN, 0))
+    matches = [_matches(F.col("text"), p, g).alias(f"m{k}") for k, (p, g) in enumerate(patterns)]
+    rows = rows.select(F.monotonically_increasing_id().alias("row"), "id", "owner", "repository", *matches)
     rows = stored(rows, "secret-candidates")
-    every = rows.select("row", "owner", "repository", F.explode(F.concat("base", "tokens")).alias("s")).select(
-        "row", "owner", "repository", "s", F.sha2(F.col("s.value"), 256).alias("hash")
-    )
+    spans = stored(_apart(_placed(rows)), "secret-spans")
+    span = F.struct("start", "k", "stop", "value").cast(SPAN).alias("s")
+    every = spans.select("row", "owner", "repository", span, F.sha2("value", 256).alias("hash"))
     seen = every.select("hash", "owner", "repository").distinct()
     spread = (
         seen.groupBy("hash", "owner").agg(F.count(F.lit(1)).alias("repositories"))
@@ -116,14 +117,19 @@ def find_secrets(
     )
     few = (F.col("owners") <= max_owners) & (F.col("repositories") <= max_repositories)
     judged = every.join(spread.select("hash", few.alias("few")), "hash")
-    added = F.array_sort(F.collect_list(F.when((F.col("s.k") == 3) & F.col("few"), F.col("s"))))
+    listed = lambda which: F.array_sort(F.collect_list(F.when(which, F.col("s"))))
     of_base = lambda which: F.count_if((F.col("s.k") < 3) & which)
-    per_row = judged.groupBy("row").agg(added.alias("owned"), of_base(F.col("few")).alias("owner_specific"), of_base(~F.col("few")).alias("widely_copied"))
+    per_row = judged.groupBy("row").agg(
+        listed(F.col("s.k") < 3).alias("base"), listed((F.col("s.k") == 3) & F.col("few")).alias("owned"),
+        of_base(F.col("few")).alias("owner_specific"), of_base(~F.col("few")).alias("widely_copied"),
+    )
     none = F.array().cast(f"array<{SPAN}>")
     zero = F.lit(0).cast("long")
-    has_any = (F.size("tokens") > 0) | (F.size("base") > 0)
-    without = rows.filter(~has_any).select("id", "base", none.alias("owned"), zero.alias("owner_specific"), zero.alias("widely_copied"))
-    found = rows.filter(has_any).select("row", "id", "base").join(per_row, "row").drop("row")
+    has_any = F.coalesce(*[F.col(f"m{k}.gap") for k in range(len(KINDS))]).isNotNull()
+    without = rows.filter(~has_any).select("id", none.alias("base"), none.alias("owned"), zero.alias("owner_specific"), zero.alias("widely_copied"))
+    found = rows.filter(has_any).select("row", "id").join(per_row, "row", "left").select(
+        "id", *[F.coalesce(c, d).alias(c) for c, d in (("base", none), ("owned", none), ("owner_specific", zero), ("widely_copied", zero))]
+    )
     return without.unionByName(found).withColumnRenamed("id", id_col)
 
 
