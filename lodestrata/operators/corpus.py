@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -217,10 +218,17 @@ def _index_terms(t: DataFrame) -> DataFrame:
     return t.select("k", "n", every.alias("every"), own.alias("own"))
 
 
+def text_classes(df: DataFrame, key: str, text: str) -> DataFrame:
+    """key, t (the text, null as empty) and first, the least key of all rows with that text."""
+    t = df.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    return t.join(t.groupBy("t").agg(F.min("k").alias("first")), "t").select("k", "t", "first")
+
+
 def partly_alike(df: DataFrame, key: str, text: str, least: float = 80.0, shared: float = 0.4) -> DataFrame:
-    """Pairs (a, b) of keys, a < b, of texts with a partial ratio of `least` or more among those that
-    share `shared` of the shorter one's pairs of neighbouring words (of its words, if it has under
-    four). Whole texts are compared.
+    """Links (a, b) of keys: texts with a partial ratio of `least` or more among those that share
+    `shared` of the shorter one's pairs of neighbouring words (of its words, if it has under
+    four). Whole texts are compared. A link is between the first rows of two texts, a < b; rows of
+    one text are not linked, see text_classes().
 
     Each text is looked up by its rarest terms, as many as it takes for a text that shares enough
     to have one of them, in the index of all terms; terms of one text only are left out first.
@@ -260,6 +268,40 @@ def first_of_alike(keys: DataFrame, links: DataFrame, key: str) -> DataFrame:
     return keys.join(dropped, keys[key] == dropped["k"], "left_anti")
 
 
+def first_of_classes(df: DataFrame, key: str, texts: list[str], least: float = 80.0) -> DataFrame:
+    """The keys that stay if each row, in order, is dropped when one of its texts is partly alike, by
+    partly_alike(), to the same column's text of a row that stayed before it, or equal to it.
+
+    Rows of one text are a class, and classes are linked, not rows, so that n equal texts cost n. A
+    round keeps every open row that is the first of all open rows in its own and linked classes, and
+    drops the others of these; the rounds are as many as the longest chain of such rows. Null texts
+    count as empty; keys have to be unique.
+    """
+    rows, near = df.select(F.col(key).alias("k")), []
+    for i, text in enumerate(texts):
+        own = text_classes(df, key, text)
+        rows = rows.join(own.select("k", F.col("first").alias(f"c{i}")), "k")
+        links = partly_alike(own.filter("k = first"), "k", "t", least)
+        itself = own.select(F.col("first").alias("a"), F.col("first").alias("b")).distinct()
+        near.append(stored(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(itself), "class-links"))
+    rows = stored(rows, "class-rows")
+    kept = rows.select("k").limit(0)
+    while not rows.isEmpty():
+        told = rows
+        for i, links in enumerate(near):
+            first = rows.groupBy(F.col(f"c{i}").alias("b")).agg(F.min("k").alias("least"))
+            around = links.join(first, "b").groupBy(F.col("a").alias(f"c{i}")).agg(F.min("least").alias(f"least{i}"))
+            told = told.join(around, f"c{i}")
+        mine = [F.col("k") == F.col(f"least{i}") for i in range(len(near))]
+        stay = stored(told.filter(reduce(lambda a, b: a & b, mine)).select("k", *[f"c{i}" for i in range(len(near))]), "stay")
+        kept = kept.unionByName(stay.select("k"))
+        for i, links in enumerate(near):
+            gone = links.join(stay.select(F.col(f"c{i}").alias("b")), "b").select(F.col("a").alias(f"c{i}")).distinct()
+            rows = rows.join(gone, f"c{i}", "left_anti")
+        rows = stored(rows, "class-rows")
+    return kept.withColumnRenamed("k", key)
+
+
 def latest_by(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     """The last row of each key in the given order."""
     last = F.max_by(F.struct(*df.columns), F.struct(*order)).alias("r")

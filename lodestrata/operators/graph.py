@@ -70,13 +70,42 @@ def shortest_path(edges: DataFrame, pairs: DataFrame, hops: int, least: float |
     mean strength of its edges. Without a path of at most `hops` the distance is -1 and the arrays are
     empty. Only edges of at least the strength `least` count; of parallel ones the strongest.
 
-    Hops are searched from the distinct first vertices, and only where there are second ones.
+    Searched from both ends, whose frontiers take turns and meet: each goes half the hops, and a
+    pair that has met is searched no further. Of the paths through the vertices where two frontiers
+    meet, each made of the first way to there and the first way on, the first in order is taken.
     """
     e = edges if least is None else edges.filter(F.col("strength") >= least)
     both = e.select("src", "dst", "strength").unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "strength"))
-    strongest = both.groupBy("src", "dst").agg(F.max("strength").alias("strength"))
-    reached = distances(strongest, pairs.select("a").distinct(), hops, strength="strength")
-    out = pairs.join(reached, (F.col("a") == F.col("start_key")) & (F.col("b") == F.col("vertex")), "left")
+    strongest = stored(both.groupBy("src", "dst").agg(F.max("strength").cast("double").alias("strength")), "strongest")
+    asked = pairs.select("a", "b").distinct()
+    kind = strongest.schema["src"].dataType.simpleString()
+    start = lambda c: stored(asked.select("a", "b", F.col(c).cast(kind).alias("vertex"), F.array(F.col(c).cast(kind)).alias("path"), F.array().cast("array<double>").alias("strengths")), "frontier")
+    ahead, behind = start("a"), start("b")
+    seen = [ahead.select("a", "b", "vertex"), behind.select("a", "b", "vertex")]
+    met, way = [], ["a", "b", "vertex"]
+    for depth in range(hops + 1):
+        if depth:
+            forward = depth % 2 == 1
+            front = ahead if forward else behind
+            step = front.join(strongest, F.col("vertex") == F.col("src"))
+            joined = (F.array_append("path", F.col("dst")), F.array_append("strengths", F.col("strength"))) if forward else (F.array_prepend("path", F.col("dst")), F.array_prepend("strengths", F.col("strength")))
+            step = step.select("a", "b", F.col("dst").alias("vertex"), F.struct(joined[0].alias("path"), joined[1].alias("strengths")).alias("way"))
+            known = seen[0] if forward else seen[1]
+            new = step.groupBy(*way).agg(F.min("way").alias("way")).join(known, way, "left_anti")
+            front = stored(new.select(*way, "way.*"), "frontier")
+            ahead, behind = (front, behind) if forward else (ahead, front)
+            seen[0 if forward else 1] = known.unionByName(front.select(*way))
+        other = behind.select(*way, F.col("path").alias("rest"), F.col("strengths").alias("more"))
+        here = ahead.join(other, way)
+        path = F.concat("path", F.slice("rest", 2, F.greatest(F.size("rest") - 1, F.lit(0))))
+        best = F.min(F.struct(path.alias("path"), F.concat("strengths", "more").alias("strengths"))).alias("way")
+        found = stored(here.groupBy("a", "b").agg(best).select("a", "b", F.lit(depth).alias("depth"), "way.*"), "met")
+        met.append(found)
+        ahead, behind = (x.join(found.select("a", "b"), ["a", "b"], "left_anti") for x in (ahead, behind))
+        if ahead.isEmpty() or behind.isEmpty():
+            break
+    reached = reduce(DataFrame.unionByName, met)
+    out = pairs.join(reached, ["a", "b"], "left")
     path = F.coalesce("path", F.array().cast(reached.schema["path"].dataType))
     steps = F.zip_with(F.slice(path, 1, F.greatest(F.size(path) - 1, F.lit(0))), F.slice(path, 2, F.greatest(F.size(path) - 1, F.lit(0))), lambda x, y: F.struct(x.alias("src"), y.alias("dst")))
     mean = F.aggregate("strengths", F.lit(0.0), lambda t, w: t + w) / F.nullif(F.size("strengths"), F.lit(0))

@@ -341,8 +341,7 @@ def z06(s, d):
     """Question-answer pairs, in the order of conversations and turns, without those whose question or
     whose answer has a partial ratio of 80 or more with that of a pair that stays."""
     p = _pairs(s, d).select(F.struct("conv_id", "turn").alias("k"), "question", "answer")
-    alike = C.partly_alike(p, "k", "question").unionByName(C.partly_alike(p, "k", "answer"))
-    return C.first_of_alike(p.select("k"), alike, "k").select("k.conv_id", "k.turn")
+    return C.first_of_classes(p, "k", ["question", "answer"]).select("k.conv_id", "k.turn")
 
 
 @query("z07_code_complete")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestrata.functions.analysis import TEXT
+from lodestrata.functions.spotting import longest_by_root, spot_terms
 from lodestrata.operators import retrieval as R
 from lodestrata.operators.vector_index import recall_of
 from lodestrata.plans.entities import frame, index, vector_index, with_sql
@@ -327,6 +328,31 @@ R23_SQL = with_sql(
 )
 
 
+def r23_all(s, d):
+    """Benchmark words of seven letters or more spotted in each chat turn, by one automaton."""
+    words = frame(s, d, "benchmark").select(F.explode(TEXT.tokens(F.col("text"))).alias("word")).filter(F.length("word") >= 7)
+    found = spot_terms(frame(s, d, "conversations"), ["conv_id", "turn"], "text", words, "word")
+    return found.groupBy("conv_id", "turn").agg(F.count(F.lit(1)).alias("terms"))
+
+
+R23_ALL_SQL = """SELECT conv_id, turn, count(*) AS terms FROM (SELECT DISTINCT conv_id, turn, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\\pL\\pN]+')) AS word FROM conversations)
+  WHERE length(word) >= 7 AND word IN (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\\pL\\pN]+')) FROM benchmark) GROUP BY conv_id, turn"""
+
+
+def r23_terms(s, d):
+    """Glossary terms of several words in each definition of goods: per first word, the longest."""
+    goods = frame(s, d, "glossary").select("term_id", F.concat_ws(" ", F.lit("The"), "term", F.lit("is a"), "term").alias("line"))
+    found = spot_terms(goods, ["term_id"], "line", frame(s, d, "glossary"), "term")
+    return longest_by_root(found, ["term_id"])
+
+
+R23_TERMS_SQL = with_sql(
+    """SELECT term_id, root, max(line) AS longest, count(*) AS n FROM (SELECT g.term_id, t.line, split_part(t.line, ' ', 1) AS root FROM
+       (SELECT term_id, 'the ' || array_to_string(regexp_extract_all(lower(term), '[\\pL\\pN]+'), ' ') || ' is a ' || array_to_string(regexp_extract_all(lower(term), '[\\pL\\pN]+'), ' ') AS text FROM {glossary}) g
+       JOIN (SELECT DISTINCT array_to_string(regexp_extract_all(lower(term), '[\\pL\\pN]+'), ' ') AS line FROM {glossary}) t ON contains(' ' || g.text || ' ', ' ' || t.line || ' ')) GROUP BY term_id, root"""
+)
+
+
 def r24(s, d):
     """Similarity plus a fifth where the term occurs in the query."""
     g = frame(s, d, "glossary").join(_similar(s, d), F.col("term_id") == F.col("vec_id"))
@@ -444,7 +470,7 @@ QUERIES = {
     "r01_bm25_boosted": r01, "r02_bm25_field": r02, "r02_rows_read": r02_reads, "r03_bm25_domain": r03, "r04_bm25_gate": r04, "r05_cosine_topk": r05, "r06_cosine_glossary": r06, "r07_cosine_filter": r07,
     "r08_approximate_neighbours": r08, "r08_neighbours_of_many": r08_many, "r08_recall": r08_recall, "r09_hybrid_two_arm": r09, "r10_relaxation": r10, "r11_hybrid_no_threshold": r11, "r12_hybrid_glossary": r12, "r14_cross_collection": r14, "r15_one_pass_hybrid": r15,
     "r16_recall": lambda s, d: recall(s, d), "r17_recall_normalised": lambda s, d: recall(s, d, lang="en", normalise=True, over=2, threshold=0.2), "r18_recall_over_fetch": lambda s, d: recall(s, d, lang="en", normalise=True, over=3, threshold=0.1),
-    "r19_hybrid_alias": lambda s, d: recall(s, d, threshold=0.3), "r20_four_list_report": r20, "r21_phrase": r21, "r22_terms_in_text": r22, "r23_term_spotting": r23, "r24_semantic_exact_boost": r24, "r25_keyword_fallback": r25,
+    "r19_hybrid_alias": lambda s, d: recall(s, d, threshold=0.3), "r20_four_list_report": r20, "r21_phrase": r21, "r22_terms_in_text": r22, "r23_term_spotting": r23, "r23_words_in_texts": r23_all, "r23_longest_terms": r23_terms, "r24_semantic_exact_boost": r24, "r25_keyword_fallback": r25,
     "r27_related_terms": r27, "r28_question_terms": r28, "r31_combined_ranking": r31, "r33_dispatch": r33, "r34_substring_fields": r34, "k01_domain_keywords": k01, "k02_term_overlap": k02, "k03_error_lookup": k03,
 }
 
@@ -465,7 +491,7 @@ ORACLES = {
     ),
     "r12_hybrid_glossary": R12_SQL, "r14_cross_collection": R14_SQL, "r15_one_pass_hybrid": R15_SQL, "r16_recall": recall_sql(), "r17_recall_normalised": recall_sql(lang="en", normalise=True, over=2, threshold=0.2),
     "r18_recall_over_fetch": recall_sql(lang="en", normalise=True, over=3, threshold=0.1), "r19_hybrid_alias": recall_sql(threshold=0.3), "r20_four_list_report": R20_SQL, "r21_phrase": R21_SQL, "r22_terms_in_text": R22_SQL,
-    "r23_term_spotting": R23_SQL, "r24_semantic_exact_boost": R24_SQL, "r25_keyword_fallback": R25_SQL, "r27_related_terms": R27_SQL, "r28_question_terms": R28_SQL, "r31_combined_ranking": R31_SQL,
+    "r23_term_spotting": R23_SQL, "r23_words_in_texts": R23_ALL_SQL, "r23_longest_terms": R23_TERMS_SQL, "r24_semantic_exact_boost": R24_SQL, "r25_keyword_fallback": R25_SQL, "r27_related_terms": R27_SQL, "r28_question_terms": R28_SQL, "r31_combined_ranking": R31_SQL,
     "r34_substring_fields": with_sql("SELECT doc_id FROM {articles} WHERE contains(lower(title), 'tion') OR contains(lower(description), 'tion') OR contains(lower(content), 'tion')"),
     "k01_domain_keywords": K01_SQL,
     "k02_term_overlap": with_sql("SELECT fact_id, round(sc, 6) AS score FROM (SELECT fact_id, len(list_intersect(list_distinct(regexp_extract_all(lower(content), '[\\pL\\pN]+')), ['of', 'the', 'idiot'])) / 3.0 AS sc FROM {facts}) WHERE sc >= 0.3"),

@@ -63,6 +63,7 @@ def test_repeated_pairs_equal_brute_force(spark, seed):
     got = {r.k for r in C.first_of_alike(df.select("k"), links, "k").collect()}
     want = {i for i, _, _ in kept}
     assert len(want) < 55 and len(got ^ want) <= 2 and len(got & want) >= 0.95 * len(want)
+    assert {r.k for r in C.first_of_classes(df, "k", ["q", "a"]).collect()} == got
 
 
 def test_candidates_find_nine_of_ten_links(spark):
@@ -73,6 +74,15 @@ def test_candidates_find_nine_of_ten_links(spark):
     assert got <= every and len(got) >= 0.9 * len(every) > 10
 
 
+def test_equal_answers_are_compared_once(spark):
+    """10,000 rows of one answer cost a row each, not a pair of rows each: one row stays of them."""
+    rows = [(i, f"question number {i} of many others here", "always the same answer to them all") for i in range(10_000)] + [(10_000, "quite another thing", "with its own answer"), (10_001, None, None)]
+    df = spark.createDataFrame(rows, "k long, q string, a string").repartition(4)
+    links = C.partly_alike(C.text_classes(df, "k", "a").filter("k = first"), "k", "t")
+    assert links.count() == 0
+    assert sorted(r.k for r in C.first_of_classes(df.select("k", "a"), "k", ["a"]).collect()) == [0, 10_000, 10_001]
+
+
 def test_the_first_of_linked_rows_stay(spark):
     """1-2-3-4 in a chain: 2 goes for 1, so 3 stays and 4 goes."""
     keys = spark.range(1, 7).select("id")
