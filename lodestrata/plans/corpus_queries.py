@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestrata.functions import fuzzy as Z
+from lodestrata.functions.lenient_json import question_answers_of
 from lodestrata.functions.analysis import TEXT, TEXT_EN, edge_ngrams
 from lodestrata.functions.vectors import cosine_of, embed
 from lodestrata.operators import catalog as K
@@ -203,6 +204,28 @@ def t21(s, d):
     return frame(s, d, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k")).filter("k >= 50")
 
 
+@query(
+    "t21_pairs_from_prose",
+    """SELECT conv_id, turn, question, answer FROM (SELECT a.conv_id, a.turn + 1 AS turn, a.text AS question, b.text AS answer FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1
+       WHERE a.role = 'user' AND b.role = 'assistant') WHERE length(question) >= 10 AND length(answer) >= 10""",
+)
+def t21_prose(s, d):
+    """Pairs out of what a model might have written about them: in a fence or in prose, cut off, with a
+    comma too many, or with bare keys, by conversation."""
+    p = _pairs(s, d).filter("question IS NOT NULL AND answer IS NOT NULL")
+    whole = F.to_json(F.array(F.struct("question", "answer")))
+    kind = F.pmod("conv_id", F.lit(5))
+    text = (
+        F.when(kind == 0, F.concat(F.lit("Sure:\n```json\n"), whole, F.lit("\n```\nAnything else?")))
+        .when(kind == 1, F.concat(F.lit("The pairs are "), whole, F.lit(" as you asked.")))
+        .when(kind == 2, F.concat(F.lit("Here: "), F.substring(whole, F.lit(1), F.length(whole) - 2)))
+        .when(kind == 3, F.concat(F.substring(whole, F.lit(1), F.length(whole) - 2), F.lit(",},]")))
+        .otherwise(F.replace(F.replace(whole, F.lit('{"question":'), F.lit("{question: ")), F.lit(',"answer":'), F.lit(",\n answer : ")))
+    )
+    found = p.select("conv_id", "turn", F.explode(question_answers_of(text)).alias("p"))
+    return found.select("conv_id", "turn", "p.question", "p.answer")
+
+
 @query("t22_reverse_quota", "SELECT conv_id, greatest(5, CAST(ceil(count(*) * 0.25) AS BIGINT)) AS quota FROM conversations GROUP BY conv_id")
 def t22(s, d):
     return frame(s, d, "conversations").groupBy("conv_id").agg(F.greatest(F.lit(5), F.ceil(F.count(F.lit(1)) * 0.25)).cast("long").alias("quota"))
