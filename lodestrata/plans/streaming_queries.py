@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestrata.operators.relational import latest
+from lodestrata.plans.entities import frame
 from lodestrata.sources.scratch import scratch_root
 from lodestrata.streaming import lifecycle as L
 
@@ -28,6 +29,15 @@ def e01(s, d):
     return out.select("user_id", F.round("ttl_days", 4).alias("ttl_days"))
 
 
+def e01_expiry(s, d):
+    """What is left of each key at the end of the stream; idle keys have vanished."""
+    now = lambda t: latest(t, "user_id", [F.desc("batch"), F.desc("expired")])
+    left = L.run_to_table(s, L.fading(_events(s, d), ttl=0.5, more=0.1), _root(s), "update", now)
+    end = frame(s, d, "events").agg(F.unix_micros(F.max(F.col("ts").cast("timestamp"))).alias("end"))
+    days = F.when(F.col("expired"), 0.0).otherwise(F.greatest(F.lit(0.0), F.col("ttl_days") - (F.col("end") / 1e6 - F.col("last")) / L.DAY))
+    return left.crossJoin(F.broadcast(end)).select("user_id", F.round(days, 4).alias("ttl_days"), (days <= 0).alias("expired"))
+
+
 def e02(s, d):
     return L.run_to_table(s, L.access_counts(_events(s, d)), _root(s)).withColumn("last_accessed", F.col("last_accessed").cast("timestamp_ntz"))
 
@@ -45,7 +55,7 @@ def e06(s, d):
     return L.run_to_table(s, L.first_seen(_events(s, d)), _root(s), "append", keep).select("user_id", "event_id")
 
 
-QUERIES = {"e01_stream_decay": e01, "e02_stream_access_counts": e02, "e04_stream_timeline": e04, "e05_stream_sessions": e05, "e06_stream_upsert": e06}
+QUERIES = {"e01_stream_decay": e01, "e01_stream_expiry": e01_expiry, "e02_stream_access_counts": e02, "e04_stream_timeline": e04, "e05_stream_sessions": e05, "e06_stream_upsert": e06}
 
 ORACLES = {
     "e02_stream_access_counts": "SELECT user_id, count(*) AS access_count, max(ts) AS last_accessed FROM events GROUP BY user_id",

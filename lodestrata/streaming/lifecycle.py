@@ -8,12 +8,15 @@ what there is now and returns what it wrote.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+
+DAY = 86_400
 
 
 def timeline(events: DataFrame, late: str = "1 hour", width: str = "1 day") -> DataFrame:
@@ -54,6 +57,53 @@ def decaying(events: DataFrame, ttl: float = 30.0, more: float = 1.0) -> DataFra
     return events.groupBy("user_id").applyInPandasWithState(update, "user_id long, ttl_days double", "left double, last double", "update", GroupStateTimeout.NoTimeout)
 
 
+class Fading(StatefulProcessor):
+    """Remaining days of each key by event time, with a timer for the moment when nothing is left: a
+    key that is not seen again is told as expired, and its state goes, without any further row."""
+
+    def __init__(self, ttl: float, more: float):
+        self.ttl, self.more = ttl, more
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("left", "left double, last double")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        left, last = self.state.get() if self.state.exists() else (self.ttl, None)
+        for ts in sorted(t for f in rows for t in f.ts):
+            now = ts.timestamp()
+            if last is not None:
+                left -= max(0.0, now - last) / DAY
+            if left <= 0:  # it had vanished, whether or not its timer has run yet
+                left = self.ttl
+            last = now if last is None else max(last, now)
+            left += self.more
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old)
+        self.state.update((left, last))
+        self.handle.registerTimer(int((last + left * DAY) * 1000))
+        yield pd.DataFrame({"user_id": [key[0]], "ttl_days": [left], "last": [last], "expired": [False]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        last = self.state.get()[1]
+        self.state.clear()
+        yield pd.DataFrame({"user_id": [key[0]], "ttl_days": [0.0], "last": [last], "expired": [True]})
+
+    def close(self) -> None:
+        pass
+
+
+def fading(events: DataFrame, ttl: float = 30.0, more: float = 1.0, late: str = "1 hour") -> DataFrame:
+    """As decaying(), with keys that vanish: user_id, ttl_days after the key's last access, last (its
+    seconds), expired. A key that comes back when nothing was left begins anew, so that what comes out
+    does not depend on when timers ran; rows later than the watermark are not counted."""
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rows = events.withWatermark("ts", late).select("user_id", "ts")
+    return rows.groupBy("user_id").transformWithStateInPandas(
+        statefulProcessor=Fading(ttl, more), outputStructType="user_id long, ttl_days double, last double, expired boolean", outputMode="Update", timeMode="EventTime"
+    )
+
+
 def run_to_table(spark: SparkSession, stream: DataFrame, root: str, mode: str = "complete", merge: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Run a stream over the input there is, writing each batch to a table under root.
 
