@@ -188,6 +188,51 @@ def function_questions(name: Column, parameters: Column, summary: Column) -> Col
     return F.filter(pairs, lambda p: p["answer"].isNotNull())
 
 
+def _filled(template: str, **parts: Column) -> Column:
+    """A template with its {names} put in."""
+    return F.concat(*[parts[x[1:-1]] if x[:1] == "{" else F.lit(x) for x in re.split(r"(\{\w+\})", template) if x])
+
+
+def _bullets(items: Column, name: str) -> Column:
+    """A line for each item that has a description; null without one."""
+    told = F.filter(items, lambda x: F.coalesce(x["description"], F.lit("")) != "")
+    lines = F.transform(told, lambda x: F.concat(F.lit("- `"), x[name], F.lit("`: "), x["description"]))
+    return F.when(F.size(told) > 0, F.array_join(lines, "\n"))
+
+
+# The question templates of functions and of classes, in their order.
+FUNCTION_QUESTIONS = (
+    "What does the function `{name}{signature}` do?",
+    "What are the parameters of `{name}`?",
+    "What does `{name}` return?",
+    "How do I use `{name}`? Show me an example.",
+    "What errors can `{name}` raise?",
+    "Show me the implementation of `{name}`.",
+)
+CLASS_QUESTIONS = ("What is the purpose of the `{name}` class?", "Show me the implementation of the `{name}` class.")
+
+
+def _asked(templates: tuple[str, ...], answers: list[Column], **parts: Column) -> Column:
+    """Pairs of those templates that have an answer; none without a name."""
+    text = lambda a: F.when(a != "", a)
+    pairs = F.array(*[F.struct(_filled(t, **parts).alias("question"), text(a).alias("answer")) for t, a in zip(templates, answers)])
+    named = F.coalesce(parts["name"], F.lit("")) != ""
+    return F.when(named, F.filter(pairs, lambda p: p["answer"].isNotNull())).otherwise(F.filter(pairs, lambda p: F.lit(False)))
+
+
+def function_pairs(name: Column, signature: Column, doc: Column, parameters: Column, returns: Column, examples: Column, exceptions: Column, source: Column) -> Column:
+    """Question and answer pairs of a function by the six templates: what it does (its docstring), its
+    parameters (array of name, description), what it returns, examples (array), what it raises (array
+    of type, description), its source. A missing signature reads `()`."""
+    answers = [doc, _bullets(parameters, "name"), returns, F.array_join(examples, "\n"), _bullets(exceptions, "type"), source]
+    return _asked(FUNCTION_QUESTIONS, answers, name=name, signature=F.coalesce(signature, F.lit("()")))
+
+
+def class_pairs(name: Column, doc: Column, content: Column) -> Column:
+    """Question and answer pairs of a class by the two templates: its purpose and its implementation."""
+    return _asked(CLASS_QUESTIONS, [doc, content], name=name)
+
+
 def valid_pairs(df: DataFrame, question: str = "question", answer: str = "answer", least_q: int = 10, least_a: int = 15) -> DataFrame:
     return df.filter((F.length(F.trim(F.col(question))) >= least_q) & (F.length(F.trim(F.col(answer))) >= least_a))
 

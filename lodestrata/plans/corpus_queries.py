@@ -157,6 +157,32 @@ def t16(s, d):
     return frame(s, d, "part").select("p_partkey", F.explode(pairs).alias("p")).select("p_partkey", "p.question", "p.answer")
 
 
+_ABOUT = {  # what is known of a part, read as a function; the same in both dialects
+    "doc": "CASE WHEN p_size > 10 THEN p_type END", "returns": "CASE WHEN p_size % 3 = 0 THEN concat('goods of ', p_brand) WHEN p_size % 3 = 1 THEN '' END", "size_note": "CASE WHEN p_size > 25 THEN 'large' WHEN p_size > 20 THEN '' END",
+    "error_note": "CASE WHEN p_size % 5 = 0 THEN 'no such goods' END", "source": "concat('def ', p_name, '(size, brand): ...')",
+}
+
+
+@query(
+    "t16_all_templates",
+    """SELECT p_partkey, question, answer FROM (SELECT p_partkey, unnest([
+        {'question': 'What does the function `' || p_name || '(size, brand)` do?', 'answer': doc}, {'question': 'What are the parameters of `' || p_name || '`?', 'answer': CASE WHEN size_note <> '' THEN '- `size`: ' || size_note || chr(10) ELSE '' END || '- `brand`: ' || p_brand},
+        {'question': 'What does `' || p_name || '` return?', 'answer': returns}, {'question': 'How do I use `' || p_name || '`? Show me an example.', 'answer': p_name || '(1)' || chr(10) || p_name || '(2)'},
+        {'question': 'What errors can `' || p_name || '` raise?', 'answer': '- `ValueError`: ' || error_note}, {'question': 'Show me the implementation of `' || p_name || '`.', 'answer': source},
+        {'question': 'What is the purpose of the `' || p_brand || '` class?', 'answer': doc}, {'question': 'Show me the implementation of the `' || p_brand || '` class.', 'answer': 'class ' || p_brand}], max_depth := 2)
+        FROM (SELECT *, """ + ", ".join(f"{sql} AS {name}" for name, sql in _ABOUT.items()) + """ FROM part)) WHERE answer <> ''""",
+)
+def t16_all(s, d):
+    """Parts read as functions, and their brands as classes: all eight templates."""
+    p = frame(s, d, "part").withColumns({n: F.expr(sql) for n, sql in _ABOUT.items()})
+    item = lambda key, name, note: F.struct(F.lit(name).alias(key), note.alias("description"))
+    parameters = F.array(item("name", "size", F.col("size_note")), item("name", "brand", F.col("p_brand")))
+    examples = F.array(*[F.concat("p_name", F.lit(f"({i})")) for i in (1, 2)])
+    of_function = C.function_pairs(F.col("p_name"), F.lit("(size, brand)"), F.col("doc"), parameters, F.col("returns"), examples, F.array(item("type", "ValueError", F.col("error_note"))), F.col("source"))
+    of_class = C.class_pairs(F.col("p_brand"), F.col("doc"), F.concat(F.lit("class "), "p_brand"))
+    return p.select("p_partkey", F.explode(F.concat(of_function, of_class)).alias("p")).select("p_partkey", "p.question", "p.answer")
+
+
 @query("t17_docstring_questions")
 def t17(s, d):
     """Docstrings between equal quotes, found by a back-reference."""

@@ -133,3 +133,15 @@ def test_completed_answers(spark):
     df = spark.createDataFrame([(q, a, "f(", w) for q, a, w in rows], "q string, a string, name string, want boolean").withColumns({"code": F.lit(code), "name": F.lit("f work")})
     out = C.complete_answers(df, "q", "a", "name", "code").collect()
     assert all((r.completed != r.a) == r.want and r.completed.startswith(r.a) for r in out) and code in out[0].completed
+
+
+def test_templates_without_answers_are_left_out(spark):
+    kind = "array<struct<name:string,description:string>>"
+    rows = [("f", None, "Does.", [("a", "one"), ("b", None), ("c", "")], None, ["f(1)", "f(2)"], [("E", "bad")], "def f"), ("g", "(x)", "", [], "", [], None, None), (None, "()", "x", [], "y", [], [], "z"), ("", "()", "x", [], "y", [], [], "z")]
+    df = spark.createDataFrame(rows, f"n string, s string, d string, p {kind}, r string, e array<string>, x array<struct<type:string,description:string>>, c string")
+    got = [[(p.question, p.answer) for p in r.q] for r in df.select(C.function_pairs(*[df[c] for c in "nsdprexc"]).alias("q")).collect()]
+    assert got == [
+        [("What does the function `f()` do?", "Does."), ("What are the parameters of `f`?", "- `a`: one"), ("How do I use `f`? Show me an example.", "f(1)\nf(2)"), ("What errors can `f` raise?", "- `E`: bad"), ("Show me the implementation of `f`.", "def f")],
+        [], [], [],
+    ]
+    assert [[(p.question, p.answer) for p in r.q] for r in df.select(C.class_pairs(df.n, df.d, df.c).alias("q")).collect()][0] == [("What is the purpose of the `f` class?", "Does."), ("Show me the implementation of the `f` class.", "def f")]
