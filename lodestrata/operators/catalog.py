@@ -8,6 +8,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+
+from lodestrata.functions.analysis import TEXT
+from lodestrata.operators.relational import first_n
 from pyspark.sql.functions import udtf
 
 from lodestrata.functions.vectors import embed
@@ -91,6 +94,24 @@ class PythonNames:
                 yield "call", f.id if isinstance(f, ast.Name) else getattr(f, "attr", ""), node.lineno
 
 
+def method_lookup(asked: DataFrame, name: str, catalogue: DataFrame, method: str, summary: str, close: int = 3) -> DataFrame:
+    """For each distinct asked name: exists, entries and the first summary in order, of the methods of
+    this very name; close, the methods that share most of its words if it does not exist, `close` at most.
+
+    Names are matched exactly, closeness by shared words: both by equi joins, so that no name meets
+    the whole catalogue. A null name exists nowhere and is close to nothing.
+    """
+    names = asked.select(F.col(name).alias("name")).distinct()
+    known = catalogue.groupBy(F.col(method).alias("name")).agg(F.count(F.lit(1)).alias("entries"), F.min(summary).alias("summary"))
+    found = names.join(known, "name", "left")
+    words = lambda df: df.select("name", F.explode(F.array_distinct(TEXT.tokens(F.col("name")))).alias("word"))
+    missing = found.filter("entries IS NULL").select("name")
+    shared = words(missing).join(words(known).withColumnRenamed("name", "other"), "word").groupBy("name", "other").agg(F.count(F.lit(1)).alias("n"))
+    best = first_n(shared, "name", [F.desc("n"), F.col("other")], close).groupBy("name").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "other"))).alias("c"))
+    out = found.join(best, "name", "left")
+    return out.select("name", F.col("entries").isNotNull().alias("exists"), F.coalesce("entries", F.lit(0)).alias("entries"), "summary", F.coalesce(F.transform("c", lambda x: x["other"]), F.array().cast("array<string>")).alias("close"))
+
+
 def define(spark: SparkSession, schema: dict, table: Callable[[str], DataFrame], edges: DataFrame, prefix: str = "") -> DataFrame:
     """Temporary views for a schema's collections, edge collections, graphs and search views, and the
     list of all definitions: kind, name, detail, n (rows).

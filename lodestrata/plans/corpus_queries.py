@@ -338,6 +338,23 @@ def d13(s, d):
     return frame(s, d, "part").filter(F.lower(F.concat_ws(" ", "p_name", "p_type")).contains("ring")).orderBy("p_partkey").limit(3).select("p_partkey", "p_name")
 
 
+@query(
+    "d13_method_exists",
+    """SELECT a.name, k.entries IS NOT NULL AS exists, coalesce(entries, 0) AS entries, summary, coalesce(close, '') AS close FROM a LEFT JOIN k ON a.name = k.name
+       LEFT JOIN (SELECT name, string_agg(other, '|' ORDER BY n DESC, other) AS close FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY n DESC, other) AS r FROM shared) WHERE r <= 3 GROUP BY name) c ON a.name = c.name""",
+    ("a", "SELECT DISTINCT CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE concat(p_name, ' no', CAST(p_size AS VARCHAR)) END AS name FROM part"),
+    ("k", "SELECT p_name AS name, count(*) AS entries, min(p_type) AS summary FROM part GROUP BY p_name"),
+    ("aw", "SELECT DISTINCT name, unnest(regexp_extract_all(lower(name), '[\\pL\\pN]+')) AS word FROM a WHERE name NOT IN (SELECT name FROM k)"),
+    ("kw", "SELECT DISTINCT name AS other, unnest(regexp_extract_all(lower(name), '[\\pL\\pN]+')) AS word FROM k"),
+    ("shared", "SELECT name, other, count(*) AS n FROM aw JOIN kw USING (word) GROUP BY name, other"),
+)
+def d13_exists(s, d):
+    """Whether methods, here names of parts, are in the catalogue, and what comes close to those that are not."""
+    p = frame(s, d, "part")
+    asked = p.select(F.when(F.col("p_partkey") % 2 == 0, F.col("p_name")).otherwise(F.concat("p_name", F.lit(" no"), F.col("p_size").cast("string"))).alias("name"))
+    return K.method_lookup(asked, "name", p, "p_name", "p_type").withColumn("close", F.array_join("close", "|"))
+
+
 @query("z01_ratio")
 def z01(s, d):
     return frame(s, d, "glossary").select("term_id", F.round(Z.ratio_column("term", F.lit("small ring")), 4).alias("ratio")).filter("ratio >= 60")
