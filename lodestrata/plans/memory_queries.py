@@ -11,6 +11,7 @@ from lodestrata.functions.analysis import TEXT
 from lodestrata.operators import memory as M
 from lodestrata.operators import relational as P
 from lodestrata.operators import retrieval as R
+from lodestrata.operators.judging import ANALYSIS, CONFIDENCE, judged, shared_words
 from lodestrata.plans.entities import frame, index, with_sql
 from lodestrata.plans.retrieval_queries import SIMILAR, bm25_sql
 
@@ -117,6 +118,26 @@ def m12(s, d):
     return f.select("fact_id", F.round(evaluate(F.col("content"), F.col("text")), 6).alias("confidence"))
 
 
+_SHARE = """SELECT fact_id, CASE WHEN len(w) = 0 THEN 0.5 ELSE len(list_intersect(c, w)) / CAST(len(w) AS DOUBLE) END AS share, len(w) = 0 AS failed FROM (SELECT f.fact_id, list_distinct(regexp_extract_all(lower(coalesce(f.content, '')), '[\\pL\\pN]+')) AS c,
+  list_distinct(regexp_extract_all(lower(coalesce(b.text, '')), '[\\pL\\pN]+')) AS w FROM {facts} f JOIN {benchmark} b ON f.fact_id = b.item_id)"""
+
+
+@query("m12_judged", "SELECT fact_id, round(share, 6) AS confidence, failed FROM shares", ("shares", _SHARE))
+def m12_judged(s, d):
+    """Confidence by a judge that can be any callable, validated; a failure counts as .5."""
+    f = frame(s, d, "facts").join(frame(s, d, "benchmark").withColumnRenamed("item_id", "fact_id"), "fact_id")
+    out = judged(f, ["fact_id"], "content", "text", shared_words, CONFIDENCE)
+    return out.select("fact_id", F.round("confidence", 6).alias("confidence"), F.col("error").isNotNull().alias("failed"))
+
+
+@query("m13_judged", "SELECT fact_id, round(share, 6) AS support_score, round(CASE WHEN failed THEN 0.5 ELSE 1 - share END, 6) AS contradiction_score FROM shares", ("shares", _SHARE))
+def m13_judged(s, d):
+    """Support and contradiction by the same kind of judge."""
+    f = frame(s, d, "facts").join(frame(s, d, "benchmark").withColumnRenamed("item_id", "fact_id"), "fact_id")
+    out = judged(f, ["fact_id"], "content", "text", shared_words, ANALYSIS)
+    return out.select("fact_id", *[F.round(c, 6).alias(c) for c in ANALYSIS])
+
+
 @query("m13_evidence_analysis")
 def m13(s, d):
     """Each item's evidence for facts of its number: supports, weakens or neither."""
