@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pandas as pd
@@ -82,22 +82,41 @@ def is_binary(content: Column) -> Column:
     return F.substring(content, 1, 1024).rlike(r"[\p{C}&&[^\t-\r\x1C-\x1F\x85]]")
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once, however often it is read."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def definitions(content: Column) -> Column:
     """Functions and classes of indented code, nested ones too, as (name, kind, line, source). The
-    source goes up to the next line that is not empty and not indented more deeply."""
-    lines = F.split(content, "\n")
+    source goes up to the next line that is not empty and not indented more deeply.
+
+    Of the lines that are indented no more than a head, itself included, the next one ends its
+    source. So lines are read once for each depth that heads have: that is linear in them but for
+    nesting, and as lines of depth d are longer than d, depths are few in any text.
+    """
     depth = lambda x: F.length(x) - F.length(F.ltrim(x))
     head = r"^[ \t]*(?:async +)?(def|class) +([A-Za-z_][A-Za-z0-9_]*)"
-    numbered = F.transform(lines, lambda x, i: F.struct(i.alias("i"), x.alias("x"), F.when(F.trim(x) != "", depth(x)).alias("depth")))
-    heads = F.filter(numbered, lambda n: n["x"].rlike(head))
 
-    def one(h: Column) -> Column:
-        after = F.filter(numbered, lambda n: (n["i"] > h["i"]) & (n["depth"] <= h["depth"]))
-        end = F.coalesce(F.array_min(F.transform(after, lambda n: n["i"])), F.size(lines))
-        source = F.array_join(F.slice(lines, h["i"] + 1, end - h["i"]), "\n")
-        return F.struct(F.regexp_extract(h["x"], head, 2).alias("name"), F.regexp_extract(h["x"], head, 1).alias("kind"), (h["i"] + 1).alias("line"), source.alias("source"))
+    def numbered(lines: Column) -> Column:
+        every = F.transform(lines, lambda x, i: F.struct(i.alias("i"), F.when(F.trim(x) != "", depth(x)).alias("depth"), x.rlike(head).alias("head")))
+        return F.filter(every, lambda n: n["depth"].isNotNull())
+
+    def of_depth(lines: Column, at: Column, d: Column) -> Column:
+        return _let(F.filter(at, lambda n: n["depth"] <= d), lambda some: F.filter(F.transform(some, lambda n, j: F.when(n["head"] & (n["depth"] == d), one(lines, n["i"], F.coalesce(F.get(some, j + 1)["i"], F.size(lines))))), lambda x: x.isNotNull()))
+
+    def one(lines: Column, i: Column, end: Column) -> Column:
+        x = F.get(lines, i)
+        source = F.array_join(F.slice(lines, i + 1, end - i), "\n")
+        return F.struct(F.regexp_extract(x, head, 2).alias("name"), F.regexp_extract(x, head, 1).alias("kind"), (i + 1).alias("line"), source.alias("source"))
+
+    def of_lines(lines: Column, at: Column) -> Column:
+        depths = F.array_distinct(F.transform(F.filter(at, lambda n: n["head"]), lambda n: n["depth"]))
+        found = F.flatten(F.transform(depths, lambda d: of_depth(lines, at, d)))
+        in_order = F.array_sort(F.transform(found, lambda f: F.struct(f["line"].alias("line"), f.alias("f"))))
+        return F.transform(in_order, lambda x: x["f"])
 
-    return F.transform(heads, one)
+    return _let(F.split(content, "\n"), lambda lines: _let(numbered(lines), lambda at: of_lines(lines, at)))
 
 
 def terms_of(text: Column, least: int = 3) -> Column:

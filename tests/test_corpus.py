@@ -1,6 +1,8 @@
 """Corpus operators and text search against brute force and hand-made values."""
 
 import random
+import re
+import time
 
 import pytest
 
@@ -99,6 +101,30 @@ def test_all_definitions_with_nested_ones(spark):
     assert got["f"][2].strip() == "def f(self):\n        return 1" and got["A"][2].startswith("class A(B):") and got["A"][2].rstrip().endswith("pass")
 
 
+def _sources_by_brute_force(code):
+    lines, out = code.split("\n"), []
+    depth = lambda x: len(x) - len(x.lstrip(" "))
+    for i, x in enumerate(lines):
+        m = re.match(r"[ \t]*(?:async +)?(def|class) +([A-Za-z_][A-Za-z0-9_]*)", x)
+        if m:
+            end = next((j for j in range(i + 1, len(lines)) if lines[j].strip(" ") and depth(lines[j]) <= depth(x)), len(lines))
+            out.append((m[2], m[1], i + 1, "\n".join(lines[i:end])))
+    return out
+
+
+def test_definitions_of_random_code_and_of_many_lines(spark):
+    rng = random.Random(5)
+    line = lambda: rng.choice(["", "   ", *[" " * rng.randrange(5) + rng.choice(["x = 1", "def f():", "class A:", "async def g(a):", "define"]) for _ in range(4)]])
+    codes = ["\n".join(line() for _ in range(rng.randrange(1, 40))) for _ in range(150)]
+    df = spark.createDataFrame(list(enumerate(codes)), "k long, c string")
+    got = {r.k: [tuple(x) for x in r.d] for r in df.select("k", C.definitions(F.col("c")).alias("d")).collect()}
+    assert got == {k: _sources_by_brute_force(c) for k, c in enumerate(codes)}
+    long = spark.range(1).select(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(49_999)), lambda i: F.concat(F.lit("def f"), i.cast("string"), F.lit("():\n    pass"))), "\n").alias("c"))
+    begin = time.monotonic()
+    assert long.select(F.size(C.definitions(F.col("c"))).alias("n"), F.element_at(C.definitions(F.col("c")), -1)["source"].alias("s")).first()[:] == (50_000, "def f49999():\n    pass")
+    assert time.monotonic() - begin < 30
+
+
 def test_languages_by_name_and_first_line(spark):
     rows = [("a/x.TSX", "", "tsx"), ("x.sh", "", "bash"), ("run", "#!/usr/bin/env python -u", "python"), ("run", "#!/bin/pythonic", "unknown"), ("GNUMakefile", "", "makefile"), ("a.b/Dockerfile.dev", "", "dockerfile"), (".vue", "", "unknown"), ("x.c++", "", "cpp")]
     df = spark.createDataFrame(rows, "p string, f string, want string")
