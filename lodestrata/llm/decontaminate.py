@@ -14,14 +14,16 @@ from __future__ import annotations
 
 import functools
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm._shared import col, schema_with, small_batches, unpack, whole_row
+from lodestrata.llm._shared import col, schema_with, small_batches, stored, unpack, whole_row
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 WINDOW = 10
@@ -197,11 +199,22 @@ class Shard:
 MATCH = "struct<words:bigint,item:string,item_word:bigint,word:bigint>"
 
 
-def _scan(items: list[tuple[str, bytes]], window: int, longest: bool):
+_built: dict[tuple[str, int], TestSet] = {}
+
+
+def _test_set(block: str, items: Broadcast, window: int) -> TestSet:
+    """A block's test set, built once in each worker, which keeps that of its last block."""
+    if (block, window) not in _built:
+        _built.clear()
+        _built[block, window] = TestSet(items.value, window)
+    return _built[block, window]
+
+
+def _scan(block: str, items: Broadcast, window: int, longest: bool):
     """What one block of test items finds in each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        test = TestSet(items, window)
+        test = _test_set(block, items, window)
         for batch in batches:
             shard = Shard(batch.column("text").to_pylist(), test)
             change = np.zeros(len(shard.words) + 1, np.int64)
@@ -275,21 +288,25 @@ def find_overlap(
     tables are allowed on both sides. With keep_rows a struct of all columns is carried as row.
 
     Blocks of the test set beyond the first are searched by passes of their own over the
-    documents, and joined by a number that each document row is given.
+    documents, and joined by a number that each document row has in a written table. The driver
+    holds one block at a time; workers get it by broadcast, of block_bytes or one longer item.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    text = F.coalesce(col(text_col).cast("string"), F.lit("")).cast("binary")
-    carried = [whole_row(docs).alias("row")] if keep_rows else []
-    blocks = list(_blocks(tests, item_col, item_text_col, block_bytes))
+    text = lambda c: F.coalesce(c.cast("string"), F.lit("")).cast("binary").alias("text")
+    blocks = [(uuid.uuid4().hex, spark.sparkContext.broadcast(b)) for b in _blocks(tests, item_col, item_text_col, block_bytes)]
     if len(blocks) == 1:
-        source = docs.select(col(id_col).alias("id"), text.alias("text"), *carried)
-        found = _pass(source, blocks[0], window, longest)
+        carried = [whole_row(docs).alias("row")] if keep_rows else []
+        source = docs.select(col(id_col).alias("id"), text(col(text_col)), *carried)
+        found = _pass(source, *blocks[0], window, longest)
     else:
-        numbered = docs.select(F.struct(F.monotonically_increasing_id().alias("n"), col(id_col).alias("id")).alias("id"), text.alias("text"), *carried)
+        number = F.struct(F.monotonically_increasing_id().alias("n"), col(id_col).alias("id")).alias("id")
+        numbered = stored(docs.select(number, whole_row(docs).alias("row") if keep_rows else text(col(text_col))), "numbered-documents")
+        if keep_rows:
+            numbered = numbered.select("id", text(F.col("row").getField(text_col)), "row")
         found = None
         for i, b in enumerate(blocks):
-            one = _pass(numbered if i == 0 else numbered.drop("row"), b, window, longest)
+            one = _pass(numbered if i == 0 else numbered.drop("row"), *b, window, longest)
             found = one if found is None else found.unionByName(one, allowMissingColumns=True)
         keep = [F.first("row", ignorenulls=True).alias("row")] if keep_rows else []
         better = F.struct("longest.words", -F.col("longest.word"))
@@ -310,12 +327,12 @@ def find_overlap(
     return out
 
 
-def _pass(source: DataFrame, items: list[tuple[str, bytes]], window: int, longest: bool) -> DataFrame:
+def _pass(source: DataFrame, block: str, items: Broadcast, window: int, longest: bool) -> DataFrame:
     more = "n_words bigint, marks binary, items array<string>"
     more += f", longest {MATCH}" if longest else ""
     schema = schema_with(source, ["id"], more)
     schema = schema.add(source.schema["row"]) if "row" in source.columns else schema
-    return source.mapInArrow(_scan(items, window, longest), schema)
+    return source.mapInArrow(_scan(block, items, window, longest), schema)
 
 
 def _ones(marks):

@@ -206,6 +206,15 @@ def test_longest_matches_equal_brute_force(spark, block):
     assert got == want
 
 
+def test_a_worker_builds_a_test_set_once():
+    class Items:
+        value = [("a", b"x y")]
+
+    first = decontaminate._test_set("one", Items, 10)
+    assert decontaminate._test_set("one", Items, 10) is first and decontaminate._test_set("two", Items, 10) is not first
+    assert len(decontaminate._built) == 1
+
+
 def test_long_items_need_memory_for_their_words_only():
     import tracemalloc
 
@@ -230,6 +239,8 @@ def test_overlap_odd_rows(spark, odd_docs, no_docs):
     assert sorted([(r.doc_id, r.n_words, r.n_hit, tuple(r["items"])) for r in got], key=str) == want
     kept = decontaminate.drop_contaminated(odd_docs, tests)
     assert kept.columns == odd_docs.columns and kept.count() == sum(x[2] == 0 for x in want)
+    in_blocks = decontaminate.drop_contaminated(odd_docs, tests, block_bytes=8)
+    assert in_blocks.columns == odd_docs.columns and sorted(map(str, in_blocks.collect())) == sorted(map(str, kept.collect()))
     assert decontaminate.find_overlap(no_docs, tests).count() == 0
     assert decontaminate.drop_contaminated(odd_docs, tests.limit(0)).count() == odd_docs.count()
 
