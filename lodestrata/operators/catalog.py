@@ -94,6 +94,87 @@ class PythonNames:
                 yield "call", f.id if isinstance(f, ast.Name) else getattr(f, "attr", ""), node.lineno
 
 
+@udtf(returnType="name string, line int, is_async boolean, signature string, doc string, parameters array<struct<name:string,annotation:string,default:string,required:boolean>>, returns string, raises array<string>")
+class PythonMethods:
+    """Functions of a piece of Python code, nested ones by their dotted names, with what their heads,
+    docstrings and own raise statements say, each error once in order; nothing for code that does not parse."""
+
+    def eval(self, code: str):
+        try:
+            tree = ast.parse(code or "")
+        except (SyntaxError, ValueError, RecursionError, MemoryError):
+            return
+        todo = [(tree, "")]
+        while todo:
+            node, within = todo.pop()
+            for x in ast.iter_child_nodes(node):
+                named = isinstance(x, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef))
+                todo.append((x, f"{within}{x.name}." if named else within))
+                if named and not isinstance(x, ast.ClassDef):
+                    yield within + x.name, x.lineno, isinstance(x, ast.AsyncFunctionDef), f"({ast.unparse(x.args)})", ast.get_docstring(x) or "", _parameters(x.args), ast.unparse(x.returns) if x.returns else None, _raised(x)
+
+
+def _parameters(a: ast.arguments) -> list[tuple[str, str | None, str | None, bool]]:
+    plain = [*a.posonlyargs, *a.args]
+    defaults = [None] * (len(plain) - len(a.defaults)) + a.defaults
+    given = [*zip(plain, defaults), *zip(a.kwonlyargs, a.kw_defaults)]
+    text = lambda x: ast.unparse(x) if x is not None else None
+    out = [(p.arg, text(p.annotation), text(d), d is None) for p, d in given if p.arg not in ("self", "cls")]
+    return out + [(p.arg, text(p.annotation), None, False) for p in (a.vararg, a.kwarg) if p]
+
+
+def _raised(function: ast.AST) -> list[str]:
+    """Errors that a function raises itself, not those of functions within it."""
+    found: dict[str, None] = {}
+    todo = list(ast.iter_child_nodes(function))[::-1]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef, ast.Lambda)):
+            continue
+        if isinstance(x, ast.Raise) and x.exc is not None:
+            found.setdefault(ast.unparse(x.exc.func if isinstance(x.exc, ast.Call) else x.exc))
+        todo += list(ast.iter_child_nodes(x))[::-1]
+    return list(found)
+
+
+def methods_of(df: DataFrame, code: str) -> DataFrame:
+    """df with a row for each function of its code: the columns of PythonMethods."""
+    return df.lateralJoin(PythonMethods(F.col(code).outer()))
+
+
+def analysed(methods: DataFrame) -> DataFrame:
+    """methods_of() with summary, categories, examples (lines after >>>), errors (those raised or named by
+    the docstring, each with what that says of it) and parameters with their descriptions in the docstring."""
+    doc = F.col("doc")
+    said = lambda pattern: F.arrays_zip(*[F.regexp_extract_all(doc, F.lit(pattern), F.lit(i)).alias(c) for i, c in ((1, "name"), (2, "text"))])
+    methods = methods.withColumn("_said", said(r"(?m)^[ \t]*\*{0,2}([A-Za-z_][A-Za-z0-9_.]*) ?(?:\([^)\n]*\))?:[ \t]+([^\n]+)$"))
+    first = lambda name: F.trim(F.get(F.filter("_said", lambda x: x["name"] == name), F.lit(0))["text"])
+    parameters = F.transform("parameters", lambda p: F.struct(p["name"].alias("name"), p["annotation"].alias("annotation"), p["default"].alias("default"), p["required"].alias("required"), first(p["name"]).alias("description")))
+    named = F.transform(F.filter("_said", lambda x: x["name"].rlike("^[A-Z][A-Za-z.]*(Error|Exception)$")), lambda x: x["name"])
+    errors = F.transform(F.array_distinct(F.concat("raises", named)), lambda e: F.struct(e.alias("type"), first(e).alias("description")))
+    more = {
+        "parameters": parameters, "errors": errors, "summary": summary_of(doc), "examples": F.regexp_extract_all(doc, F.lit(r"(?m)^[ \t]*>>> ([^\n]*)$"), F.lit(1)),
+        "categories": categories_of(F.concat_ws(" ", "name", "doc"), F.size("raises") > 0),
+    }
+    return methods.withColumns(more).drop("_said", "raises")
+
+
+def relevant_methods(methods: DataFrame, wanted: str, key: list[str], most: int = 3) -> DataFrame:
+    """analysed() of the first methods, in order of name and key, whose summary holds the wanted words, in
+    either case; only those are analysed."""
+    hit = F.contains(F.lower(summary_of(F.col("doc"))), F.lit(wanted.lower()))
+    return analysed(methods.filter(hit).orderBy("name", *key).limit(most))
+
+
+def deep_lookup(asked: DataFrame, name: str, methods: DataFrame) -> DataFrame:
+    """For each distinct asked dotted name the methods of that name, analysed; none, a row of nulls. found
+    says which."""
+    names = asked.select(F.col(name).alias("_asked")).distinct()
+    found = analysed(names.join(methods, F.col("_asked") == methods["name"]))
+    out = names.join(found.withColumn("found", F.lit(True)), "_asked", "left")
+    return out.withColumn("found", F.coalesce("found", F.lit(False))).drop("name").withColumnRenamed("_asked", "name")
+
+
 def method_lookup(asked: DataFrame, name: str, catalogue: DataFrame, method: str, summary: str, close: int = 3) -> DataFrame:
     """For each distinct asked name: exists, entries and the first summary in order, of the methods of
     this very name; close, the methods that share most of its words if it does not exist, `close` at most.

@@ -355,6 +355,51 @@ def d13_exists(s, d):
     return K.method_lookup(asked, "name", p, "p_name", "p_type").withColumn("close", F.array_join("close", "|"))
 
 
+# Code of which each part gives a function, every third one a method of a class.
+CODE_SQL = """SELECT p_partkey, concat(CASE WHEN p_partkey % 3 = 0 THEN concat('class K', CAST(p_partkey AS VARCHAR(20)), ':', chr(10)) ELSE concat('if True:', chr(10)) END,
+  '    def make_', CAST(p_partkey AS VARCHAR(20)), '(', CASE WHEN p_partkey % 3 = 0 THEN 'self, ' ELSE '' END, 'size: int, brand: str = ', chr(39), p_brand, chr(39), ', *more) -> bool:', chr(10),
+  '        ', repeat(chr(34), 3), 'Makes ', p_name, '. Ships it.', chr(10), chr(10), '        Args:', chr(10), '            size: at most ', CAST(p_size AS VARCHAR(20)), chr(10), '            brand (str): who made it', chr(10), chr(10),
+  '        Raises:', chr(10), '            KeyError: never', chr(10), chr(10), '        >>> make(', CAST(p_size AS VARCHAR(20)), ')', chr(10), '        ', repeat(chr(34), 3), chr(10),
+  CASE WHEN p_size % 2 = 0 THEN concat('        if size > 3:', chr(10), '            raise ValueError(size)', chr(10)) ELSE '' END, '        return True', chr(10)) AS code FROM {part}"""
+DEEP = """SELECT p_partkey, concat(CASE WHEN p_partkey % 3 = 0 THEN concat('K', CAST(p_partkey AS VARCHAR), '.') ELSE '' END, 'make_', CAST(p_partkey AS VARCHAR)) AS name, concat('Makes ', p_name, '.') AS summary,
+  concat('(', CASE WHEN p_partkey % 3 = 0 THEN 'self, ' ELSE '' END, 'size: int, brand: str=', chr(39), p_brand, chr(39), ', *more)') AS signature, 'bool' AS returns, concat('size:int::true:at most ', CAST(p_size AS VARCHAR), '|brand:str:', chr(39), p_brand, chr(39), ':false:who made it|more:::false:') AS parameters,
+  CASE WHEN p_size % 2 = 0 THEN 'ValueError:|KeyError:never' ELSE 'KeyError:never' END AS errors, concat('make(', CAST(p_size AS VARCHAR), ')') AS examples FROM part"""
+
+
+def _methods(s, d):
+    return K.methods_of(s.sql(CODE_SQL, part=frame(s, d, "part")), "code").drop("code")
+
+
+def _flat(found):
+    part = lambda x: F.coalesce(x.cast("string"), F.lit(""))
+    joined = lambda c, *names: F.array_join(F.transform(c, lambda x: F.concat_ws(":", *[part(x[n]) for n in names])), "|")
+    return found.select("p_partkey", "name", "summary", "signature", "returns", joined("parameters", "name", "annotation", "default", "required", "description").alias("parameters"), joined("errors", "type", "description").alias("errors"), F.array_join("examples", "|").alias("examples"))
+
+
+@query("d13_deep_analysis", "SELECT * FROM deep", ("deep", DEEP))
+def d13_deep(s, d):
+    """Every method of the corpus's code, analysed."""
+    return _flat(K.analysed(_methods(s, d)))
+
+
+@query("d13_relevant_methods", "SELECT * FROM deep WHERE contains(lower(summary), 'ring') ORDER BY name, p_partkey LIMIT 3", ("deep", DEEP))
+def d13_relevant(s, d):
+    """The first three methods whose summary speaks of rings, analysed."""
+    return _flat(K.relevant_methods(_methods(s, d), "Ring", ["p_partkey"]))
+
+
+@query(
+    "d13_deep_lookup",
+    "SELECT a.name, d.p_partkey IS NOT NULL AS found, summary, signature FROM (SELECT DISTINCT concat('K', CAST(p_partkey AS VARCHAR), '.make_', CAST(p_partkey AS VARCHAR)) AS name FROM part) a LEFT JOIN deep d ON a.name = d.name",
+    ("deep", DEEP),
+)
+def d13_deep_lookup(s, d):
+    """Methods looked up by dotted names, of which a third exist."""
+    key = F.col("p_partkey").cast("string")
+    asked = frame(s, d, "part").select(F.concat(F.lit("K"), key, F.lit(".make_"), key).alias("name"))
+    return K.deep_lookup(asked, "name", _methods(s, d)).select("name", "found", "summary", "signature")
+
+
 @query("z01_ratio")
 def z01(s, d):
     return frame(s, d, "glossary").select("term_id", F.round(Z.ratio_column("term", F.lit("small ring")), 4).alias("ratio")).filter("ratio >= 60")

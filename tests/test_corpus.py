@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lodestrata.functions import fuzzy as Z
 from lodestrata.functions.analysis import TEXT
 from lodestrata.functions.vectors import cosine, embed, with_prefix
+from lodestrata.operators import catalog as K
 from lodestrata.operators import corpus as C
 from lodestrata.plans import service_queries as S
 
@@ -125,6 +126,44 @@ def test_definitions_of_random_code_and_of_many_lines(spark):
     assert time.monotonic() - begin < 30
 
 
+CODE = '''class A:
+    async def f(self, x: int, /, y=[1, (2,)], *, z, **more) -> "dict[str, int]":
+        """Gets all. More.
+
+        Args:
+            x (int): the first
+            more: and others
+
+        Raises:
+            ValueError: if bad
+
+        >>> f(1)
+        >>> f(2)
+        """
+        def inner():
+            raise KeyError
+        raise TypeError("no") from None
+
+def g(): pass
+'''
+
+
+def test_methods_of_code_are_analysed(spark):
+    df = spark.createDataFrame([(1, CODE), (2, "def broken("), (3, None), (4, "")], "k long, c string")
+    methods = K.methods_of(df, "c").drop("c")
+    got = {r.name: r for r in K.analysed(methods).collect()}
+    assert set(got) == {"A.f", "A.f.inner", "g"} and all(r.k == 1 for r in got.values())
+    f = got["A.f"]
+    assert f.is_async and f.line == 2 and f.signature == "(self, x: int, /, y=[1, (2,)], *, z, **more)" and f.returns == "'dict[str, int]'" and f.summary == "Gets all."
+    assert [tuple(p) for p in f.parameters] == [("x", "int", None, True, "the first"), ("y", None, "[1, (2,)]", False, None), ("z", None, None, True, None), ("more", None, None, False, "and others")]
+    assert [tuple(e) for e in f.errors] == [("TypeError", None), ("ValueError", "if bad")]
+    assert f.examples == ["f(1)", "f(2)"] and "read" in f.categories and "error_handling" in f.categories
+    assert [e.type for e in got["A.f.inner"].errors] == ["KeyError"] and got["g"].summary == "." and not got["g"].parameters
+    asked = spark.createDataFrame([("A.f",), ("A.f",), ("A.none",), (None,)], "n string")
+    assert sorted((str(r.name), r.found) for r in K.deep_lookup(asked, "n", methods).collect()) == [("A.f", True), ("A.none", False), ("None", False)]
+    assert [r.name for r in K.relevant_methods(methods, "GETS", ["k"]).collect()] == ["A.f"]
+
+
 def test_languages_by_name_and_first_line(spark):
     rows = [("a/x.TSX", "", "tsx"), ("x.sh", "", "bash"), ("run", "#!/usr/bin/env python -u", "python"), ("run", "#!/bin/pythonic", "unknown"), ("GNUMakefile", "", "makefile"), ("a.b/Dockerfile.dev", "", "dockerfile"), (".vue", "", "unknown"), ("x.c++", "", "cpp")]
     df = spark.createDataFrame(rows, "p string, f string, want string")
