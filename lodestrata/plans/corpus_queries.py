@@ -307,7 +307,7 @@ _CATS = ", ".join(f"CASE WHEN regexp_matches(lower(content), '{w}') THEN '{n}' E
 
 @query("d08_categories", f"SELECT doc_id, array_to_string(list_filter([{_CATS}], lambda x: x IS NOT NULL), ',') AS categories FROM {{articles}}")
 def d08(s, d):
-    return frame(s, d, "articles").select("doc_id", F.array_join(K.categories_of(F.col("content"), F.col("content").contains("idiot")), ",").alias("categories"))
+    return frame(s, d, "articles").select("doc_id", F.array_join(K.categories_of(F.col("content"), F.lower("content").contains("idiot")), ",").alias("categories"))
 
 
 @query("d09_summary", "SELECT doc_id, CASE WHEN length(f) > 100 THEN substring(f, 1, 97) || '...' ELSE f END AS summary FROM (SELECT doc_id, regexp_extract(text, '(?s)^([^.]*)', 1) || '.' AS f FROM documents)")
