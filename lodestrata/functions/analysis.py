@@ -29,6 +29,12 @@ class Analyzer:
             found = F.filter(found, lambda t: ~t.isin(*self.stop_words))
         return stem_all(found) if self.stem else found
 
+    def line(self, text: Column) -> Column:
+        """tokens() with a space between any two."""
+        if self.stop_words or self.stem:
+            return F.array_join(self.tokens(text), " ")
+        return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\pL\pN]+", " "))
+
     def query(self, text: str) -> list[str]:
         """The distinct tokens of a query text, in order."""
         found = [t for t in re.findall(r"[^\W_]+", text.lower()) if t not in self.stop_words]

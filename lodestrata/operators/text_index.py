@@ -1,7 +1,7 @@
 """A stored inverted index with positions, kept in segments that all sessions share.
 
-A segment is one table of postings in order of term, field and block. A block is a group of about
-`BLOCK` rows, by a hash of the key; a summary of each term's blocks bounds what a block can score.
+A segment is one table of postings whose files hold some blocks each, in order of term, field and
+block. A block is a group of about `BLOCK` rows, by a hash of the key; a summary of each term's blocks bounds what a block can score.
 A search is a filter on terms, which Parquet statistics prune to the pages that hold them, one
 aggregate over the hits, and expressions; a top-k or thresholded search first drops the blocks
 whose bound is too low. Texts are read only when a segment is built.
@@ -17,6 +17,7 @@ from __future__ import annotations
 import math
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from lodestrata.functions.analysis import TEXT, Analyzer
 from lodestrata.operators.retrieval import B, K1, bm25_of, top
 from lodestrata.sources.kept import drop_kept, folders, read_manifest, write_kept, write_manifest
-from lodestrata.sources.scratch import scratch_root, stored, temporary_tables
+from lodestrata.sources.scratch import scratch_root, stored
 
 #: Changes with the tables' columns, so that no session opens an index of another layout.
 LAYOUT = "2"
@@ -43,6 +44,11 @@ MOST, DEAD = 8, 0.2
 NAMED = 2000
 #: The term of the row that says how long a document's field is, and the document's signature.
 WHOLE = ""
+#: Bytes of texts that a task makes postings of, about, and of those that Python holds at once; postings of a merging task.
+TASK, HELD, MERGED = 1 << 24, 1 << 22, 1 << 21
+ORDER = ["term", "field", "block", "key"]
+SUMMARY = "field string, term string, block bigint, n bigint, most int, least int, impact double, mean double"
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 @dataclass(frozen=True)
@@ -191,25 +197,28 @@ class TextIndex:
 def _postings(df: DataFrame, key: str, fields: list[str], analyzer: Analyzer, blocks: int) -> DataFrame:
     """All postings of a frame, with a row of the term WHOLE for each field of each row.
 
-    A row's terms are counted where the row is, so that only postings move."""
-    kind, cores = dict(df.dtypes)[key], df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:  # a few large files are read by all
-        df = df.select(key, *fields).repartition(cores)
-    rows = df.select(
-        F.col(key).alias("key"), _signature(fields).alias("signature"), F.pmod(F.xxhash64(key), F.lit(blocks)).alias("block"), *[analyzer.tokens(F.col(f)).alias(f"t{i}") for i, f in enumerate(fields)]
+    Texts, not postings, are dealt to tasks, by blocks and so evenly, however frequent a term is; a
+    row's terms are counted where the row is. A task has about TASK bytes of texts, at every size."""
+    kind, spark = dict(df.dtypes)[key], df.sparkSession
+    size = df.agg(F.sum(sum(F.octet_length(F.coalesce(F.col(f).cast("string"), F.lit(""))) for f in fields).cast("long"))).first()[0] or 0
+    dealt = df.select(key, *fields, F.pmod(F.xxhash64(key), F.lit(blocks)).alias("_block"))
+    rows = dealt.repartition(_tasks(spark, size, TASK), "_block").select(
+        F.col(key).alias("key"), _signature(fields).alias("signature"), F.col("_block").alias("block"), *[analyzer.line(F.col(f)).alias(f"t{i}") for i, f in enumerate(fields)]
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["field", "term", "block", "key", "length", "tf", "positions", "signature"]
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in _pieces(whole, len(fields))):
             n = len(batch)
             for i, f in enumerate(fields):
-                tokens = batch.column(f"t{i}")
-                length = np.diff(tokens.offsets.to_numpy())
+                line = batch.column(f"t{i}")
+                tokens = pc.split_pattern(line, " ")
+                length = np.where(pc.binary_length(line).to_numpy() == 0, 0, pc.list_value_length(tokens).to_numpy())
+                flat = tokens.flatten()
+                encoded = flat.filter(pc.not_equal(flat, "")).dictionary_encode()  # an empty line splits into an empty token
                 place = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
-                encoded = tokens.flatten().dictionary_encode()
                 row, code = np.repeat(np.arange(n), length), encoded.indices.to_numpy()
-                order = np.lexsort((place, code, row))  # a row's terms, and the places of each, side by side
+                order = np.argsort(row * max(1, len(encoded.dictionary)) + code, kind="stable")  # a row's terms, and the places of each, side by side
                 row, code = row[order], code[order]
                 new = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (code[1:] != code[:-1])]) if len(row) else np.zeros(0, np.int64)
                 bounds = np.append(new, len(row))
@@ -223,14 +232,21 @@ def _postings(df: DataFrame, key: str, fields: list[str], analyzer: Analyzer, bl
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     out = rows.mapInArrow(run, f"field string, term string, block bigint, key {kind}, length int, tf int, positions array<int>, signature binary")
-    # Written once as they come: ranges are sampled from what is written, and texts read a single time.
-    return _ordered(stored(out, "index-rows"))
+    return out.sortWithinPartitions(*ORDER)
+
+
+def _pieces(batch: pa.RecordBatch, fields: int) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of about HELD bytes of texts, one longer text aside."""
+    size = sum(pc.binary_length(batch.column(f"t{i}")).to_numpy().astype(np.int64) for i in range(fields))
+    cuts = [0, *(np.flatnonzero(np.diff(np.cumsum(size) // HELD)) + 1).tolist(), len(batch)]
+    for a, b in zip(cuts, cuts[1:]):
+        if a < b:
+            yield batch.slice(a, b - a)
 
 
-def _ordered(postings: DataFrame) -> DataFrame:
-    """Dealt by ranges of term and block, which spreads a term of very many rows over as many tasks as it needs."""
-    order = ["term", "field", "block", "key"]
-    return postings.repartitionByRange(*order).sortWithinPartitions(*order)
+def _tasks(spark: SparkSession, size: int, each: int) -> int:
+    """Tasks that take about `each` of a size; all cores have one."""
+    return max(spark.sparkContext.defaultParallelism, -(-size // each))
 
 
 def _signature(fields: list[str]) -> Column:
@@ -241,15 +257,47 @@ def _signature(fields: list[str]) -> Column:
 def _segment(postings: DataFrame, root: str) -> dict:
     """Write a segment and its summary."""
     spark = postings.sparkSession
-    name = write_kept(postings, root, "postings", **{"parquet.page.row.count.limit": PAGE})
+    with _batches(spark, 1000):  # of texts
+        name = write_kept(postings, root, "postings", **{"parquet.page.row.count.limit": PAGE})
     back = spark.read.schema(postings.schema).parquet(f"{root}/{name}")
     mean = F.lit(1.0)
     for r in back.filter(F.col("term") == WHOLE).groupBy("field").agg(F.avg("length").alias("mean")).collect():  # one row a field
         mean = F.when(F.col("field") == r["field"], r["mean"]).otherwise(mean)
+    with _batches(spark, 1 << 15):  # of short rows
+        return {"postings": name, "summary": write_kept(_summary(back, mean), root, "summary")}
+
+
+@contextmanager
+def _batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of so many rows for what is written within."""
+    before = spark.conf.get(BATCH)
+    spark.conf.set(BATCH, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH, before)
+
+
+def _summary(postings: DataFrame, mean: Column) -> DataFrame:
+    """n, most, least, impact and mean of the blocks of each term, in the order that postings are stored
+    in: a pass without a shuffle. A block that lies in two batches has a row for each; readers add up n
+    and take the best bound."""
     part = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / mean))
-    most = back.filter(F.col("term") != WHOLE).groupBy("field", "term", "block").agg(F.count(F.lit(1)).alias("n"), F.max("tf").alias("most"), F.min("length").alias("least"), F.max(part).alias("impact"))
-    most = most.withColumn("mean", mean)
-    return {"postings": name, "summary": write_kept(most.repartitionByRange("term", "field", "block").sortWithinPartitions("term", "field", "block"), root, "summary")}
+    rows = postings.filter(F.col("term") != WHOLE).select("field", "term", "block", "tf", "length", part.alias("impact"), mean.alias("mean"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            group = [batch.column(c).dictionary_encode().indices.to_numpy() for c in ("field", "term")] + [batch.column("block").to_numpy()]
+            new = np.flatnonzero(np.r_[True, np.any([g[1:] != g[:-1] for g in group], axis=0)])
+            of = lambda how, c: pa.array(how.reduceat(batch.column(c).to_numpy(), new))
+            n = pa.array(np.diff(np.append(new, len(batch))).astype(np.int64))
+            columns = [n, of(np.maximum, "tf"), of(np.minimum, "length"), of(np.maximum, "impact")]
+            own = batch.select(["field", "term", "block", "mean"]).take(pa.array(new))
+            yield pa.RecordBatch.from_arrays([*own.columns[:3], *columns, own.column("mean")], names=SUMMARY.replace(",", "").split()[::2])
+
+    return rows.mapInArrow(run, SUMMARY)
 
 
 def _opened(spark: SparkSession, root: str, manifest: dict, key: str, fields: list[str], analyzer: Analyzer) -> TextIndex:
@@ -308,10 +356,9 @@ def _ddl(df: DataFrame) -> str:
 def _added(df: DataFrame, root: str, manifest: dict, key: str, fields: list[str], analyzer: Analyzer, gone: int = 0) -> dict:
     """A manifest with a further segment, of a frame's rows, in force."""
     spark = df.sparkSession
-    with temporary_tables(spark):
-        postings = _postings(df, key, fields, analyzer, manifest["blocks"])
-        segment = _segment(postings, root) | {"number": manifest["next"]}
-    schemas = {"postings": _ddl(postings), "summary": "field string, term string, block bigint, n bigint, most int, least int, impact double, mean double"}
+    postings = _postings(df, key, fields, analyzer, manifest["blocks"])
+    segment = _segment(postings, root) | {"number": manifest["next"]}
+    schemas = {"postings": _ddl(postings), "summary": SUMMARY}
     manifest = manifest | {"segments": [*manifest["segments"], segment], "next": manifest["next"] + 1, "schemas": manifest.get("schemas", {}) | schemas}
     return _counted(spark, root, manifest, key, fields, analyzer)
 
@@ -336,7 +383,8 @@ def merge(index: TextIndex, root: str) -> TextIndex:
     blocks = max(1, old["rows"] // BLOCK)
     block = F.pmod(F.xxhash64("key"), F.lit(blocks)).alias("block")
     postings = index._live(index.postings).select("field", "term", block, "key", "length", "tf", "positions", "signature")
-    segment = _segment(_ordered(postings), root) | {"number": old["next"]}
+    ordered = postings.repartition(_tasks(spark, index.postings.count(), MERGED), "block").sortWithinPartitions(*ORDER)
+    segment = _segment(ordered, root) | {"number": old["next"]}
     manifest = old | {"segments": [segment], "dead": [], "next": old["next"] + 1, "blocks": blocks}
     return _opened(spark, root, _counted(spark, root, manifest, index.key, list(index.fields), index.analyzer), index.key, list(index.fields), index.analyzer)
 

@@ -4,6 +4,7 @@ import random
 import re
 import uuid
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -146,3 +147,29 @@ def test_blocks_that_cannot_win_are_not_read(spark):
     assert reads[1]["read"] < reads[10]["read"] < reads[1000]["read"] <= reads[1]["postings"] and reads[1]["kept"] < reads[1]["blocks"] == 62
     least = -every[20][0]
     assert sorted(r.id for r in index.search_from(fields, ["rare", "word"], least - 1e-7).collect()) == sorted(i for s, i in every if -s >= least - 1e-7)
+
+
+def test_texts_are_dealt_in_bounded_parts(spark, monkeypatch):
+    """More tasks for more texts, and in Python a bounded part of them at a time."""
+    monkeypatch.setattr(text_index, "TASK", 2000)
+    monkeypatch.setattr(text_index, "HELD", 500)
+    rng = random.Random(5)
+    words = ["ring", "steel", "über", "the", *[f"w{i}" for i in range(40)]]
+    said = lambda most: " ".join(rng.choices(words, k=rng.randint(0, most)))
+    rows = [(i, said(5), "" if i % 50 == 0 else "the " + said(30)) for i in range(600)] + [(600, "_", "the ring " * 900)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(1)
+    index = build_index(df, "id", list(FIELDS))
+    assert indexed(index, ["ring", "the", "w7"]) == scanned(df, ["ring", "the", "w7"])
+    assert len(index.postings.inputFiles()) > 5
+    got = index.summary.groupBy("field", "term").agg(F.sum("n").alias("n"))
+    want = index.postings.filter("term <> ''").groupBy("field", "term").agg(F.count(F.lit(1)).alias("n"))
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+    held = [len(x) for x in text_index._pieces(pa.RecordBatch.from_pydict({"t0": ["x" * 200] * 30}), 1)]
+    assert sum(held) == 30 and max(held) <= 3
+
+
+def test_lines_are_the_tokens(spark):
+    texts = ["", None, " ", "a_b-c", "İSTANBUL ΣΑΣ Straße", "x²½ Ⅷ 日本語１２", "\t\n..a.. b c", "no", "été"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for analyzer in (text_index.TEXT, text_index.Analyzer(("no", "a"))):
+        assert df.filter(F.array_join(analyzer.tokens(F.col("t")), " ") != analyzer.line(F.col("t"))).isEmpty()
