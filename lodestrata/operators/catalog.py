@@ -14,6 +14,7 @@ from lodestrata.operators.relational import first_n
 from pyspark.sql.functions import udtf
 
 from lodestrata.functions.vectors import embed
+from lodestrata.sources.scratch import stored
 
 # Keyword sets of method categories.
 CATEGORIES = {
@@ -138,7 +139,11 @@ def _raised(function: ast.AST) -> list[str]:
 
 
 def methods_of(df: DataFrame, code: str) -> DataFrame:
-    """df with a row for each function of its code: the columns of PythonMethods."""
+    """df with a row for each function of its code: the columns of PythonMethods. A few large files are
+    read by all cores, as parsing takes far longer than reading."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        df = df.repartition(cores)
     return df.lateralJoin(PythonMethods(F.col(code).outer()))
 
 
@@ -161,9 +166,10 @@ def analysed(methods: DataFrame) -> DataFrame:
 
 def relevant_methods(methods: DataFrame, wanted: str, key: list[str], most: int = 3) -> DataFrame:
     """analysed() of the first methods, in order of name and key, whose summary holds the wanted words, in
-    either case; only those are analysed."""
+    either case; only those are analysed. They are written first: under a projection Spark would sort all
+    methods, parsing twice, instead of keeping the first of each task."""
     hit = F.contains(F.lower(summary_of(F.col("doc"))), F.lit(wanted.lower()))
-    return analysed(methods.filter(hit).orderBy("name", *key).limit(most))
+    return analysed(stored(methods.filter(hit).orderBy("name", *key).limit(most), "relevant-methods"))
 
 
 def deep_lookup(asked: DataFrame, name: str, methods: DataFrame) -> DataFrame:

@@ -210,3 +210,13 @@ def test_templates_without_answers_are_left_out(spark):
         [], [], [],
     ]
     assert [[(p.question, p.answer) for p in r.q] for r in df.select(C.class_pairs(df.n, df.d, df.c).alias("q")).collect()][0] == [("What is the purpose of the `f` class?", "Does."), ("Show me the implementation of the `f` class.", "def f")]
+
+
+def test_code_of_one_file_is_parsed_by_all_cores(spark):
+    code = spark.createDataFrame([(i, f'def f{i}():\n    """Rings {i}."""\n') for i in range(40)], "id long, code string").repartition(1)
+    methods = K.methods_of(code, "code")
+    assert methods.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    first = K.relevant_methods(methods, "ring", ["id"])
+    assert sorted(r.name for r in first.collect()) == ["f0", "f1", "f10"]
+    plan = first._jdf.queryExecution().executedPlan().toString()
+    assert "Sort" not in plan and "PythonUDTF" not in plan
