@@ -26,6 +26,8 @@ from lodestrata.sources.scratch import stored
 SAMPLE, MEASURED = 20_000, 200
 #: Vectors of one block of a list, or of the searching side, at most about.
 BLOCK = 4096
+#: Copies of vectors, one for each list that they probe, that Python holds at once.
+COPIES = 16_384
 
 
 def unit_rows(vectors: list) -> np.ndarray:
@@ -114,12 +116,13 @@ class VectorIndex:
         return sum(r["count"] * int(self.sizes[r["list"]]) for r in asked)
 
     def _probing(self, queries: DataFrame, probes: int) -> DataFrame:
-        """list, id, v: each query once for each list that it probes."""
+        """list, id, v: each query once for each list that it probes; a batch is copied part by part."""
         centres = queries.sparkSession.sparkContext.broadcast(self.centres)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if not len(batch) or not len(centres.value):
+            each = max(1, COPIES // max(1, min(probes, len(centres.value))))
+            for batch in (whole.slice(i, each) for whole in batches for i in range(0, len(whole), each)):
+                if not len(centres.value):
                     continue
                 near = np.argsort(-(unit_rows(batch.column("v").to_pylist()) @ centres.value.T), axis=1, kind="stable")[:, :probes]
                 rows = batch.take(pa.array(np.repeat(np.arange(len(batch)), near.shape[1])))

@@ -1,8 +1,12 @@
 """Inverted lists against all pairs."""
 
+import inspect
+
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from lodestrata.operators import vector_index
 from lodestrata.operators.graph import nearest_edges
 from lodestrata.operators.vector_index import build_vector_index, fit_centres, recall_of, unit_rows
 from lodestrata.plans import entities
@@ -86,3 +90,24 @@ def test_recall_on_the_embeddings(spark):
     assert report.wanted == 1000 and report.recall >= 0.9
     edges = nearest_edges(e, "vec_id", "embedding", 5, 0.35).selectExpr("src AS query", "dst AS vec_id")
     assert recall_of(index.neighbours(e, "vec_id", "embedding", 5, 0.35, same=False), edges, "query", "vec_id").first().recall >= 0.9
+
+
+def test_probing_copies_a_bounded_part(spark, grouped, monkeypatch):
+    """A batch is not copied for all its lists at once, and each vector still goes to each of its lists."""
+    vectors, df = grouped
+    index = build_vector_index(df, "id", "v", lists=20)
+    monkeypatch.setattr(vector_index, "COPIES", 100)
+    made = []
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, run, schema: made.append(run) or self)
+    index._probing(df.select("id", "v"), 20)
+    batch = pa.RecordBatch.from_pydict({"id": list(vectors)[:50], "v": list(vectors.values())[:50]})
+    out = list(made[0]([batch]))
+    assert sum(map(len, out)) == 50 * 20 and max(map(len, out)) <= 100 and len({(i, n) for b in out for i, n in zip(b["id"].to_pylist(), b["list"].to_pylist())}) == 1000
+
+
+def test_nearest_edges_of_many_blocks_equal_one(spark, grouped):
+    """Blocks of 4,096 rows as a default: a vector is shuffled an eighth as often as with 512."""
+    _, df = grouped
+    found = [sorted((r.src, r.dst) for r in nearest_edges(df.filter("id % 3 <> 0"), "id", "v", 5, 0.35, *rows).collect()) for rows in ((), (100,))]
+    assert found[0] == found[1] and found[0]
+    assert "4096" in str(inspect.signature(nearest_edges))
