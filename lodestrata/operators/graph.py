@@ -169,24 +169,25 @@ def prune_edges(edges: DataFrame, least: float, before=None) -> DataFrame:
     return edges.filter(~F.coalesce(gone, F.lit(False)))
 
 
-def nearest_edges(vectors: DataFrame, key: str, vector: str, k: int, least: float, rows: int = 512) -> DataFrame:
+def nearest_edges(vectors: DataFrame, key: str, vector: str, k: int, least: float, rows: int = 4096) -> DataFrame:
     """src, dst, strength: each vector's k best cosines of at least `least`, by matrix products.
 
     Vectors are cut into blocks by a hash of the key. Every block meets every other once; a pair
-    of blocks is one task's work and passes on at most k rows for each of its vectors.
+    of blocks is one task's work and passes on at most k rows for each of its vectors. Only pairs of
+    at least `least` are sorted. A vector is shuffled once for each block, so blocks are large.
     """
     import numpy as np
     import pandas as pd
 
     blocks = max(1, -(-vectors.count() // rows))
     kind = dict(vectors.dtypes)[key]
-    v = vectors.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("g"))
+    v = vectors.select(F.col(key).alias("id"), F.col(vector).alias("v"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("g"))
     left = v.withColumn("h", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("side", F.lit(0))
     right = v.select("id", "v", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("g"), F.col("g").alias("h")).withColumn("side", F.lit(1))
 
     def match(pdf: pd.DataFrame) -> pd.DataFrame:
         def unit(part: pd.DataFrame) -> np.ndarray:
-            m = np.stack(part.v.to_list())
+            m = np.stack(part.v.to_list()).astype(np.float64)
             return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
 
         a, b = pdf[pdf.side == 0].sort_values("id"), pdf[pdf.side == 1].sort_values("id")
@@ -194,10 +195,12 @@ def nearest_edges(vectors: DataFrame, key: str, vector: str, k: int, least: floa
             return pd.DataFrame({"src": [], "dst": [], "strength": []})
         score = unit(a) @ unit(b).T
         score[a.id.to_numpy()[:, None] == b.id.to_numpy()[None, :]] = -2
-        at = np.argsort(-score, axis=1, kind="stable")[:, :k]
-        i = np.repeat(np.arange(len(a)), at.shape[1])
-        out = pd.DataFrame({"src": a.id.to_numpy()[i], "dst": b.id.to_numpy()[at.ravel()], "strength": score[i, at.ravel()]})
-        return out[out.strength >= least]
+        i, j = np.nonzero(score >= least)
+        order = np.lexsort((j, -score[i, j], i))
+        i, j = i[order], j[order]
+        best = np.arange(len(i)) - np.searchsorted(i, i) < k
+        i, j = i[best], j[best]
+        return pd.DataFrame({"src": a.id.to_numpy()[i], "dst": b.id.to_numpy()[j], "strength": score[i, j]})
 
     pairs = left.select("id", "v", "g", "h", "side").unionByName(right).groupBy("g", "h").applyInPandas(match, f"src {kind}, dst {kind}, strength double")
     from lodestrata.operators.relational import first_n
