@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.functions.analysis import TEXT
-from lodestrata.operators.relational import first_n
+from lodestrata.operators.relational import first_n, spread
 from pyspark.sql.functions import udtf
 
 from lodestrata.functions.vectors import embed
@@ -141,10 +141,7 @@ def _raised(function: ast.AST) -> list[str]:
 def methods_of(df: DataFrame, code: str) -> DataFrame:
     """df with a row for each function of its code: the columns of PythonMethods. A few large files are
     read by all cores, as parsing takes far longer than reading."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        df = df.repartition(cores)
-    return df.lateralJoin(PythonMethods(F.col(code).outer()))
+    return spread(df).lateralJoin(PythonMethods(F.col(code).outer()))
 
 
 def analysed(methods: DataFrame) -> DataFrame:

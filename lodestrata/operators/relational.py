@@ -56,3 +56,10 @@ def with_share(df: DataFrame, group: str | list[str], count: str = "n", share: s
     counted = df.groupBy(*([group] if isinstance(group, str) else group)).agg(F.count(F.lit(1)).alias(count))
     total = counted.agg(F.sum(count).alias("_total"))
     return counted.crossJoin(F.broadcast(total)).withColumn(share, F.round(100.0 * F.col(count) / F.col("_total"), 2)).drop("_total")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df, dealt to all cores where it has fewer tasks, as a few small files have: for work that takes far
+    longer than reading."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

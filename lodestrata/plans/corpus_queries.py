@@ -12,6 +12,7 @@ from lodestrata.functions.vectors import cosine_of, embed
 from lodestrata.operators import catalog as K
 from lodestrata.operators import corpus as C
 from lodestrata.operators import retrieval as R
+from lodestrata.operators.relational import spread
 from lodestrata.plans.entities import TABLES, frame, index, with_sql
 
 Q: dict = {}
@@ -464,7 +465,7 @@ def z07(s, d):
 
 
 def _fused_terms(s, d):
-    g = frame(s, d, "glossary").join(index(s, d, "glossary").search({"term": 1.0, "definition": 0.5}, ["blue", "bolt"]), "term_id", "left")
+    g = spread(frame(s, d, "glossary")).join(index(s, d, "glossary").search({"term": 1.0, "definition": 0.5}, ["blue", "bolt"]), "term_id", "left")
     g = g.withColumn("similarity", cosine_of(embed(F.concat_ws(": ", "term", "definition")), embed(F.lit("search_query: blue bolt")))).withColumn("fuzzy", Z.best_ratio_column("term", F.lit("blue bolt"))).withColumn("similarity", F.coalesce("similarity", F.lit(0.0)))
     return g.filter("fuzzy >= 0.6 OR similarity >= 0.3").withColumn("score", 0.5 * F.col("similarity") + 0.3 * F.col("fuzzy") + 0.2 * F.coalesce("bm25", F.lit(0.0)))
 

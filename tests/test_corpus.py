@@ -220,3 +220,10 @@ def test_code_of_one_file_is_parsed_by_all_cores(spark):
     assert sorted(r.name for r in first.collect()) == ["f0", "f1", "f10"]
     plan = first._jdf.queryExecution().executedPlan().toString()
     assert "Sort" not in plan and "PythonUDTF" not in plan
+
+
+def test_fuzzy_scores_of_one_file_are_spread(spark, small):
+    from lodestrata.plans.catalogue import QUERIES
+
+    plan = QUERIES["r30_query_analysis"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Repartition" in plan
