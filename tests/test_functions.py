@@ -3,6 +3,7 @@
 import random
 from datetime import date
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -173,3 +174,31 @@ def test_annotation_takes_plurals_and_is_appended_otherwise(spark):
     df = spark.createDataFrame([("Red Rings cost $5",), ("springs",), ("a ring",)], "t string")
     got = [r.x for r in df.select(corpus.annotate(F.col("t"), "ring", "a $ band").alias("x")).collect()]
     assert got == ["Red [TERM: ring | a $ band] cost $5", "springs [TERM: ring | a $ band]", "a [TERM: ring | a $ band]"]
+
+
+@pytest.mark.parametrize("alphabet", ["ab", "abcdefgh ", "".join(map(chr, range(0x4E00, 0x4E00 + 300)))])
+def test_pairs_of_texts_equal_the_plain_ratio(alphabet):
+    """Also of empty and very short texts, of lengths around a word's, and where characters share a code."""
+    rng = random.Random(5)
+    texts = ["", "a", "ab" * 31, "ab" * 32, "a" * 63, "b" * 64]
+    for _ in range(40):
+        own = "".join(rng.choice(alphabet) for _ in range(rng.randint(1, 300)))
+        changed = "".join(rng.choice(alphabet) if rng.random() < rng.choice((0.05, 0.2, 0.25)) else c for c in own)
+        texts += [own, "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 200))) + changed[: rng.randint(1, 300)]]
+    pairs = [(i, j) for i in range(len(texts)) for j in range(len(texts)) if i != j and (abs(i - j) < 3 or rng.random() < 0.1)]
+    for least in (60.0, 80.0, 95.0):
+        want = [fuzzy.partial_ratio(texts[i], texts[j]) >= least for i, j in pairs]
+        assert fuzzy.partly_alike(texts, *np.array(pairs).T, least).tolist() == want and 0 < sum(want) < len(want)
+
+
+def test_unlike_pairs_are_ruled_out_without_their_ratio(monkeypatch):
+    """Of 300 pairs of long texts of one language, 3 alike, the ratio is computed for a few only."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice(("th", "er", "on", "an", "re", "he", "in", "ed", "nd", "ha", "ou", "to")) for _ in range(rng.randint(1, 4)))
+    texts = [" ".join(word() for _ in range(rng.randint(60, 150))) for _ in range(600)]
+    for i in (0, 2, 4):
+        texts[i + 1] = "Well, " + texts[i].replace("th", "ht", 5)
+    asked, plain = [], fuzzy.partial_ratio
+    monkeypatch.setattr(fuzzy, "partial_ratio", lambda a, b, least=0.0: asked.append(1) or plain(a, b, least))
+    got = fuzzy.partly_alike(texts, np.arange(0, 600, 2), np.arange(1, 600, 2), 80.0)
+    assert np.flatnonzero(got).tolist() == [0, 1, 2] and len(asked) < 15
