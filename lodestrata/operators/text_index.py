@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from lodestrata.functions.analysis import TEXT, Analyzer
 from lodestrata.operators.retrieval import B, K1, bm25_of, top
 from lodestrata.sources.kept import drop_kept, folders, read_manifest, write_kept, write_manifest
-from lodestrata.sources.scratch import scratch_root, stored
+from lodestrata.sources.scratch import scratch_root, stored, temporary_tables
 
 #: Changes with the tables' columns, so that no session opens an index of another layout.
 LAYOUT = "2"
@@ -47,7 +47,13 @@ WHOLE = ""
 #: Bytes of texts that a task makes postings of, about, and of those that Python holds at once; postings of a merging task.
 TASK, HELD, MERGED = 1 << 24, 1 << 22, 1 << 21
 ORDER = ["term", "field", "block", "key"]
-SUMMARY = "field string, term string, block bigint, n bigint, most int, least int, impact double, mean double"
+#: Columns of postings, those of the summary beside them, and what a summary is read as.
+POSTINGS = "field string, term string, block bigint, key {}, length int, tf int, positions array<int>, signature binary"
+BLOCKS = "n bigint, most int, least int, impact double, mean double"
+SUMMARY = f"field string, term string, block bigint, {BLOCKS}"
+NAMES, MARKS = POSTINGS.replace(",", "").split()[::2], BLOCKS.replace(",", "").split()[::2]
+#: Rows of a batch that Python hands back.
+OUT = 1 << 15
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
@@ -198,19 +204,24 @@ def _postings(df: DataFrame, key: str, fields: list[str], analyzer: Analyzer, bl
     """All postings of a frame, with a row of the term WHOLE for each field of each row.
 
     Texts, not postings, are dealt to tasks, by blocks and so evenly, however frequent a term is; a
-    row's terms are counted where the row is. A task has about TASK bytes of texts, at every size."""
+    row's terms are counted, and a task's postings sorted, where the rows are. A task has about TASK bytes
+    of texts, at every size. Tokens are found once: their lines are written, which also gives the mean
+    lengths. The first posting of a term in a block has the block's summary."""
     kind, spark = dict(df.dtypes)[key], df.sparkSession
-    size = df.agg(F.sum(sum(F.octet_length(F.coalesce(F.col(f).cast("string"), F.lit(""))) for f in fields).cast("long"))).first()[0] or 0
-    dealt = df.select(key, *fields, F.pmod(F.xxhash64(key), F.lit(blocks)).alias("_block"))
-    rows = dealt.repartition(_tasks(spark, size, TASK), "_block").select(
-        F.col(key).alias("key"), _signature(fields).alias("signature"), F.col("_block").alias("block"), *[analyzer.line(F.col(f)).alias(f"t{i}") for i, f in enumerate(fields)]
-    )
+    block = F.pmod(F.xxhash64(key), F.lit(blocks)).alias("block")
+    lines = df.select(F.col(key).alias("key"), _signature(fields).alias("signature"), block, *[analyzer.line(F.col(f)).alias(f"t{i}") for i, f in enumerate(fields)])
+    lines = stored(lines.select("*", *[_words(F.col(f"t{i}")).alias(f"n{i}") for i in range(len(fields))], sum(F.octet_length(f"t{i}") for i in range(len(fields))).cast("long").alias("size")), "lines")
+    size, *means = lines.agg(F.sum("size"), *[F.avg(f"n{i}") for i in range(len(fields))]).first()
+    means = dict(zip(fields, means))
+    rows = lines.select("key", "signature", "block", *[f"t{i}" for i in range(len(fields))]).repartition(_tasks(spark, size or 0, TASK), "block")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["field", "term", "block", "key", "length", "tf", "positions", "signature"]
+        docs, found = [], [[] for _ in fields]
+        before = 0
         for batch in (piece for whole in batches for piece in _pieces(whole, len(fields))):
             n = len(batch)
-            for i, f in enumerate(fields):
+            docs.append(batch.select(["key", "signature", "block"]))
+            for i in range(len(fields)):
                 line = batch.column(f"t{i}")
                 tokens = pc.split_pattern(line, " ")
                 length = np.where(pc.binary_length(line).to_numpy() == 0, 0, pc.list_value_length(tokens).to_numpy())
@@ -221,18 +232,82 @@ def _postings(df: DataFrame, key: str, fields: list[str], analyzer: Analyzer, bl
                 order = np.argsort(row * max(1, len(encoded.dictionary)) + code, kind="stable")  # a row's terms, and the places of each, side by side
                 row, code = row[order], code[order]
                 new = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (code[1:] != code[:-1])]) if len(row) else np.zeros(0, np.int64)
-                bounds = np.append(new, len(row))
-                at = np.concatenate([np.arange(n), row[new]])
-                term = pa.concat_arrays([pa.array([WHOLE] * n, pa.string()), encoded.dictionary.take(pa.array(code[new]))])
-                tf = np.concatenate([np.zeros(n, np.int32), np.diff(bounds).astype(np.int32)])
-                positions = pa.ListArray.from_arrays(pa.array(np.concatenate([np.zeros(n, np.int32), bounds.astype(np.int32)])), pa.array(place[order].astype(np.int32)))
-                own = batch.select(["key", "signature", "block"]).take(pa.array(at))
-                signature = pc.if_else(pa.array(np.arange(len(at)) < n), own.column("signature"), pa.scalar(None, pa.binary()))
-                columns = [pa.array([f] * len(at), pa.string()), term, own.column("block"), own.column("key"), pa.array(length[at].astype(np.int32)), pa.array(tf), positions, signature]
-                yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    out = rows.mapInArrow(run, f"field string, term string, block bigint, key {kind}, length int, tf int, positions array<int>, signature binary")
-    return out.sortWithinPartitions(*ORDER)
+                tf = np.diff(np.append(new, len(row))).astype(np.int32)
+                found[i].append((encoded.dictionary, code[new], (before + row[new]).astype(np.int32), tf, place[order].astype(np.int32), length.astype(np.int32)))
+            before += n
+        if not docs:
+            return
+        docs = pa.Table.from_batches(docs).combine_chunks()
+        in_order = pc.sort_indices(docs, sort_keys=[("block", "ascending"), ("key", "ascending")]).to_numpy()
+        rank = np.empty(len(docs), np.int64)
+        rank[in_order] = np.arange(len(docs))
+        yield from _sorted_postings(docs, in_order, rank, dict(sorted(zip(fields, found))), means)
+
+    return rows.mapInArrow(run, f"{POSTINGS.format(kind)}, {BLOCKS}")
+
+
+def _words(line: Column) -> Column:
+    """Tokens of a line."""
+    return F.when(line == "", 0).otherwise(F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "))) + 1)
+
+
+def _sorted_postings(docs: pa.Table, in_order: np.ndarray, rank: np.ndarray, parts: dict[str, list[tuple]], means: dict[str, float]) -> Iterator[pa.RecordBatch]:
+    """A task's postings in stored order: first the rows of documents, then those of the terms."""
+    fields = pa.array(list(parts), pa.string())
+    terms, codes, doc, tf, places, _ = zip(*[p for own in parts.values() for p in own])
+    lengths = np.stack([np.concatenate([p[-1] for p in own]) for own in parts.values()])
+    field = np.repeat(np.repeat(np.arange(len(parts)), [len(own) for own in parts.values()]), [len(c) for c in codes])
+    encoded = pa.concat_arrays(terms).dictionary_encode()
+    by_name = pc.sort_indices(encoded.dictionary).to_numpy()
+    name = np.empty(len(by_name), np.int64)
+    name[by_name] = np.arange(len(by_name))
+    known, starts = name[encoded.indices.to_numpy()], np.cumsum([0, *map(len, terms)])
+    code = np.concatenate([known[c + s] for c, s in zip(codes, starts)])
+    doc, tf, places = np.concatenate(doc), np.concatenate(tf), np.concatenate(places)
+    order = np.argsort((code * len(parts) + field) * len(docs) + rank[doc])
+    positions = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(tf)].astype(np.int32)), pa.array(places))
+    code, field, doc, tf = code[order], field[order], doc[order], tf[order]
+    names = encoded.dictionary.take(pa.array(by_name))
+    one = lambda c: c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c
+
+    def batch(term: pa.Array, i: np.ndarray, at: np.ndarray, tf: np.ndarray, positions: pa.Array, signature: pa.Array) -> pa.RecordBatch:
+        block, key = (one(docs.column(c).take(pa.array(at))) for c in ("block", "key"))
+        columns = [fields.take(pa.array(i)), term, block, key, pa.array(lengths[i, at]), pa.array(tf), positions, signature]
+        return _marked(pa.RecordBatch.from_arrays(columns, names=NAMES), means)
+
+    for i in range(len(parts)):
+        for j in range(0, len(in_order), OUT):
+            at = in_order[j : j + OUT]
+            n = len(at)
+            yield batch(pa.array([WHOLE] * n, pa.string()), np.full(n, i), at, np.zeros(n, np.int32), pa.array([[]] * n, pa.list_(pa.int32())), one(docs.column("signature").take(pa.array(at))))
+    for j in range(0, len(order), OUT):
+        now = slice(j, j + OUT)
+        yield batch(names.take(pa.array(code[now])), field[now], doc[now], tf[now], positions.take(pa.array(order[now])), pa.nulls(len(order[now]), pa.binary()))
+
+
+def _marked(batch: pa.RecordBatch, means: dict[str, float]) -> pa.RecordBatch:
+    """Postings in stored order with n, most, least, impact and mean of its block's postings of the term at
+    the first of them, else null. A block that lies in two batches has them in each; readers add up n and
+    take the best bound."""
+    rows = len(batch)
+    group = [batch.column(c).dictionary_encode().indices.to_numpy() for c in ("field", "term")] + [batch.column("block").to_numpy()]
+    new = np.flatnonzero(np.r_[rows > 0, np.any([g[1:] != g[:-1] for g in group], axis=0)][:rows])
+    tf, length = batch.column("tf").to_numpy(), batch.column("length").to_numpy()
+    field = batch.column("field").dictionary_encode()
+    mean = np.array([means[f] or 1.0 for f in field.dictionary.to_pylist()])[field.indices.to_numpy()] if rows else np.zeros(0)
+    impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
+    without = np.ones(rows, bool)
+    first = new[tf[new] > 0]  # not of rows of documents
+    without[first] = False
+
+    def at_first(values: np.ndarray, kind: pa.DataType) -> pa.Array:
+        whole = np.zeros(rows, values.dtype)
+        whole[new] = values
+        return pa.array(whole, kind, mask=without)
+
+    of = lambda how, values: how.reduceat(values, new) if rows else values
+    more = [(np.diff(np.append(new, rows)), pa.int64()), (of(np.maximum, tf), pa.int32()), (of(np.minimum, length), pa.int32()), (of(np.maximum, impact), pa.float64()), (mean[new], pa.float64())]
+    return pa.RecordBatch.from_arrays([*batch.columns, *[at_first(*m) for m in more]], names=[*NAMES, *MARKS])
 
 
 def _pieces(batch: pa.RecordBatch, fields: int) -> Iterator[pa.RecordBatch]:
@@ -255,16 +330,12 @@ def _signature(fields: list[str]) -> Column:
 
 
 def _segment(postings: DataFrame, root: str) -> dict:
-    """Write a segment and its summary."""
+    """Write a segment, and its summary from what the postings have of it: without a shuffle or Python."""
     spark = postings.sparkSession
     with _batches(spark, 1000):  # of texts
         name = write_kept(postings, root, "postings", **{"parquet.page.row.count.limit": PAGE})
-    back = spark.read.schema(postings.schema).parquet(f"{root}/{name}")
-    mean = F.lit(1.0)
-    for r in back.filter(F.col("term") == WHOLE).groupBy("field").agg(F.avg("length").alias("mean")).collect():  # one row a field
-        mean = F.when(F.col("field") == r["field"], r["mean"]).otherwise(mean)
-    with _batches(spark, 1 << 15):  # of short rows
-        return {"postings": name, "summary": write_kept(_summary(back, mean), root, "summary")}
+    marked = spark.read.schema(SUMMARY).parquet(f"{root}/{name}").filter("n IS NOT NULL")
+    return {"postings": name, "summary": write_kept(marked, root, "summary")}
 
 
 @contextmanager
@@ -278,28 +349,6 @@ def _batches(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(BATCH, before)
 
 
-def _summary(postings: DataFrame, mean: Column) -> DataFrame:
-    """n, most, least, impact and mean of the blocks of each term, in the order that postings are stored
-    in: a pass without a shuffle. A block that lies in two batches has a row for each; readers add up n
-    and take the best bound."""
-    part = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / mean))
-    rows = postings.filter(F.col("term") != WHOLE).select("field", "term", "block", "tf", "length", part.alias("impact"), mean.alias("mean"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not len(batch):
-                continue
-            group = [batch.column(c).dictionary_encode().indices.to_numpy() for c in ("field", "term")] + [batch.column("block").to_numpy()]
-            new = np.flatnonzero(np.r_[True, np.any([g[1:] != g[:-1] for g in group], axis=0)])
-            of = lambda how, c: pa.array(how.reduceat(batch.column(c).to_numpy(), new))
-            n = pa.array(np.diff(np.append(new, len(batch))).astype(np.int64))
-            columns = [n, of(np.maximum, "tf"), of(np.minimum, "length"), of(np.maximum, "impact")]
-            own = batch.select(["field", "term", "block", "mean"]).take(pa.array(new))
-            yield pa.RecordBatch.from_arrays([*own.columns[:3], *columns, own.column("mean")], names=SUMMARY.replace(",", "").split()[::2])
-
-    return rows.mapInArrow(run, SUMMARY)
-
-
 def _opened(spark: SparkSession, root: str, manifest: dict, key: str, fields: list[str], analyzer: Analyzer) -> TextIndex:
     def united(what: str) -> DataFrame:
         read = [spark.read.schema(manifest["schemas"][what]).parquet(f"{root}/{s[what]}").withColumn("segment", F.lit(s["number"])) for s in manifest["segments"]]
@@ -356,9 +405,10 @@ def _ddl(df: DataFrame) -> str:
 def _added(df: DataFrame, root: str, manifest: dict, key: str, fields: list[str], analyzer: Analyzer, gone: int = 0) -> dict:
     """A manifest with a further segment, of a frame's rows, in force."""
     spark = df.sparkSession
-    postings = _postings(df, key, fields, analyzer, manifest["blocks"])
-    segment = _segment(postings, root) | {"number": manifest["next"]}
-    schemas = {"postings": _ddl(postings), "summary": SUMMARY}
+    with temporary_tables(spark):
+        postings = _postings(df, key, fields, analyzer, manifest["blocks"])
+        segment = _segment(postings, root) | {"number": manifest["next"]}
+    schemas = {"postings": _ddl(postings.select(*NAMES)), "summary": SUMMARY}
     manifest = manifest | {"segments": [*manifest["segments"], segment], "next": manifest["next"] + 1, "schemas": manifest.get("schemas", {}) | schemas}
     return _counted(spark, root, manifest, key, fields, analyzer)
 
@@ -384,7 +434,10 @@ def merge(index: TextIndex, root: str) -> TextIndex:
     block = F.pmod(F.xxhash64("key"), F.lit(blocks)).alias("block")
     postings = index._live(index.postings).select("field", "term", block, "key", "length", "tf", "positions", "signature")
     ordered = postings.repartition(_tasks(spark, index.postings.count(), MERGED), "block").sortWithinPartitions(*ORDER)
-    segment = _segment(ordered, root) | {"number": old["next"]}
+    of = postings.filter(F.col("term") == WHOLE).groupBy("field").agg(F.avg("length").alias("mean")).collect()  # one row a field
+    means = {r["field"]: r["mean"] for r in of}
+    marked = ordered.mapInArrow(lambda batches: (_marked(b, means) for b in batches if len(b)), f"{_ddl(ordered)}, {BLOCKS}")
+    segment = _segment(marked, root) | {"number": old["next"]}
     manifest = old | {"segments": [segment], "dead": [], "next": old["next"] + 1, "blocks": blocks}
     return _opened(spark, root, _counted(spark, root, manifest, index.key, list(index.fields), index.analyzer), index.key, list(index.fields), index.analyzer)
 

@@ -173,3 +173,30 @@ def test_lines_are_the_tokens(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     for analyzer in (text_index.TEXT, text_index.Analyzer(("no", "a"))):
         assert df.filter(F.array_join(analyzer.tokens(F.col("t")), " ") != analyzer.line(F.col("t"))).isEmpty()
+
+
+def test_postings_come_sorted_and_with_their_summary(spark, tmp_path):
+    """Without a sort of Spark's; each file is in stored order, and the first posting of a term in a block has
+    the block's summary, by the means of the whole table. So also after a merge."""
+    rows = [(i, " ".join(f"w{(i * j) % 11}" for j in range(i % 7)), None if i % 5 else "w1 w1 rare") for i in range(300)]
+    df = spark.createDataFrame(rows, "k long, t string, u string").repartition(3)
+    made = text_index._postings(df, "k", ["t", "u"], text_index.TEXT, 4)
+    assert "Sort" not in made._jdf.queryExecution().executedPlan().toString()
+    index = refresh(df, f"file://{tmp_path}/index", "k", ["t", "u"])
+    for now in (index, merge(index, f"file://{tmp_path}/index")):
+        assert now.means == pytest.approx({"t": sum(i % 7 for i in range(300)) / 300, "u": 0.6})
+        postings = [r for r in now.postings.collect() if r.term]
+        part = lambda r: r.tf * 2.2 / (r.tf + 1.2 * (0.25 + 0.75 * r.length / now.means[r.field]))
+        want, got = {}, {}
+        for r in postings:
+            n, most, least, impact = want.get((r.field, r.term, r.block), (0, 0, 1 << 30, 0.0))
+            want[r.field, r.term, r.block] = n + 1, max(most, r.tf), min(least, r.length), max(impact, part(r))
+        for r in now.summary.collect():
+            assert r.mean == pytest.approx(now.means[r.field])
+            n, most, least, impact = got.get((r.field, r.term, r.block), (0, 0, 1 << 30, 0.0))
+            got[r.field, r.term, r.block] = n + r.n, max(most, r.most), min(least, r.least), max(impact, r.impact)
+        assert got.keys() == want.keys() and all(got[x] == pytest.approx(want[x]) for x in want)
+        files = now.postings.select("term", "field", "block", "key", F.input_file_name().alias("file")).collect()
+        for file in {r.file for r in files}:
+            own = [(r.term, r.field, r.block, r.key) for r in files if r.file == file]
+            assert own == sorted(own)
