@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import math
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass, field
 from functools import reduce
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from lodestrata.functions.analysis import TEXT, Analyzer
 from lodestrata.operators.retrieval import B, K1, bm25_of, top
 from lodestrata.sources.kept import drop_kept, folders, read_manifest, write_kept, write_manifest
-from lodestrata.sources.scratch import scratch_root, stored, temporary_tables
+from lodestrata.sources.scratch import scratch_root, stored, temporary_tables, unshuffled
 
 #: Changes with the tables' columns, so that no session opens an index of another layout.
 LAYOUT = "2"
@@ -286,8 +286,8 @@ def _sorted_postings(docs: pa.Table, in_order: np.ndarray, rank: np.ndarray, par
 
 
 def _marked(batch: pa.RecordBatch, means: dict[str, float]) -> pa.RecordBatch:
-    """Postings in stored order with n, most, least, impact and mean of its block's postings of the term at
-    the first of them, else null. A block that lies in two batches has them in each; readers add up n and
+    """Postings in stored order with n and mean, and if n is over one most, least and impact, of its block's
+    postings of the term at the first of them, else null. A block that lies in two batches has them in each; readers add up n and
     take the best bound."""
     rows = len(batch)
     group = [batch.column(c).dictionary_encode().indices.to_numpy() for c in ("field", "term")] + [batch.column("block").to_numpy()]
@@ -296,17 +296,17 @@ def _marked(batch: pa.RecordBatch, means: dict[str, float]) -> pa.RecordBatch:
     field = batch.column("field").dictionary_encode()
     mean = np.array([means[f] or 1.0 for f in field.dictionary.to_pylist()])[field.indices.to_numpy()] if rows else np.zeros(0)
     impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
-    without = np.ones(rows, bool)
-    first = new[tf[new] > 0]  # not of rows of documents
-    without[first] = False
+    count = np.diff(np.append(new, rows))
+    own = tf[new] > 0  # not of rows of documents
 
-    def at_first(values: np.ndarray, kind: pa.DataType) -> pa.Array:
-        whole = np.zeros(rows, values.dtype)
-        whole[new] = values
+    def at_first(values: np.ndarray, kind: pa.DataType, where: np.ndarray) -> pa.Array:
+        whole, without = np.zeros(rows, values.dtype), np.ones(rows, bool)
+        whole[new], without[new[where]] = values, False
         return pa.array(whole, kind, mask=without)
 
     of = lambda how, values: how.reduceat(values, new) if rows else values
-    more = [(np.diff(np.append(new, rows)), pa.int64()), (of(np.maximum, tf), pa.int32()), (of(np.minimum, length), pa.int32()), (of(np.maximum, impact), pa.float64()), (mean[new], pa.float64())]
+    several = own & (count > 1)
+    more = [(count, pa.int64(), own), (of(np.maximum, tf), pa.int32(), several), (of(np.minimum, length), pa.int32(), several), (of(np.maximum, impact), pa.float64(), several), (mean[new], pa.float64(), own)]
     return pa.RecordBatch.from_arrays([*batch.columns, *[at_first(*m) for m in more]], names=[*NAMES, *MARKS])
 
 
@@ -329,12 +329,15 @@ def _signature(fields: list[str]) -> Column:
     return F.unhex(F.sha2(F.to_json(F.array(*[F.coalesce(F.col(f).cast("string"), F.lit("")) for f in fields])), 256))
 
 
-def _segment(postings: DataFrame, root: str) -> dict:
-    """Write a segment, and its summary from what the postings have of it: without a shuffle or Python."""
-    spark = postings.sparkSession
-    with _batches(spark, 1000):  # of texts
-        name = write_kept(postings, root, "postings", **{"parquet.page.row.count.limit": PAGE})
-    marked = spark.read.schema(SUMMARY).parquet(f"{root}/{name}").filter("n IS NOT NULL")
+def _segment(spark: SparkSession, make: Callable[[], DataFrame], root: str) -> dict:
+    """Write the postings that are made, and their summary from what they have of it: without a shuffle or
+    Python. What was written to make them goes first."""
+    with temporary_tables(spark), _batches(spark, 1000), unshuffled(spark):  # 1,000 texts
+        name = write_kept(make(), root, "postings", **{"parquet.page.row.count.limit": PAGE})
+    part = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
+    whole = {"most": F.coalesce("most", "tf"), "least": F.coalesce("least", "length"), "impact": F.coalesce("impact", part)}
+    marked = spark.read.schema(f"{SUMMARY}, tf int, length int").parquet(f"{root}/{name}").filter("n IS NOT NULL")
+    marked = marked.withColumns(whole).select("field", "term", "block", *MARKS)
     return {"postings": name, "summary": write_kept(marked, root, "summary")}
 
 
@@ -405,10 +408,8 @@ def _ddl(df: DataFrame) -> str:
 def _added(df: DataFrame, root: str, manifest: dict, key: str, fields: list[str], analyzer: Analyzer, gone: int = 0) -> dict:
     """A manifest with a further segment, of a frame's rows, in force."""
     spark = df.sparkSession
-    with temporary_tables(spark):
-        postings = _postings(df, key, fields, analyzer, manifest["blocks"])
-        segment = _segment(postings, root) | {"number": manifest["next"]}
-    schemas = {"postings": _ddl(postings.select(*NAMES)), "summary": SUMMARY}
+    segment = _segment(spark, lambda: _postings(df, key, fields, analyzer, manifest["blocks"]), root) | {"number": manifest["next"]}
+    schemas = {"postings": POSTINGS.format(dict(df.dtypes)[key]), "summary": SUMMARY}
     manifest = manifest | {"segments": [*manifest["segments"], segment], "next": manifest["next"] + 1, "schemas": manifest.get("schemas", {}) | schemas}
     return _counted(spark, root, manifest, key, fields, analyzer)
 
@@ -437,7 +438,7 @@ def merge(index: TextIndex, root: str) -> TextIndex:
     of = postings.filter(F.col("term") == WHOLE).groupBy("field").agg(F.avg("length").alias("mean")).collect()  # one row a field
     means = {r["field"]: r["mean"] for r in of}
     marked = ordered.mapInArrow(lambda batches: (_marked(b, means) for b in batches if len(b)), f"{_ddl(ordered)}, {BLOCKS}")
-    segment = _segment(marked, root) | {"number": old["next"]}
+    segment = _segment(spark, lambda: marked, root) | {"number": old["next"]}
     manifest = old | {"segments": [segment], "dead": [], "next": old["next"] + 1, "blocks": blocks}
     return _opened(spark, root, _counted(spark, root, manifest, index.key, list(index.fields), index.analyzer), index.key, list(index.fields), index.analyzer)
 

@@ -41,18 +41,25 @@ def stored(df: DataFrame, name: str, keep: bool = False, by: list[str] | None =
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
-    try:
+    with unshuffled(spark):
         df.write.option("compression", "zstd").partitionBy(*by or []).parquet(path)
-    finally:
-        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     within = _temporary.get()
     if within is not None and not keep:
         within.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def unshuffled(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what is written within go with the end of each write."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+
+
 @contextmanager
 def temporary_tables(spark: SparkSession) -> Iterator[None]:
     """Delete at the end what stored() wrote within, but for tables that were to be kept."""
