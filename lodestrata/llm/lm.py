@@ -16,13 +16,12 @@ remaining words stay distributed and are joined.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -88,79 +87,126 @@ class Model:
     def step(self, x: np.ndarray, y: np.ndarray, log_noise: np.ndarray, noise: np.ndarray) -> None:
         """One ascent step on the NCE objective; the noise words are shared by the batch."""
         inputs, outputs, places, bias = self.values
-        read, of_true, of_noise = inputs[x], outputs[y], outputs[noise]
-        predicted = np.einsum("bnd,nd->bd", read, places)
+        by_place = places[:, None, :] * inputs
+        predicted = by_place[0].take(x[:, 0], 0)
+        for j in range(1, len(by_place)):
+            predicted += by_place[j].take(x[:, j], 0)
+        of_true, of_noise = outputs.take(y, 0), outputs[noise]
         shift = bias - log_noise - np.float32(np.log(len(noise)))
         true = np.einsum("bd,bd->b", predicted, of_true) + shift[y]
-        false = predicted @ of_noise.T + shift[noise]
-        up = 1 / (1 + np.exp(np.clip(true, -30, 30)))
-        down = -1 / (1 + np.exp(np.clip(-false, -30, 30)))
-        back = up[:, None] * of_true + down @ of_noise
+        down = predicted @ -of_noise.T
+        down -= shift[noise]
+        with np.errstate(over="ignore"):  # beyond exp's range the quotient is zero, as it should be
+            up = 1 / (1 + np.exp(true))
+            np.exp(down, out=down)
+        down += 1
+        np.divide(-1, down, out=down)
+        back = down @ of_noise
+        back += up[:, None] * of_true
         scale = np.float32(len(y) ** -0.5)
-        rows, grad = _gathered(
-            np.concatenate([y, noise]),
-            np.concatenate([np.column_stack([up[:, None] * predicted, up]), np.column_stack([down.T @ predicted, down.sum(0)])]),
-        )
-        self._move(1, rows, grad[:, :-1] * scale)
-        self._move(3, rows, grad[:, -1] * scale)
-        rows, grad = _gathered(x.ravel(), (back[:, None, :] * places).reshape(-1, self.shape.dim))
-        self._move(0, rows, grad * scale)
-        self._move(2, slice(None), np.einsum("bd,bnd->nd", back, read) / len(y), 0.1)
-
-    def _move(self, i: int, rows, grad: np.ndarray, slower: float = 1.0) -> None:
-        self.squares[i][rows] += grad * grad
-        self.values[i][rows] += np.float32(self.shape.rate * slower) * grad / np.sqrt(self.squares[i][rows])
+        # Outcomes that do not occur have no gradient, and so stay as they are.
+        of_outputs = _summed(y, up[:, None] * predicted, len(bias)) + _summed(noise, (predicted.T @ down).T, len(bias))
+        of_bias = np.bincount(y, up, len(bias)) + np.bincount(noise, np.ones(len(y), "f4") @ down, len(bias))
+        self._move(1, of_outputs * scale)
+        self._move(3, of_bias.astype("f4") * scale)
+        # Sums by place and outcome give both other gradients: of the places and of the input vectors.
+        sums = np.stack([_summed(x[:, j], back, len(inputs)) for j in range(len(places))])
+        of_places = np.einsum("ncd,cd->nd", sums, inputs)
+        self._move(0, np.einsum("ncd,nd->cd", sums, places) * scale)
+        self._move(2, of_places / len(y), 0.1)
+
+    def _move(self, i: int, grad: np.ndarray, slower: float = 1.0) -> None:
+        self.squares[i] += grad * grad
+        self.values[i] += np.float32(self.shape.rate * slower) * grad / np.sqrt(self.squares[i])
 
     def train(self, x: np.ndarray, y: np.ndarray, log_share: np.ndarray, rng: np.random.Generator) -> None:
         share = np.cumsum(np.exp(log_share))
         log_share = log_share.astype(np.float32)
         order = rng.permutation(len(y))
+        x, y = x.T.astype(_index_type(self.shape)).take(order, 1).T, y[order]
         for at in range(0, len(y), self.shape.batch):
-            rows = order[at : at + self.shape.batch]
+            rows = slice(at, at + self.shape.batch)
             noise = np.minimum(np.searchsorted(share, rng.random(self.shape.noise) * share[-1]), len(share) - 1)
             self.step(x[rows], y[rows], log_share, noise)
 
-    def log_probabilities(self, x: np.ndarray, y: np.ndarray, batch: int = 1024) -> np.ndarray:
-        """Natural logarithms of the normalised probabilities of outcomes y after contexts x."""
+    def log_probabilities(self, x: np.ndarray, y: np.ndarray, batch: int = 256) -> np.ndarray:
+        """Natural logarithms of the normalised probabilities of outcomes y after contexts x.
+
+        The exponential of a score is a product over the places of a context, so exponentials are
+        taken of a table of all outcomes for each place, not for each token. Tokens after the same
+        outcome go together: its row of the table, with the biases, is multiplied in with the sum.
+        The largest entry of each row is taken off, so that no factor is above one; the few tokens
+        where no product of the factors stays far above zero get exponentials of their own.
+        """
         inputs, outputs, places, bias = self.values
-        by_place = [inputs * p for p in places]
-        turned, longest, most_bias = np.ascontiguousarray(outputs.T), float(np.sqrt((outputs**2).sum(1).max())), float(np.abs(bias).max())
+        tables = [(inputs * p) @ outputs.T for p in places]
+        tables[0] += bias
+        for t in tables:
+            t -= t.max(1)[:, None]
+        true = sum(t.ravel().take(x[:, j].astype(np.intp) * t.shape[1] + y) for j, t in enumerate(tables))
+        nearest, *others = [np.exp(t) for t in tables]
+        order = np.argsort(x[:, 0], kind="stable")
+        places_of = [x[:, j].take(order) for j in range(1, len(tables))]
+        ends = np.cumsum(np.bincount(x[:, 0], minlength=len(nearest))).tolist()
+        total = np.empty(len(y))
+        for row, a, z in zip(nearest, [0, *ends], ends):
+            for at in range(a, z, batch):
+                rows, each = slice(at, min(z, at + batch)), None
+                for t, at_place in zip(others, places_of):
+                    factor = t.take(at_place[rows], 0)
+                    each = factor if each is None else np.multiply(each, factor, out=each)
+                total[order[rows]] = row.sum() if each is None else each @ row
+        far = np.flatnonzero(total < 1e-26)
+        total[far] = 1
+        out = true - np.log(total)
+        out[far] = self._log_probabilities_far(tables, x[far], y[far])
+        return out
+
+    @staticmethod
+    def _log_probabilities_far(tables: list[np.ndarray], x: np.ndarray, y: np.ndarray, batch: int = 1024) -> np.ndarray:
+        """The same by each token's own scores, their largest taken off."""
         out = np.empty(len(y))
         for at in range(0, len(y), batch):
             xs, ys = x[at : at + batch], y[at : at + batch]
-            predicted = by_place[0][xs[:, 0]]
-            for j in range(1, len(by_place)):
-                predicted += by_place[j][xs[:, j]]
-            scores = predicted @ turned
-            scores += bias
-            true = scores[np.arange(len(ys)), ys]
-            # No score can lie beyond this; the largest is taken off only where exp could overflow.
-            bound = longest * float(np.sqrt((predicted**2).sum(1).max())) + most_bias
-            most = scores.max(1) if bound > 60 else 0.0
-            if bound > 60:
-                scores -= most[:, None]
-            np.exp(scores, out=scores)
-            out[at : at + batch] = true - most - np.log(scores.sum(1))
+            scores = sum(t[xs[:, j]] for j, t in enumerate(tables))
+            scores -= scores.max(1)[:, None]
+            out[at : at + batch] = scores[np.arange(len(ys)), ys] - np.log(np.exp(scores).sum(1))
         return out
 
 
-def _gathered(index: np.ndarray, grad: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows that occur, and the sum of each row's gradients."""
-    order = np.argsort(index, kind="stable")
-    index = index[order]
-    first = np.flatnonzero(np.concatenate([[True], index[1:] != index[:-1]]))
-    return index[first], np.add.reduceat(grad[order], first, axis=0)
+def _index_type(shape: Shape) -> type:
+    """The smallest type for a place and an outcome in one number: sixteen bits are sorted fastest."""
+    return np.uint16 if shape.context * (shape.outcomes + 1) <= 1 << 16 else np.int64
 
 
-class _Tails(dict):
-    """Outcome of a word's last bytes."""
+def _summed(index: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """The sum of the rows for each number below n."""
+    index = index.astype(np.intp)
+    return np.stack([np.bincount(index, c, n) for c in rows.T.astype("f8", order="C")], 1, dtype="f4", casting="same_kind")
 
-    def __init__(self, shape: Shape):
-        self.shape = shape
 
-    def __missing__(self, suffix: bytes) -> int:
-        self[suffix] = out = self.shape.top + zlib.crc32(suffix) % self.shape.tail
-        return out
+def _slices(texts: pa.Array, most: int = 16 << 20) -> Iterator[pa.Array]:
+    """The texts in turn, about as many bytes at once as given, or one text that is longer."""
+    part = np.cumsum(pc.binary_length(texts).to_numpy()) // most
+    ends = [*(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(texts)]
+    for a, z in zip([0, *ends], ends):
+        if z > a:
+            yield texts.slice(a, z - a)
+
+
+def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts (bytes), A-Z lower-cased, and the number of each text's words."""
+    kind = pa.large_string() if pa.types.is_large_binary(texts.type) else pa.string()
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(texts.view(kind)))
+    offsets, words = parts.offsets.to_numpy(), parts.values
+    # White space at either end of a text leaves an empty part there.
+    full = pc.greater(pc.binary_length(words), 0)
+    before = np.concatenate([[0], np.cumsum(full.to_numpy(zero_copy_only=False))])
+    return words.filter(full), before[offsets[1:]] - before[offsets[:-1]]
+
+
+def _bytes(words: pa.Array) -> pa.Array:
+    return words.view(pa.large_binary()).cast(pa.binary()) if pa.types.is_large_string(words.type) else words.view(pa.binary())
 
 
 class Lexicon:
@@ -168,36 +214,43 @@ class Lexicon:
 
     def __init__(self, shape: Shape, words: list[bytes], counts: np.ndarray):
         self.shape = shape
-        self.tails = _Tails(shape)
-        self.index = {w: i for i, w in enumerate(words)}
-        self.outcome = np.array([i if i < shape.top else self.tails[w[-shape.suffix :]] for i, w in enumerate(words)], np.uint16)
+        self.words = pa.array(words, pa.binary())
+        self.outcome = np.concatenate([np.arange(len(words), dtype=np.uint16)[: shape.top], self.tails(self.words[shape.top :])])
         self.log_count = np.log10(counts + 1.0)
 
-    def read(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray]:
-        """For all tokens of the texts: place in the frequent list or -1, outcome, and the token;
-        and the number of tokens of each text. An end follows each text's words."""
-        tokens: list[bytes] = []
-        sizes = np.empty(len(texts), np.int64)
-        for i, t in enumerate(texts):
-            before = len(tokens)
-            tokens += t.lower().split()
-            tokens.append(END)
-            sizes[i] = len(tokens) - before
-        place = np.fromiter(map(self.index.get, tokens, repeat(-1)), np.int32, len(tokens))
-        outcome = self.outcome[place] if len(self.outcome) else np.zeros(len(place), np.uint16)
-        rare = np.flatnonzero(place < 0)
-        tails, cut = self.tails, -self.shape.suffix
-        outcome[rare] = [tails[tokens[i][cut:]] for i in rare.tolist()]
-        return place, outcome, tokens, sizes
+    def tails(self, words: pa.Array) -> np.ndarray:
+        """The outcome of each word's last bytes."""
+        suffix = pc.binary_slice(words, -self.shape.suffix).dictionary_encode()
+        each = [self.shape.top + zlib.crc32(x) % self.shape.tail for x in suffix.dictionary.to_pylist()]
+        return np.array(each, np.uint16)[suffix.indices.to_numpy()]
+
+    def read(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array, np.ndarray]:
+        """For all tokens of the texts: place in the frequent list or -1, outcome, and number of the
+        word; the words by number, and the number of tokens of each text. An end follows each
+        text's words."""
+        words, sizes = _words(texts)
+        words = words.dictionary_encode()
+        every = pa.concat_arrays([_bytes(words.dictionary), pa.array([END], pa.binary())])
+        sizes = sizes + 1
+        token = np.full(len(words) + len(sizes), len(every) - 1, np.int64)
+        is_word = np.ones(len(token), bool)
+        is_word[np.cumsum(sizes) - 1] = False
+        token[is_word] = words.indices.to_numpy()
+        place = pc.fill_null(pc.index_in(every, value_set=self.words), -1).to_numpy()
+        outcome = self.tails(every)
+        outcome[place >= 0] = self.outcome[place[place >= 0]]
+        return place[token], outcome[token], token, every, sizes
 
 
 def contexts(outcome: np.ndarray, sizes: np.ndarray, shape: Shape) -> np.ndarray:
     """The outcomes before each token, nearest first, none from another text."""
-    n = shape.context
-    at = np.arange(len(outcome)) + n * np.repeat(np.arange(1, len(sizes) + 1), sizes)
-    padded = np.full(len(outcome) + n * len(sizes), shape.outcomes, np.int32)
-    padded[at] = outcome
-    return padded[at[:, None] - 1 - np.arange(n)]
+    out = np.full((shape.context, len(outcome)), shape.outcomes, _index_type(shape))
+    begin = np.cumsum(sizes) - sizes
+    for j in range(shape.context):
+        out[j, j + 1 :] = outcome[: max(0, len(outcome) - j - 1)]
+        for k in range(j + 1):
+            out[j, begin[sizes > k] + k] = shape.outcomes
+    return out.T
 
 
 def _outcomes(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -214,20 +267,24 @@ def held_out(id_column: Column, folds: int = 7, fold: int = 2) -> Column:
 def count_words(texts: DataFrame) -> DataFrame:
     """word (bytes; the end is empty), c: exact counts over the column text (bytes)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter[bytes] = Counter()
-
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["word", "c"])
+    def merged(held: list[pa.Table]) -> pa.Table:
+        found = pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("c", "sum")])
+        return pa.table({"word": found["word"], "c": found["c_sum"]}).combine_chunks()
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
         for batch in batches:
-            for t in batch.column("text"):
-                held.update(t.as_py().lower().split())
-                held[END] += 1
-                if len(held) > HELD:
-                    yield out()
-                    held.clear()
-        yield out()
+            for texts in _slices(batch.column("text")):
+                found = _words(texts)[0].value_counts()
+                held.append(pa.table({"word": _bytes(found.field(0)), "c": found.field(1)}))
+                held.append(pa.table({"word": pa.array([END], pa.binary()), "c": pa.array([len(texts)], pa.int64())}))
+                if sum(map(len, held)) > 2 * HELD:
+                    held = [merged(held)]
+                    if len(held[0]) > HELD:
+                        yield from held[0].to_batches()
+                        held = []
+        if held:
+            yield from merged(held).to_batches()
 
     return texts.mapInArrow(run, "word binary, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
 
@@ -345,35 +402,31 @@ def _encoded(source: DataFrame, lexicon, share: np.ndarray, kinds: np.ndarray, n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = lexicon.value
-        for batch in batches:
-            place, outcome, tokens, sizes = words.read(batch.column("text").to_pylist())
-            begin = np.cumsum(sizes) - sizes
-            known = place >= 0
-            log_count = np.where(known, words.log_count[place] if len(words.log_count) else 0.0, 0.0)
-            inner = np.where(outcome < shape.top, 0.0, log_count) - scale[outcome]
-            rare: list[bytes] = []
-            times: list[int] = []
-            ends = [0]
-            at = np.flatnonzero(~known)
-            bounds = np.searchsorted(at, np.append(begin, len(place))).tolist()
-            at = at.tolist()
-            for a, z in zip(bounds, bounds[1:]):
-                if z > a:
-                    found = Counter([tokens[i] for i in at[a:z]])
-                    rare.extend(found)
-                    times.extend(found.values())
-                ends.append(len(rare))
-            pairs = pa.StructArray.from_arrays([pa.array(rare, pa.binary()), pa.array(times, pa.int64())], names=["word", "tf"])
-            total = lambda x: np.add.reduceat(x, begin) if len(begin) else np.zeros(0)
-            ids = outcome.astype("<u2")
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *[batch.column(c) for c in ("row", "id", "held_out")], pa.array(sizes), pa.array(total(known.astype(np.int64)).astype(np.int64)),
-                    pa.array(total(log_count) - sizes * base_scale), pa.array(total(inner)),
-                    pa.array([ids[a : a + z].tobytes() for a, z in zip(begin.tolist(), sizes.tolist())], pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs),
-                ],
-                names=["row", "id", "held_out", "n_tokens", "n_known", "base_score", "inner", "outcomes", "rare"],
-            )
+        for whole in batches:
+            at = 0
+            for texts in _slices(whole.column("text")):
+                batch = whole.slice(at, len(texts))
+                at += len(texts)
+                place, outcome, token, every, sizes = words.read(texts)
+                begin = np.cumsum(sizes) - sizes
+                known = place >= 0
+                log_count = np.zeros(len(place))
+                log_count[known] = words.log_count[place[known]]
+                inner = np.where(outcome < shape.top, 0.0, log_count) - scale[outcome]
+                # Each text's words outside the frequent list, by the text and the word's number.
+                rare, times = np.unique(np.repeat(np.arange(len(sizes)) * len(every), sizes)[~known] + token[~known], return_counts=True)
+                pairs = pa.StructArray.from_arrays([every.take(pa.array(rare % len(every))), pa.array(times, pa.int64())], names=["word", "tf"])
+                ends = np.searchsorted(rare, np.arange(len(sizes) + 1) * len(every))
+                ids = pa.py_buffer(outcome.astype("<u2"))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *[batch.column(c) for c in ("row", "id", "held_out")], pa.array(sizes), pa.array(np.add.reduceat(known, begin, dtype=np.int64)),
+                        pa.array(np.add.reduceat(log_count, begin) - sizes * base_scale), pa.array(np.add.reduceat(inner, begin)),
+                        pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer((np.append(begin, len(place)) * 2).astype(np.int32)), ids]),
+                        pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs),
+                    ],
+                    names=["row", "id", "held_out", "n_tokens", "n_known", "base_score", "inner", "outcomes", "rare"],
+                )
 
     schema = f"row bigint, id {id_type}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, inner double, outcomes binary, rare array<struct<word:binary,tf:bigint>>"
     return rows.mapInArrow(run, schema)

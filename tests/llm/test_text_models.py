@@ -139,6 +139,85 @@ def test_model_probabilities_sum_to_one():
     assert np.isfinite(model.log_probabilities(x, np.tile(np.arange(30), 5))).all()
 
 
+def test_scoring_takes_exponentials_of_tables_not_of_tokens(monkeypatch):
+    """Probabilities equal the plain formula, near and far; the exponentials do not grow with the tokens."""
+    shape = lm.Shape(top=20, tail=10, dim=4)
+    model = lm.Model.start(shape, np.log(np.full(30, 1 / 30)))
+    rng = np.random.default_rng(3)
+    x, y = rng.integers(0, 31, (20_000, 4)), rng.integers(0, 30, 20_000)
+    model.train(x, y, np.log(np.full(30, 1 / 30)), rng)
+    plain, taken = np.exp, []
+    for times in (1, 20, 100):
+        model.values[1] *= times
+        inputs, outputs, places, bias = (v.astype("f8") for v in model.values)
+        scores = np.einsum("bnd,nd->bd", inputs[x], places) @ outputs.T + bias
+        most = scores.max(1)
+        want = scores[np.arange(len(y)), y] - most - np.log(plain(scores - most[:, None]).sum(1))
+        with monkeypatch.context() as m:
+            m.setattr(np, "exp", lambda v, *a, **k: taken.append(np.size(v)) or plain(v, *a, **k))
+            got = model.log_probabilities(x, y)
+        assert got == pytest.approx(want, rel=1e-5, abs=1e-5)
+        # The last scores lie so far apart that tokens need exponentials of their own.
+        assert (sum(taken) <= 4 * 31 * 30) == (times < 100)
+        taken.clear()
+    assert len(model.log_probabilities(x[:0], y[:0])) == 0
+
+
+@pytest.mark.parametrize("context", [1, 2, 4])
+def test_training_step_follows_the_plain_gradient(context):
+    shape = lm.Shape(top=20, tail=10, dim=4, context=context, noise=8)
+    log_share = np.log(np.full(30, 1 / 30, "f4"))
+    model = lm.Model.start(shape, log_share)
+    rng = np.random.default_rng(6)
+    x, y, noise = rng.integers(0, 25, (50, context)).astype("u2"), rng.integers(0, 25, 50).astype("u2"), rng.integers(0, 30, 8)
+    inputs, outputs, places, bias = values = [v.astype("f8") for v in model.values]
+    grads = [np.zeros(v.shape) for v in values]
+    for xs, true in zip(x, y):
+        p = (inputs[xs] * places).sum(0)
+        back = np.zeros(4)
+        for k, (w, sign) in enumerate([(true, 1), *((w, -1) for w in noise)]):
+            up = sign / (1 + np.exp(sign * (p @ outputs[w] + bias[w] - log_share[w] - np.log(8))))
+            grads[1][w] += up * p
+            grads[3][w] += up
+            back += up * outputs[w]
+        for j, w in enumerate(xs):
+            grads[0][w] += back * places[j]
+            grads[2][j] += back * inputs[w]
+    model.step(x, y, log_share, noise)
+    for i, (v, g) in enumerate(zip(values, grads)):
+        g = g / 50 if i == 2 else g / 50**0.5
+        want = v + 0.1 * (0.1 if i == 2 else 1) * g / np.sqrt(1e-2 + g * g)
+        assert model.values[i] == pytest.approx(want, rel=1e-3, abs=1e-5)
+    assert np.isfinite(model.log_probabilities(x, y)).all()
+
+
+def test_words_are_split_and_numbered_as_by_bytes():
+    """All white space and only that, any bytes; a slice at a time; places, outcomes and rare words by number."""
+    rng = random.Random(1)
+    some = [b"a", b"B", b"Zz", b" ", b"\t", b"\x0b\x0c", b"\n", b"\r", b"\x1c", b"\xff", "\u00c4".encode(), b"\x00", b"\xa0", b"\x85"]
+    texts = [b"".join(rng.choice(some) for _ in range(rng.choice((0, 1, 5, 40)))) for _ in range(300)]
+    every = [[*t.lower().split(), b""] for t in texts]
+    shape, known = lm.Shape(top=5, tail=7), sorted({w for t in every for w in t})[::2]
+    outcome = {w: i if i < 5 else 5 + zlib.crc32(w[-2:]) % 7 for i, w in enumerate(known)}
+    for kind in (lm.pa.binary(), lm.pa.large_binary()):
+        rows = lm.pa.array([b"none", *texts], kind).slice(1)
+        assert [t for part in lm._slices(rows, 50) for t in part.to_pylist()] == texts
+        place, out, token, words, sizes = lm.Lexicon(shape, known, np.arange(len(known))).read(rows)
+        words, flat = words.to_pylist(), [w for t in every for w in t]
+        assert sizes.tolist() == [len(t) for t in every] and [words[i] for i in token] == flat
+        assert place.tolist() == [known.index(w) if w in known else -1 for w in flat]
+        assert out.tolist() == [outcome.get(w, 5 + zlib.crc32(w[-2:]) % 7) for w in flat]
+
+
+def test_counts_beyond_what_a_task_holds(spark, monkeypatch):
+    texts = [f"w{i % 97} W{i} same" for i in range(3000)] + ["", " "]
+    monkeypatch.setattr(lm, "HELD", 500)
+    df = spark.createDataFrame([(t.encode(),) for t in texts], "text binary")
+    got = {bytes(r.word): r.c for r in lm.count_words(df).collect()}
+    assert got == Counter(w for t in texts for w in [*t.encode().lower().split(), b""])
+    assert lm.count_words(df.limit(0)).count() == 0
+
+
 def test_language_model_odd_rows(odd_docs, no_docs):
     rows = lm.score_texts(odd_docs).collect()
     assert len(rows) == odd_docs.count() and all(np.isfinite(r.score) and r.score < 0 for r in rows)
