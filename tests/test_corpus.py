@@ -77,6 +77,26 @@ def test_candidates_find_nine_of_ten_links(spark):
     assert got <= every and len(got) >= 0.9 * len(every) > 10
 
 
+def test_alike_texts_without_a_common_word_are_linked(spark):
+    """One letter of each word is another, so that no word and no pair of words is the same."""
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(9)) for _ in range(12)]
+    rows = [(0, " ".join(words)), (1, " ".join(w[:4] + "z" + w[5:] for w in words)), (2, " ".join("xyz" + w[::-1] for w in words))]
+    assert Z.partial_ratio(rows[0][1], rows[1][1]) >= 80 > Z.partial_ratio(rows[0][1], rows[2][1])
+    got = C.partly_alike(spark.createDataFrame(rows, "k long, q string"), "k", "q").collect()
+    assert [(r.a, r.b) for r in got] == [(0, 1)]
+
+
+@pytest.mark.parametrize(("block", "shuffled"), [(1 << 22, 1 << 28), (700, 1), (100, 1)])
+def test_all_alike_pairs_are_linked_once_in_any_blocks_and_rounds(spark, monkeypatch, block, shuffled):
+    monkeypatch.setattr(C, "BLOCK_BYTES", block)
+    monkeypatch.setattr(C, "ROUND_BYTES", shuffled)
+    rows = [(i, q) for i, q, _ in made_up_pairs(7)][:40] + [(40, ""), (41, "?")]
+    every = [(i, j) for i, x in rows for j, y in rows if i < j and Z.partial_ratio(x, y) >= 80]
+    got = C.partly_alike(spark.createDataFrame(rows, "k long, q string"), "k", "q").collect()
+    assert sorted((r.a, r.b) for r in got) == every and len(every) > 5
+
+
 def test_equal_answers_are_compared_once(spark):
     """10,000 rows of one answer cost a row each, not a pair of rows each: one row stays of them."""
     rows = [(i, f"question number {i} of many others here", "always the same answer to them all") for i in range(10_000)] + [(10_000, "quite another thing", "with its own answer"), (10_001, None, None)]
