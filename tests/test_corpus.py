@@ -97,6 +97,18 @@ def test_all_alike_pairs_are_linked_once_in_any_blocks_and_rounds(spark, monkeyp
     assert sorted((r.a, r.b) for r in got) == every and len(every) > 5
 
 
+def test_a_round_shuffles_a_bounded_number_of_copies_of_the_texts(spark, monkeypatch):
+    """Each distance of blocks in the ring copies a text twice, a round has ROUND_COPIES / 2 of them."""
+    met, real = [], C._met
+    monkeypatch.setattr(C, "_met", lambda t, blocks, first, end, least: met.append((blocks, first, end)) or real(t, blocks, first, end, least))
+    monkeypatch.setattr(C, "BLOCK_BYTES", 100)
+    monkeypatch.setattr(C, "ROUND_BYTES", 1)
+    C.partly_alike(spark.createDataFrame([(i, f"{i} " * 15) for i in range(40)], "k long, q string"), "k", "q", 99.0)
+    blocks = met[0][0]
+    assert blocks > 8 and all(end - first <= C.ROUND_COPIES // 2 for _, first, end in met)
+    assert [d for _, first, end in met for d in range(first, end)] == list(range(blocks // 2 + 1))
+
+
 def test_equal_answers_are_compared_once(spark):
     """10,000 rows of one answer cost a row each, not a pair of rows each: one row stays of them."""
     rows = [(i, f"question number {i} of many others here", "always the same answer to them all") for i in range(10_000)] + [(10_000, "quite another thing", "with its own answer"), (10_001, None, None)]
