@@ -166,6 +166,38 @@ def test_chains_with_dissimilar_ends_equal_brute_force(spark, monkeypatch, block
     assert sorted((r.doc_id for r in kept.collect()), key=str) == similar_survivors(rows)
 
 
+def test_similar_texts_whose_smallest_hashes_differ_are_found(spark):
+    """Shingles that only one text has are chosen to have small hashes, so that sketches share next to nothing."""
+    rng = random.Random(3)
+    core = [f"c{j}" for j in range(404)]
+
+    def extended(name):
+        words = list(core)
+        while len(words) < 449:
+            word = f"{name}{rng.randrange(10**9)}"
+            if similar.shingle_hashes(" ".join([*words[-4:], word]).encode(), 5)[0] % 2**32 < 2**32 * 0.05:
+                words.append(word)
+        return " ".join(words)
+
+    rows = [(0, extended("a")), (1, extended("b")), (2, " ".join(core[:300]) + " and another end")]
+    x, y = ([np.unique(similar.shingle_hashes(t.encode(), 5).astype("<u4"))[: similar.SKETCH].tobytes()] for _, t in rows[:2])
+    assert similar.sketch_shares(similar._sketch_table(x), similar._sketch_table(y))[0] < 0.4
+    kept = similar.drop_similar(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == similar_survivors(rows) == [0, 2]
+
+
+def test_signatures_rule_out_no_similar_sets():
+    rng = np.random.default_rng(2)
+    for size in (1, 4, 60, 1000, 5000):
+        for _ in range(50):
+            x = np.unique(rng.integers(0, 2**32, size).astype("<u4"))
+            y = np.unique(np.concatenate([x[: rng.integers(len(x) // 2, len(x) + 1)], rng.integers(0, 2**32, rng.integers(0, size // 3 + 1)).astype("<u4")]))
+            may = similar._may_by_bits(*similar._signatures([similar.signature(x), similar.signature(y)]), len(x), len(y), 0.8)
+            assert may or not similar._alike(x, y, 0.8)
+    other = [similar.signature(rng.integers(0, 2**32, 300).astype("<u4")) for _ in range(2)]
+    assert not similar._may_by_bits(*similar._signatures(other), 300, 300, 0.8)
+
+
 def test_two_groups_meet_only_in_their_dropped_members(spark):
     """a0~a1, b0~b1 and a1~b1 are similar and other pairs with them are not; a1 and b1 meet in large buckets only."""
     span = lambda name, k: [f"{name}{j}" for j in range(k)]
