@@ -2,8 +2,8 @@
 
 A coarse quantiser (spherical k-means over a bounded sample) gives every vector a list; lists are
 partitions of the stored table, so that a search for one vector reads the lists nearest to it and
-no others. A search for many vectors meets each of them with the same lists block by block, as
-matrix products. How many lists a search probes is measured: the fewest that bring the recall of
+no others. A search for many vectors meets blocks of them with groups of lists, as matrix products
+of each list and those vectors of the block that probe it. How many lists a search probes is measured: the fewest that bring the recall of
 a bounded set of stored vectors to the target, against all vectors.
 """
 
@@ -13,8 +13,8 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,8 +24,10 @@ from lodestrata.sources.scratch import stored
 
 #: Vectors that the quantiser is fitted to, and that measure recall, at most about.
 SAMPLE, MEASURED = 20_000, 200
-#: Vectors of one block of a list, or of the searching side, at most about.
-BLOCK = 4096
+#: Vectors of a block, at least, as far as there are so many; blocks that larger tables have; vectors of a block, at most about.
+BLOCK, BLOCKS, LARGEST = 4096, 8, 1 << 16
+#: Cosines that Python holds at once, about, and found rows before the best of them are chosen.
+SCORES, FOUND = 1 << 22, 1 << 21
 #: Copies of vectors, one for each list that they probe, that Python holds at once.
 COPIES = 16_384
 
@@ -36,6 +38,54 @@ def unit_rows(vectors: list) -> np.ndarray:
     return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
 
 
+def blocks_of(n: int, rows: int) -> int:
+    """Blocks that n vectors are cut into: each vector is shuffled about once for each block."""
+    return max(1, min(-(-n // rows), max(BLOCKS, -(-n // LARGEST))))
+
+
+def unit_table(column: pa.ChunkedArray) -> np.ndarray:
+    """unit_rows() of an Arrow column of vectors of one dimension."""
+    flat = pc.list_flatten(column).to_numpy().astype(np.float64)
+    return unit_rows(flat.reshape(len(column), -1)) if len(column) else np.zeros((0, 0))
+
+
+def best_of_rows(score: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places (row, column) of each row's k best scores of at least `least`, in that order, ties by column."""
+    hit = score >= least
+    if score.shape[1] > k and hit.sum() > 16 * k * len(score):
+        hit &= score >= np.partition(score, score.shape[1] - k, axis=1)[:, -k][:, None]
+    i, j = np.nonzero(hit)
+    return _firsts(i, j, score[i, j], k)
+
+
+def _firsts(i: np.ndarray, j: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    order = np.lexsort((j, -score, i))
+    i, j = i[order], j[order]
+    best = np.arange(len(i)) - np.searchsorted(i, i) < k
+    return i[best], j[best]
+
+
+class Best:
+    """The k best (row, other, score) of each row among all that are added, ties by the other."""
+
+    def __init__(self, k: int):
+        self.k, self.parts, self.held = k, [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))], 0
+
+    def add(self, row: np.ndarray, other: np.ndarray, score: np.ndarray) -> None:
+        self.parts.append((row, other, score))
+        self.held += len(row)
+        if self.held > FOUND:
+            self.parts = [self.all()]
+            self.held = min(self.held, len(self.parts[0][0]) // 2)
+
+    def all(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        row, other, score = (np.concatenate(x) for x in zip(*self.parts))
+        order = np.lexsort((other, -score, row))
+        row, other, score = row[order], other[order], score[order]
+        best = np.arange(len(row)) - np.searchsorted(row, row) < self.k
+        return row[best], other[best], score[best]
+
+
 def fit_centres(rows: np.ndarray, lists: int, rounds: int = 12) -> np.ndarray:
     """Centres of spherical k-means, begun with rows spread over the sample; an empty one takes
     the row that fits its centre worst."""
@@ -80,40 +130,69 @@ class VectorIndex:
         """query, key, similarity: for each query the k best cosines of at least `least` in the lists
         that it probes; without same, a vector is not its own neighbour.
 
-        Lists and their queries are cut into blocks; two blocks of one list are one task's work,
-        which passes on at most k rows for each query.
+        Queries are cut into blocks, lists into groups of about a block's size; a block and a group are one
+        task's work, which passes on at most k rows for each query. So a vector is shuffled once for each
+        group or block, however many lists it probes.
         """
-        wanted = self._probing(queries.select(F.col(key).alias("id"), F.col(vector).alias("v")), probes or self.probes)
-        wanted = stored(wanted, "probing")
-        asking = np.zeros(len(self.sizes), np.int64)
-        for r in wanted.groupBy("list").count().collect():  # one row a list
-            asking[r["list"]] = r["count"]
-        cut = lambda n: F.element_at(F.array(*[F.lit(int(max(1, -(-x // BLOCK)))) for x in n]), F.col("list") + 1)
-        block = lambda c, n: F.pmod(F.xxhash64(c), cut(n)).cast("int")
-        spread = lambda n: F.explode(F.sequence(F.lit(0), cut(n) - 1))
-        kind, of = dict(self.lists.dtypes)["key"], dict(wanted.dtypes)["id"]
-        a = wanted.select("list", block("id", asking).alias("a"), F.col("id"), "v").withColumn("b", spread(self.sizes))
-        b = self.lists.select("list", block("key", self.sizes).alias("b"), "key", "v").withColumn("a", spread(asking))
-
-        def match(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-            if left.empty or right.empty:
-                return pd.DataFrame({"query": left.id[:0], "key": right.key[:0], "similarity": []})
-            left, right = left.sort_values("id", kind="stable"), right.sort_values("key", kind="stable")
-            score = unit_rows(left.v.to_list()) @ unit_rows(right.v.to_list()).T
-            if not same:
-                score[left.id.to_numpy()[:, None] == right.key.to_numpy()[None, :]] = -2
-            at = np.argsort(-score, axis=1, kind="stable")[:, :k]
-            i = np.repeat(np.arange(len(left)), at.shape[1])
-            out = pd.DataFrame({"query": left.id.to_numpy()[i], "key": right.key.to_numpy()[at.ravel()], "similarity": score[i, at.ravel()]})
-            return out[out.similarity >= max(least, -1.5)]
-
-        met = a.groupBy("list", "a", "b").cogroup(b.groupBy("list", "a", "b")).applyInPandas(match, f"query {of}, key {kind}, similarity double")
+        asking = queries.select(F.col(key).alias("id"), F.col(vector).alias("v")).filter(_usable(F.col("v")))
+        kind, of = dict(self.lists.dtypes)["key"], dict(asking.dtypes)["id"]
+        if not len(self.centres):
+            return self.lists.select(F.lit(None).cast(of).alias("query"), F.col("key").alias(self.key), F.lit(0.0).alias("similarity")).limit(0)
+        probes = probes or self.probes
+        blocks, groups = blocks_of(asking.count(), BLOCK), blocks_of(int(self.sizes.sum()), BLOCK)
+        rows = -(-max(1, int(self.sizes.sum())) // groups)
+        pick = lambda n: F.element_at(F.array(*[F.lit(int(x)) for x in n]), F.col("list") + 1)
+        first, cuts = (np.cumsum(self.sizes) - self.sizes) // rows, np.maximum(1, -(-self.sizes // rows))
+        groups = int((first + cuts).max())
+        each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        a = asking.withColumn("a", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("b", each(groups))
+        b = self.lists.withColumn("b", (pick(first) + F.pmod(F.xxhash64("key"), pick(cuts))).cast("int")).withColumn("a", each(blocks))
+        centres = queries.sparkSession.sparkContext.broadcast(self.centres)
+
+        def match(left: pa.Table, right: pa.Table) -> pa.Table:
+            left, right = left.sort_by("id"), right.sort_by([("list", "ascending"), ("key", "ascending")])
+            x, y, best = unit_table(left.column("v")), unit_table(right.column("v")), Best(k)
+            ids, keys, lists = (c.combine_chunks() for c in (left.column("id"), right.column("key"), right.column("list")))
+            lists = lists.to_numpy()
+            # Numbers of equal keys are equal, in their order, so that they break ties.
+            names = pa.concat_arrays([keys, ids if ids.type == keys.type else pa.nulls(len(ids), keys.type)])
+            code = pc.rank(names, tiebreaker="dense", null_placement="at_start").to_numpy().astype(np.int64)
+            there, here = code[: len(keys)], code[len(keys) :]
+            near = np.zeros((len(x), len(centres.value)), bool)
+            each = max(1, SCORES // len(centres.value))
+            for at in range(0, len(x), each):
+                order = np.argsort(-(x[at : at + each] @ centres.value.T), axis=1, kind="stable")[:, :probes]
+                np.put_along_axis(near[at : at + each], order, True, axis=1)
+            for n in np.unique(lists).tolist():
+                low, high = np.searchsorted(lists, [n, n + 1])
+                asks = np.flatnonzero(near[:, n])
+                step = max(1, SCORES // (high - low))
+                for own in (asks[i : i + step] for i in range(0, len(asks), step)):
+                    score = x[own] @ y[low:high].T
+                    if not same:
+                        score[here[own][:, None] == there[low:high]] = -2
+                    i, j = best_of_rows(score, k, max(least, -1.5))
+                    best.add(own[i], there[low:high][j] * len(y) + low + j, score[i, j])
+            row, other, similarity = best.all()
+            return pa.table({"query": ids.take(pa.array(row)), "key": keys.take(pa.array(other % max(1, len(y)))), "similarity": similarity})
+
+        met = a.repartition(blocks * groups, "a", "b").groupBy("a", "b").cogroup(b.repartition(blocks * groups, "a", "b").groupBy("a", "b")).applyInArrow(match, f"query {of}, key {kind}, similarity double")
         return first_n(met, "query", [F.desc("similarity"), F.col("key")], k).select("query", F.col("key").alias(self.key), "similarity")
 
     def compared(self, queries: DataFrame, key: str, vector: str, probes: int | None = None) -> int:
         """Pairs of vectors that neighbours() compares."""
-        asked = self._probing(queries.select(F.col(key).alias("id"), F.col(vector).alias("v")), probes or self.probes).groupBy("list").count().collect()
-        return sum(r["count"] * int(self.sizes[r["list"]]) for r in asked)
+        centres, most = queries.sparkSession.sparkContext.broadcast(self.centres), probes or self.probes
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            asked = np.zeros(len(centres.value), np.int64)
+            for batch in batches:
+                if len(batch) and len(asked):
+                    near = np.argsort(-(unit_rows(batch.column("v").to_pylist()) @ centres.value.T), axis=1, kind="stable")[:, :most]
+                    asked += np.bincount(near.ravel(), minlength=len(asked))
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(asked), dtype=np.int32)), pa.array(asked)], names=["list", "n"])
+
+        asked = queries.select(F.col(vector).alias("v")).filter(_usable(F.col("v"))).mapInArrow(run, "list int, n bigint").groupBy("list").agg(F.sum("n").alias("n")).collect()  # one row a list
+        return sum(r["n"] * int(self.sizes[r["list"]]) for r in asked)
 
     def _probing(self, queries: DataFrame, probes: int) -> DataFrame:
         """list, id, v: each query once for each list that it probes; a batch is copied part by part."""

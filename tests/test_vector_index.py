@@ -111,3 +111,27 @@ def test_nearest_edges_of_many_blocks_equal_one(spark, grouped):
     found = [sorted((r.src, r.dst) for r in nearest_edges(df.filter("id % 3 <> 0"), "id", "v", 5, 0.35, *rows).collect()) for rows in ((), (100,))]
     assert found[0] == found[1] and found[0]
     assert "4096" in str(inspect.signature(nearest_edges))
+
+
+def test_blocks_and_groups_of_lists_give_the_same_rows(spark, grouped, monkeypatch):
+    """Lists that are cut, several of them in a group, and blocks of queries."""
+    _, df = grouped
+    df = df.filter("id % 3 <> 0")  # equal vectors have cosines that differ in their last bit
+    index, found = build_vector_index(df, "id", "v", lists=12), []
+    for block, scores, rows in ((4096, 1 << 22, 1 << 21), (100, 500, 300)):
+        monkeypatch.setattr(vector_index, "BLOCK", block)
+        monkeypatch.setattr(vector_index, "SCORES", scores)
+        monkeypatch.setattr(vector_index, "FOUND", rows)
+        found.append(sorted((r["query"], r.id) for r in index.neighbours(df, "id", "v", 4, 0.3, same=False, probes=5).collect()))
+    assert found[0] == found[1] and len(found[0]) > 2000
+
+
+def test_the_best_of_rows_and_of_parts_with_ties():
+    score = np.random.default_rng(4).integers(0, 6, (30, 200)) / 6
+    want = [(i, int(j)) for i in range(30) for j in np.argsort(-score[i], kind="stable")[:3] if score[i, j] >= 0.5]
+    assert list(zip(*(x.tolist() for x in vector_index.best_of_rows(score, 3, 0.5)))) == want
+    best = vector_index.Best(3)
+    for at in (50, 150, 100, 0):
+        i, j = np.nonzero(score[:, at : at + 50] >= 0.5)
+        best.add(i, j + at, score[i, j + at])
+    assert list(zip(*(x.tolist() for x in best.all()[:2]))) == want
