@@ -172,37 +172,43 @@ def prune_edges(edges: DataFrame, least: float, before=None) -> DataFrame:
 def nearest_edges(vectors: DataFrame, key: str, vector: str, k: int, least: float, rows: int = 4096) -> DataFrame:
     """src, dst, strength: each vector's k best cosines of at least `least`, by matrix products.
 
-    Vectors are cut into blocks by a hash of the key. Every block meets every other once; a pair
-    of blocks is one task's work and passes on at most k rows for each of its vectors. Only pairs of
-    at least `least` are sorted. A vector is shuffled once for each block, so blocks are large.
+    Vectors are cut into blocks by a hash of the key, of about `rows`, more in large tables. Every two
+    blocks meet once, in one task, which gives at most k rows for each of its vectors. Of B
+    blocks in a ring, block x meets those up to half the ring on, so a vector is shuffled about B times.
     """
     import numpy as np
-    import pandas as pd
+    import pyarrow as pa
 
-    blocks = max(1, -(-vectors.count() // rows))
-    kind = dict(vectors.dtypes)[key]
-    v = vectors.select(F.col(key).alias("id"), F.col(vector).alias("v"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("g"))
-    left = v.withColumn("h", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("side", F.lit(0))
-    right = v.select("id", "v", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("g"), F.col("g").alias("h")).withColumn("side", F.lit(1))
-
-    def match(pdf: pd.DataFrame) -> pd.DataFrame:
-        def unit(part: pd.DataFrame) -> np.ndarray:
-            m = np.stack(part.v.to_list()).astype(np.float64)
-            return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-
-        a, b = pdf[pdf.side == 0].sort_values("id"), pdf[pdf.side == 1].sort_values("id")
-        if a.empty or b.empty:
-            return pd.DataFrame({"src": [], "dst": [], "strength": []})
-        score = unit(a) @ unit(b).T
-        score[a.id.to_numpy()[:, None] == b.id.to_numpy()[None, :]] = -2
-        i, j = np.nonzero(score >= least)
-        order = np.lexsort((j, -score[i, j], i))
-        i, j = i[order], j[order]
-        best = np.arange(len(i)) - np.searchsorted(i, i) < k
-        i, j = i[best], j[best]
-        return pd.DataFrame({"src": a.id.to_numpy()[i], "dst": b.id.to_numpy()[j], "strength": score[i, j]})
-
-    pairs = left.select("id", "v", "g", "h", "side").unionByName(right).groupBy("g", "h").applyInPandas(match, f"src {kind}, dst {kind}, strength double")
     from lodestrata.operators.relational import first_n
+    from lodestrata.operators.vector_index import SCORES, Best, best_of_rows, blocks_of, unit_table
 
+    blocks = blocks_of(vectors.count(), rows)
+    kind = dict(vectors.dtypes)[key]
+    v = vectors.select(F.col(key).alias("id"), F.col(vector).alias("v"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("block"))
+    v = v.withColumn("d", F.explode(F.sequence(F.lit(0), F.lit(blocks // 2))))
+    before = F.pmod(F.col("block") - F.col("d"), F.lit(blocks))
+    cells = v.withColumn("x", F.explode(F.when(F.col("d") == 0, F.array("block")).otherwise(F.array(F.col("block"), before))))
+    cells = cells.filter((F.col("d") * 2 < blocks) | (F.col("x") * 2 < blocks))  # opposite blocks would meet twice
+
+    def match(table: pa.Table) -> pa.Table:
+        table, apart = table.sort_by("id"), table.column("d")[0].as_py()
+        unit, ids = unit_table(table.column("v")), table.column("id").combine_chunks()
+        left = table.column("block").to_numpy() == table.column("x").to_numpy()
+        a, b = np.flatnonzero(left), np.flatnonzero(~left) if apart else np.flatnonzero(left)
+        name = ids.dictionary_encode().indices.to_numpy()
+        best, step, y = Best(k), max(1, SCORES // max(1, len(b))), np.ascontiguousarray(unit[b].T)
+        for own in (a[i : i + step] for i in range(0, len(a), step)):
+            score = unit[own] @ y
+            if not apart:
+                score[name[own][:, None] == name[b]] = -2
+            i, j = best_of_rows(score, k, least)
+            best.add(own[i], b[j], score[i, j])
+            if apart:
+                j, i = best_of_rows(score.T, k, least)
+                best.add(b[j], own[i], score[i, j])
+        row, other, strength = best.all()
+        return pa.table({"src": ids.take(pa.array(row)), "dst": ids.take(pa.array(other)), "strength": strength})
+
+    cells = cells.select("id", "v", "block", "d", "x").repartition(max(1, blocks * (blocks // 2 + 1)), "x", "d")
+    pairs = cells.groupBy("x", "d").applyInArrow(match, f"src {kind}, dst {kind}, strength double")
     return first_n(pairs, "src", [F.desc("strength"), F.col("dst")], k)
