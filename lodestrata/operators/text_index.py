@@ -40,8 +40,8 @@ BLOCK = 64
 PAGE = "1024"
 #: Segments, and share of dead rows, from which on they are merged.
 MOST, DEAD = 8, 0.2
-#: Blocks that are named one by one in a filter; more are joined.
-NAMED = 2000
+#: Blocks or terms that are named one by one in a filter; more are joined. Phrases, and their tokens, that are broadcast at most.
+NAMED, SENT = 2000, 1 << 17
 #: The term of the row that says how long a document's field is, and the document's signature.
 WHOLE = ""
 #: Bytes of texts that a task makes postings of, about, and of those that Python holds at once; postings of a merging task.
@@ -176,19 +176,29 @@ class TextIndex:
         """id, key, hits, bm25 of all phrases in all rows. Only postings are read.
 
         A phrase begins where its rarest token puts it; each other token then has to follow at its
-        place, by the postings of the rows found so far. Work goes with the rarest tokens' postings.
-        A phrase without tokens is found nowhere; equal ids have to be equal phrases.
+        place, by the postings of the rows found so far. Work goes with the rarest tokens' postings, and
+        only postings of the phrases' tokens are shuffled. A phrase without tokens is found nowhere; equal ids have to be equal phrases.
         """
         tokens = phrases.select(F.col(id_col).alias("id"), self.analyzer.tokens(F.col(text_col)).alias("tokens")).filter(F.size("tokens") > 0).distinct()
+        tokens = stored(tokens, "phrases")
         parts = tokens.select("id", F.size("tokens").alias("m"), F.posexplode("tokens").alias("at", "term"))
-        own = self.summary.filter(F.col("field") == field)
-        counts = own.join(parts.select("term").distinct(), "term").groupBy("term").agg(F.sum("n").alias("n"))
+        few = parts.count() <= SENT
+        sent = lambda df: F.broadcast(df) if few else df
+        named = [r["term"] for r in parts.select("term").distinct().limit(NAMED + 1).collect()]
+
+        def of_phrases(postings: DataFrame) -> DataFrame:
+            if len(named) <= NAMED:
+                return postings.filter(F.col("term").isin(named)) if named else postings.limit(0)
+            return postings.join(sent(parts.select("term").distinct()), "term", "left_semi")
+
+        counts = of_phrases(self.summary.filter(F.col("field") == field)).groupBy("term").agg(F.sum("n").alias("n"))
         rarest = parts.join(counts, "term", "left").groupBy("id", "m").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "at", "term")).alias("r"))
         rarest = rarest.filter("r.n > 0").select("id", "m", F.col("r.at").alias("at"), F.col("r.term").alias("term"))
-        places = self._live(self.postings.filter((F.col("field") == field) & (F.col("term") != WHOLE))).select("segment", "key", "length", "term", "positions")
+        places = of_phrases(self.postings.filter((F.col("field") == field) & (F.col("term") != WHOLE)))
+        places = self._live(places).select("segment", "key", "length", "term", "positions")
         shifted = lambda: F.transform("positions", lambda p: p - F.col("at"))
-        begun = rarest.join(places, "term").select("id", "m", "segment", "key", "length", F.col("at").alias("anchor"), shifted().alias("starts"))
-        rest = begun.filter("m > 1").join(parts.select("id", "at", "term"), "id").filter(F.col("at") != F.col("anchor"))
+        begun = places.join(sent(rarest), "term").select("id", "m", "segment", "key", "length", F.col("at").alias("anchor"), shifted().alias("starts"))
+        rest = begun.filter("m > 1").join(sent(parts.select("id", "at", "term")), "id").filter(F.col("at") != F.col("anchor"))
         more = rest.join(places.drop("length"), ["segment", "key", "term"]).groupBy("id", "m", "segment", "key", "length")
         whole = more.agg(F.first("starts").alias("starts"), F.collect_list(shifted()).alias("others")).filter(F.size("others") == F.col("m") - 1)
         whole = whole.select("id", "key", "length", F.aggregate("others", F.col("starts"), lambda a, x: F.array_intersect(a, x)).alias("starts"))

@@ -87,6 +87,21 @@ def test_phrases_equal_brute_force(spark):
     assert {r.id for r in index.phrases("title", ["of the", "a ring"]).collect()} == {i for i, t, _ in rows if count_phrase(t, "of the") or count_phrase(t, "a ring")}
 
 
+@pytest.mark.parametrize("named", [2000, 1])
+def test_phrases_shuffle_only_postings_of_their_tokens(spark, monkeypatch, named):
+    """Every scan of the index is filtered by the phrases' tokens before a shuffle."""
+    monkeypatch.setattr(text_index, "NAMED", named)
+    index, plans, real = build_index(spark.createDataFrame(ROWS, SCHEMA), "id", list(FIELDS)), {}, text_index.stored
+    monkeypatch.setattr(text_index, "stored", lambda df, name: plans.update({name: df._jdf.queryExecution().executedPlan().toString()}) or real(df, name))
+    phrases = spark.createDataFrame([(1, "a ring"), (2, "the end"), (3, "ring"), (4, "absent")], "p long, words string")
+    got = sorted((r.p, r.id, r.hits) for r in index.match_phrases(phrases, "p", "words", "body").collect())
+    assert got == [(1, 1, 2), (2, 5, 1), (3, 1, 2), (3, 4, 1)]
+    scans = [x for x in plans["phrase-hits"].split("\n") if "FileScan" in x and "positions" in x]
+    if named > 1:
+        assert scans and all("In(term" in x for x in scans)
+    assert "SortMergeJoin [term" not in plans["phrase-hits"]
+
+
 def test_segments_follow_the_rows(spark, monkeypatch):
     """New, changed and deleted rows, each against the scan; only changed rows are in the new segment."""
     rng, root = random.Random(2), root_of(spark)
